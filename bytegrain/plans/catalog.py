@@ -1,4 +1,475 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, one for each operator or group of operators, and the same in SQL.
+
+Static layouts become Catalyst expressions made from the same expression trees that decode programs use; data-dependent ones run as decode
+programs over Arrow batches.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import expr as X
+from ..functions import numeric as M
+from ..functions import pattern as P
+from ..functions.sets import ByteSet
+from ..operators import combinators as C
+from ..operators import format as N
+from ..sources import payloads
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+V = X.var
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def select(frame: DataFrame, *keep: str, **trees: X.Expr) -> DataFrame:
+    """Kept columns and expression trees over the frame's columns."""
+    return frame.select(*keep, *(X.column(t, {}).alias(k) for k, t in trees.items()))
+
+
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's event ids in order."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+
+
+_USERS = "(select user_id, list(event_id order by event_id) as ids from events group by user_id)"
+
+
+@query("""select doc_id, octet_length(encode(text))::bigint as n_bytes, length(text)::bigint as n_chars,
+ length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'))::bigint as n_one from documents""")
+def utf8_decode_stats(spark, sf_dir):
+    """Repeat, Union, Map and AsChar of UTF-8 text: bytes, code points, one-byte sequences."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.char_length("text").cast("bigint").alias("n_chars"), F.char_length(F.regexp_replace("text", r"[^\x00-\x7f]", "")).cast("bigint").alias("n_one"))
+
+
+@query("select doc_id, length(text)::bigint as n_chars, octet_length(encode(text))::bigint as n_bytes from documents where length(text) <= 400")
+def utf8_decode_program(spark, sf_dir):
+    """The text format run as a decode program, on the documents that are short."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    found = payloads.decode_column(docs, "text", "string", sniff=F.char_length(F.decode("payload", "utf-8")) <= 400)
+    return found.select("doc_id", F.char_length("value").cast("bigint").alias("n_chars"), "n_bytes")
+
+
+@query("""select page_id, length(regexp_replace(html, '[^0-9]', '', 'g'))::bigint as n_digits, length(regexp_replace(html, '[^A-Za-z]', '', 'g'))::bigint as n_letters, length(regexp_replace(html, '[^<>]', '', 'g'))::bigint as n_angles from pages""")
+def byte_class_counts(spark, sf_dir):
+    """Byte(set): counts of bytes in sets."""
+    sets = {"n_digits": ByteSet.of(b"0123456789"), "n_letters": ByteSet.of(range(65, 91)) | ByteSet.of(range(97, 123)), "n_angles": ByteSet.of(b"<>")}
+    return table(spark, sf_dir, "pages").select("page_id", *(F.regexp_count("html", F.lit(s.regex())).cast("bigint").alias(k) for k, s in sets.items()))
+
+
+def _packed(n: int, order: str):
+    raw = F.unhex(F.lpad(F.hex("o_orderkey"), 2 * n, "0"))
+    return raw if order == "big" else F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(raw), F.lit("(..)"), 1)), ""))
+
+
+def _roundtrip(kind: str, order: str):
+    def run(spark, sf_dir):
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", _packed(int(kind[1:]) // 8, order).alias("raw"))
+        return orders.select("o_orderkey", X.column(X.endian(kind, order, V("raw")), {}).cast("bigint").alias("value"))
+
+    run.__name__ = f"{kind}{order[0]}e_roundtrip"
+    run.__doc__ = f"{kind} numbers, {order}-endian, packed and read."
+    return run
+
+
+for _kind in ("u32", "u64"):
+    for _order in ("big", "little"):
+        query("select o_orderkey, o_orderkey as value from orders")(_roundtrip(_kind, _order))
+
+
+@query("select o_orderkey, (o_orderkey & 65535)::bigint as value from orders")
+def u16be_program(spark, sf_dir):
+    """u16 read by a decode program."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.unhex(F.lpad(F.hex(F.col("o_orderkey").bitwiseAND(65535)), 4, "0")).alias("payload"))
+    return payloads.decode_column(orders, C.u16be, "bigint").select("o_orderkey", "value")
+
+
+@query("""select o_orderkey, ((o_orderkey >> 7) & 1) <> 0 as table_flag, ((o_orderkey >> 4) & 7)::bigint as color_resolution, ((o_orderkey >> 3) & 1) <> 0 as sort_flag, (o_orderkey & 7)::bigint as table_size from orders""")
+def bit_fields_gif_flags(spark, sf_dir):
+    """bit_fields: fields of a byte from its highest bit down."""
+    key = V("o_orderkey")
+    part = lambda at, n: (key >> at) & ((1 << n) - 1)
+    return select(table(spark, sf_dir, "orders"), "o_orderkey", table_flag=part(7, 1).ne(0), color_resolution=part(4, 3), sort_flag=part(3, 1).ne(0), table_size=part(0, 3))
+
+
+@query("select o_orderkey, list_sum([((o_orderkey >> i) & 1) for i in range(8)])::bigint as n_set, (o_orderkey & 1)::bigint as lowest from orders")
+def bits_lsb_first(spark, sf_dir):
+    """Bits: a byte's bits, lowest first, by a decode program."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.unhex(F.lpad(F.hex(F.col("o_orderkey").bitwiseAND(255)), 2, "0")).alias("payload"))
+    found = payloads.decode_column(orders, C.bits(C.repeat_count(8, C.ANY)), "binary")
+    digits = F.hex("value")
+    return found.select("o_orderkey", F.regexp_count(digits, F.lit("01")).cast("bigint").alias("n_set"), F.substring(digits, 2, 1).cast("bigint").alias("lowest"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_quantity::bigint as q from lineitem where l_quantity::bigint between 10 and 20")
+def where_require(spark, sf_dir):
+    """Where, hard: as a filter it reaches the scan."""
+    q = F.col("l_quantity").cast("bigint")
+    return table(spark, sf_dir, "lineitem").filter(q.between(10, 20)).select("l_orderkey", "l_linenumber", "l_partkey", q.alias("q"))
+
+
+@query("select o_orderkey, case when o_orderkey % 7 = 3 then 'BadWhere' end as warning from orders")
+def where_expect(spark, sf_dir):
+    """Where, soft: a warning instead of an error, by a decode program."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.unhex(F.lpad(F.hex("o_orderkey"), 8, "0")).alias("payload"))
+    found = payloads.decode_column(orders, C.expect(C.u32be, lambda x: (x % 7).ne(3)), "bigint")
+    return found.select("o_orderkey", F.get("warnings", F.lit(0)).getField("kind").alias("warning"))
+
+
+@query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), -1) as k, coalesce(try_cast(event_type as bigint), -1) as fallback from events")
+def permit_fallback(spark, sf_dir):
+    """Permit: a fallback where a read fails."""
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') as bigint)"), F.lit(-1)).alias("k"), F.coalesce(F.expr("try_cast(event_type as bigint)"), F.lit(-1)).alias("fallback"))
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then o_custkey end as customer from orders")
+def maybe_field(spark, sf_dir):
+    """Maybe: present where a test holds."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("customer"))
+
+
+@query("select p_partkey, case when p_size = 1 then 'one' when p_size between 2 and 9 then 'few' else 'many' end as tag, case when p_size between 2 and 9 then p_size::bigint + 1 else 0 end as n from part")
+def match_patterns(spark, sf_dir):
+    """Match over patterns: literal, range, binding."""
+    size = X.lift(0) + V("p_size")
+    tag = X.match(size, (P.integer(1), "one"), (P.between(2, 9), "few"), (P.wildcard(), "many"))
+    n = X.match(size, (P.integer(1), 0), (P.between(2, 9), size + 1), (P.binding("x"), V("x") * 0))
+    return table(spark, sf_dir, "part").select("p_partkey", X.column(tag, {}).alias("tag"), X.column(n, {}).cast("bigint").alias("n"))
+
+
+@query("select event_id, event_type as tag, case when event_type = 'click' then user_id end as click from events")
+def match_variant_tag(spark, sf_dir):
+    """Variant: a sum type as a struct of a tag and one value."""
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tag"), F.when(F.col("event_type") == "click", F.col("user_id")).alias("click"))
+
+
+_SOURCES = "select 'd' || doc_id as id, left(text, 64) as t from documents union all select 'p' || page_id, left(html, 64) from pages union all select 'e' || event_id, props from events"
+
+
+@query(f"select id, case when starts_with(t, '<!DOCTYPE') then 'html' when starts_with(t, '{{') then 'json' else 'text' end as kind from ({_SOURCES})")
+def sniff_union_nondet(spark, sf_dir):
+    """Ordered choice by first bytes."""
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.substring("text", 1, 64).alias("t"))
+    rows = rows.unionAll(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id"), F.substring("html", 1, 64)))
+    rows = rows.unionAll(table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id"), "props"))
+    return rows.select("id", F.when(F.startswith("t", F.lit("<!DOCTYPE")), "html").when(F.startswith("t", F.lit("{")), "json").otherwise("text").alias("kind"))
+
+
+@query("select p_type as tag, count(*)::bigint as n from part group by p_type")
+def union_look_ahead(spark, sf_dir):
+    """Deterministic choice by look-ahead, as a decode program over type names."""
+    names = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+    choice = N.Union(tuple(N.Variant(k, C.is_bytes(k.encode())) for k in names))
+    parts = table(spark, sf_dir, "part").select(F.encode("p_type", "utf-8").alias("payload"))
+    return payloads.decode_column(parts, choice, "struct<tag:string>").groupBy(F.col("value.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select p_partkey, p_type from part where not starts_with(p_type, 'ECONOMY')")
+def excluding_peek_not(spark, sf_dir):
+    """PeekNot as an anti predicate."""
+    return table(spark, sf_dir, "part").filter(~F.startswith("p_type", F.lit("ECONOMY"))).select("p_partkey", "p_type")
+
+
+@query("select doc_id, left(text, 16) as head, greatest(length(text) - 16, 0)::bigint as skipped from documents")
+def slice_skip_rest(spark, sf_dir):
+    """Slice, then skip what is left."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 16).alias("head"), F.greatest(F.char_length("text") - 16, F.lit(0)).cast("bigint").alias("skipped"))
+
+
+@query("select doc_id, ((512 - n_chars % 512) % 512)::bigint as pad from documents")
+def align_pad(spark, sf_dir):
+    """Align: bytes up to the next multiple."""
+    return select(table(spark, sf_dir, "documents"), "doc_id", pad=(X.lift(512) - V("n_chars") % 512) % 512)
+
+
+@query("select doc_id, substr(text, (doc_id % n_chars)::bigint + 1, 5) as found, doc_id % n_chars as at from documents where n_chars > 0")
+def offset_read(spark, sf_dir):
+    """WithRelativeOffset: a read at a computed place."""
+    return table(spark, sf_dir, "documents").filter("n_chars > 0").select("doc_id", F.substring("text", (F.col("doc_id") % F.col("n_chars") + 1).cast("int"), F.lit(5)).alias("found"), (F.col("doc_id") % F.col("n_chars")).alias("at"))
+
+
+_RUNS = "select event_type, event_id, row_number() over (order by event_id) - row_number() over (partition by event_type order by event_id) as g from events"
+
+
+@query(f"select event_type, min(event_id) as first_id, count(*)::bigint as n from ({_RUNS}) group by event_type, g")
+def rle_encode_events(spark, sf_dir):
+    """Run lengths of event types in order of event_id: runs are found in ranges of ids and joined at their edges, so no task sorts all events."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 4096).alias("part"))
+    inside = Window.partitionBy("part").orderBy("event_id")
+    edges = events.groupBy("part").agg(F.max_by("event_type", "event_id").alias("last"))
+    parts = edges.withColumn("before", F.lag("last").over(Window.orderBy("part"))).select("part", "before")
+    marked = events.join(parts, "part").withColumn("new", (~F.coalesce(F.lag("event_type").over(inside), F.col("before")).eqNullSafe(F.col("event_type"))).cast("bigint"))
+    before = marked.groupBy("part").agg(F.sum("new").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
+    runs = marked.withColumn("run", F.sum("new").over(inside)).join(before, "part").withColumn("run", F.col("run") + F.col("base"))
+    return runs.groupBy("run").agg(F.first("event_type").alias("event_type"), F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n")).drop("run")
+
+
+@query("select o_orderkey, repeat(chr(65 + (o_orderkey % 5)::int), 1 + (o_orderkey % 9)::int) || repeat('z', (o_orderkey % 3)::int) as data from orders")
+def rle_decode(spark, sf_dir):
+    """The run-length format, expanded by a decode program."""
+    key = F.col("o_orderkey")
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    raw = F.unhex(F.concat(F.lit("01"), two(key % 9 + 1), two(key % 5 + 65), two(key % 3), F.lit("7A")))
+    found = payloads.decode_column(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("payload")), "rle", "struct<tag:string,new:struct<data:binary>>")
+    return found.select("o_orderkey", F.decode("value.new.data", "utf-8").alias("data"))
+
+
+@query("select o_orderkey, list_transform(string_split(o_orderkey::varchar, ''), lambda c: c::bigint) as digits from orders")
+def peano_numbers(spark, sf_dir):
+    """The unary number format: a decode program over digits spelled as S..SZ."""
+    spelled = F.regexp_replace(F.col("o_orderkey").cast("string"), "([0-9])", "$1,")
+    raw = F.array_join(F.transform(F.filter(F.split(spelled, ","), lambda d: d != ""), lambda d: F.concat(F.repeat(F.lit("S"), d.cast("int")), F.lit("Z"))), "")
+    found = payloads.decode_column(table(spark, sf_dir, "orders").select("o_orderkey", F.encode(raw, "utf-8").alias("payload")), "peano", "array<bigint>")
+    return found.select("o_orderkey", F.col("value").alias("digits"))
+
+
+@query("select user_id, event_id from (select user_id, event_id, coalesce(bool_or(event_type = 'error') over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), false) as after from events) where not after")
+def repeat_until_last(spark, sf_dir):
+    """RepeatUntilLast: elements up to and with the first that meets a test."""
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    marked = table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(F.bool_or(F.col("event_type") == "error").over(before), F.lit(False)).alias("after"))
+    return marked.filter(~F.col("after")).select("user_id", "event_id")
+
+
+@query("select user_id, event_id, before as acc from (select user_id, event_id, coalesce(sum(event_id % 7) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0)::bigint as before from events) where before < 50")
+def accum_until_qty(spark, sf_dir):
+    """AccumUntil: the test comes before each element."""
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    summed = table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(F.sum(F.col("event_id") % 7).over(before), F.lit(0)).alias("acc"))
+    return summed.filter("acc < 50")
+
+
+@query(f"select user_id, list_sum(ids)::bigint as total, list_max(ids) as most from {_USERS}")
+def left_fold(spark, sf_dir):
+    """LeftFold: sum and maximum of a sequence."""
+    total = X.left_fold(lambda a, x: a + x, V("zero"), V("ids"))
+    frame = user_events(spark, sf_dir)
+    return frame.select("user_id", X.column(total, {"zero": F.lit(0).cast("bigint")}).alias("total"), F.array_max("ids").alias("most"))
+
+
+@query(f"select user_id, flatten(list_transform(ids, lambda x: [x, x % 10])) as flat from {_USERS}")
+def flat_map(spark, sf_dir):
+    """FlatMap: each element to a sequence, joined."""
+    return select(user_events(spark, sf_dir), "user_id", flat=X.flat_map(lambda x: X.seq_of(x, x % 10), V("ids")))
+
+
+@query("select user_id, list(s order by event_id) as sums from (select user_id, event_id, sum(event_id) over (partition by user_id order by event_id)::bigint as s from events) group by user_id")
+def flat_map_accum(spark, sf_dir):
+    """FlatMapAccum: running sums of a sequence."""
+    start = F.struct(F.lit(0).cast("bigint").alias("acc"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda s, x: F.struct((s["acc"] + x).alias("acc"), F.concat(s["out"], F.array(s["acc"] + x)).alias("out"))
+    return user_events(spark, sf_dir).select("user_id", F.aggregate("ids", start, step, lambda s: s["out"]).alias("sums"))
+
+
+@query(f"select user_id, list_sort(list_distinct(list_transform(ids, lambda x: x % 5))) as kinds from {_USERS}")
+def flat_map_list(spark, sf_dir):
+    """FlatMapList: each step sees what came out so far; here, remainders not seen yet."""
+    seen = F.aggregate("ids", F.array().cast("array<bigint>"), lambda out, x: F.concat(out, F.when(F.array_contains(out, x % 5), F.array().cast("array<bigint>")).otherwise(F.array(x % 5))))
+    return user_events(spark, sf_dir).select("user_id", F.array_sort(seen).alias("kinds"))
+
+
+@query("select p_brand, min(p_partkey) as first_key from part where p_size = 7 group by p_brand")
+def find_by_key_unsorted(spark, sf_dir):
+    """FindByKey: the first element with a key."""
+    lists = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("parts"))
+    return select(lists, "p_brand", found=X.find_by_key(lambda p: p["p_size"], 7, V("parts"))).filter("found is not null").select("p_brand", F.col("found.p_partkey").alias("first_key"))
+
+
+@query("select c_custkey, n_name from customer left join nation on c_nationkey = n_nationkey")
+def find_by_key_sorted(spark, sf_dir):
+    """FindByKey in a sorted table of fixed size: a join that Spark broadcasts where the table is small."""
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+
+
+@query("select o_orderkey, count(l_orderkey)::bigint as n_lines, coalesce(sum(l_quantity::bigint), 0)::bigint as quantity from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey")
+def for_each_dependent(spark, sf_dir):
+    """ForEach: for each order its lines; lines are summed before they meet the orders."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    joined = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("q", F.lit(0)).alias("quantity"))
+
+
+@query(f"select user_id, ids[1:2] as part, ids[1] as first_id, list_concat(ids[1:1], [0]) as more, list_transform(range(least(len(ids), 3)), lambda i: 9::bigint) as copies, range(0, least(len(ids), 4)) as numbers, len(ids)::bigint as n from {_USERS}")
+def sequence_operators(spark, sf_dir):
+    """SubSeq, SeqIx, Append, Dup, EnumFromTo, SeqLength."""
+    frame = user_events(spark, sf_dir)
+    n = F.size("ids")
+    return frame.select("user_id", F.slice("ids", 1, 2).alias("part"), X.column(V("ids").at(0), {}).alias("first_id"), F.concat(F.slice("ids", 1, 1), F.array(F.lit(0).cast("bigint"))).alias("more"), F.array_repeat(F.lit(9).cast("bigint"), F.least(n, F.lit(3))).alias("copies"), X._range(F.lit(0), F.least(n, F.lit(4))).alias("numbers"), X.column(X.seq_length(V("ids")), {}).alias("n"))
+
+
+@query("select o_orderkey, left(repeat(right(o_orderkey::varchar, 2), 10), 12) as copied from orders where o_orderkey >= 10")
+def lz77_inflate(spark, sf_dir):
+    """SubSeqInflate: a copy that runs into what it makes."""
+    digits = F.transform(F.regexp_extract_all(F.col("o_orderkey").cast("string"), F.lit("([0-9])"), 1), lambda d: d)
+    frame = table(spark, sf_dir, "orders").filter("o_orderkey >= 10").select("o_orderkey", digits.alias("s"))
+    tree = X.sub_seq_inflate(V("s"), X.seq_length(V("s")) - 2, 12)
+    return frame.select("o_orderkey", F.array_join(X.column(tree, {}), "").alias("copied"))
+
+
+@query("select o_orderkey, (o_orderkey * 3 + 7) % 1000 as m, o_orderkey // 7 as q, o_orderkey & 255 as a, o_orderkey | 15 as b, (o_orderkey << 2) as l, (o_orderkey >> 2) as r, o_orderkey + 1 as s, o_orderkey > 100 and o_orderkey < 5000 as inside from orders")
+def arithmetic(spark, sf_dir):
+    """Arith, IntRel, Unary, boolean operators."""
+    k = V("o_orderkey")
+    return select(table(spark, sf_dir, "orders"), "o_orderkey", m=(k * 3 + 7) % 1000, q=k // 7, a=k & 255, b=k | 15, l=k << 2, r=k >> 2, s=X.succ(k), inside=X.both(k.gt(100), k.lt(5000)))
+
+
+@query("select o_orderkey, (case when o_orderkey % 256 >= 128 then o_orderkey % 256 - 256 else o_orderkey % 256 end)::bigint as i8, case when o_orderkey <= 65535 then o_orderkey end as fits from orders")
+def numeric_casts(spark, sf_dir):
+    """The numeric model: two's complement, and a check that a value fits its representation."""
+    wrapped, fits = M.column(M.cast_bits(M.var("o_orderkey"), "i8"), {}), M.column(M.cast(M.var("o_orderkey"), "u16"), {})
+    return table(spark, sf_dir, "orders").select("o_orderkey", wrapped.cast("bigint").alias("i8"), fits.cast("bigint").alias("fits"))
+
+
+@query("select p_partkey, (p_size * 100000000000 - 5)::bigint as exact, -(p_size // 3)::bigint as negated, abs(-p_size)::bigint as size from part")
+def numeric_auto(spark, sf_dir):
+    """The numeric model: exact arithmetic whatever the width of its parts."""
+    size = M.var("p_size")
+    trees = {"exact": M.binary("sub", M.binary("mul", size, M.const(100_000_000_000)), M.const(5)), "negated": M.unary("neg", M.binary("div", size, M.const(3))), "size": M.unary("abs", M.unary("neg", size))}
+    return table(spark, sf_dir, "part").select("p_partkey", *(M.column(t, {}).cast("bigint").alias(k) for k, t in trees.items()))
+
+
+@query("select p_partkey, chr(64 + p_size::int) as c from part")
+def as_char(spark, sf_dir):
+    """AsChar: code points to characters."""
+    return select(table(spark, sf_dir, "part"), "p_partkey", c=X.as_char(V("p_size") + 64))
+
+
+def _made(frame: DataFrame, make: Callable[[bytes], bytes], key: str) -> DataFrame:
+    """Payloads of a format, packed from texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], [key, "payload"])
+
+    return frame.mapInArrow(run, f"{key} bigint, payload binary")
+
+
+def _gzipped(raw: bytes) -> bytes:
+    import gzip
+
+    return gzip.compress(raw[: len(raw) // 2], 1, mtime=0) + gzip.compress(raw[len(raw) // 2 :], 9, mtime=0)
+
+
+@query("select doc_id, 2::bigint as n_members, octet_length(encode(text))::bigint as n_bytes, sha256(text) as digest from documents")
+def gzip_roundtrip(spark, sf_dir):
+    """gzip members, inflated."""
+    packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _gzipped, "doc_id")
+    found = payloads.decode_column(packed, "gzip", "array<struct<data:binary>>")
+    whole = F.concat(F.col("value")[0]["data"], F.col("value")[1]["data"])
+    return found.select("doc_id", F.size("value").cast("bigint").alias("n_members"), F.octet_length(whole).cast("bigint").alias("n_bytes"), F.sha2(whole, 256).alias("digest"))
+
+
+def _tarred(raw: bytes) -> bytes:
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as t:
+        for k, part in enumerate((raw[:100], raw[100:])):
+            info = tarfile.TarInfo(f"part{k}")
+            info.size = len(part)
+            t.addfile(info, io.BytesIO(part))
+    return out.getvalue()
+
+
+@query("select doc_id, k::bigint as k, 'part' || k as name, (case when k = 0 then least(octet_length(encode(text)), 100) else greatest(octet_length(encode(text)) - 100, 0) end)::bigint as size from documents, (values (0), (1)) as ks(k)")
+def tar_listing(spark, sf_dir):
+    """Members of tar archives as rows."""
+    packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _tarred, "doc_id")
+    found = payloads.decode_column(packed, "tar", "struct<contents:array<struct<header:struct<name:string,size:bigint>>>>")
+    rows = found.select("doc_id", F.posexplode("value.contents").alias("k", "e"))
+    return rows.select("doc_id", F.col("k").cast("bigint").alias("k"), F.regexp_replace("e.header.name", "\x00+$", "").alias("name"), F.col("e.header.size").alias("size"))
+
+
+def _riffed(raw: bytes) -> bytes:
+    chunks = b"".join(t + len(d).to_bytes(4, "little") + d + b"\0" * (len(d) % 2) for t, d in ((b"head", raw[:7]), (b"body", raw[7:])))
+    return b"RIFF" + (4 + len(chunks)).to_bytes(4, "little") + b"TEXT" + chunks
+
+
+@query("select doc_id, tag, (case tag when 'head' then least(octet_length(encode(text)), 7) else greatest(octet_length(encode(text)) - 7, 0) end)::bigint as n from documents, (values ('head'), ('body')) as t(tag)")
+def riff_chunks(spark, sf_dir):
+    """Chunks of RIFF files as rows."""
+    packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _riffed, "doc_id")
+    found = payloads.decode_column(packed, "riff", "struct<data:struct<chunks:array<struct<tag:string,length:bigint>>>>")
+    return found.select("doc_id", F.explode("value.data.chunks").alias("c")).select("doc_id", "c.tag", F.col("c.length").alias("n"))
+
+
+def _png(raw: bytes) -> bytes:
+    import struct
+    import zlib
+
+    def chunk(tag: bytes, data: bytes) -> bytes:
+        return len(data).to_bytes(4, "big") + tag + data + zlib.crc32(tag + data).to_bytes(4, "big")
+
+    texts = [chunk(b"tEXt", b"k\0" + raw[:5])] * (len(raw) % 3)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(raw), 1, 8, 0, 0, 0, 0)) + b"".join(texts) + chunk(b"IDAT", zlib.compress(b"\0" + raw)) + chunk(b"IEND", b"")
+
+
+@query("select doc_id, octet_length(encode(text))::bigint as width, (octet_length(encode(text)) % 3)::bigint as n_text, (octet_length(encode(text)) + 1)::bigint as n_pixels from documents")
+def png_chunks(spark, sf_dir):
+    """PNG: header, chunk counts by tag, inflated pixels."""
+    packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _png, "doc_id")
+    found = payloads.decode_column(packed, "png", "struct<ihdr:struct<data:struct<width:bigint>>,chunks:array<struct<tag:string>>,idat:struct<data:binary>>")
+    return found.select("doc_id", F.col("value.ihdr.data.width").alias("width"), F.size(F.filter("value.chunks.tag", lambda t: t == "tEXt")).cast("bigint").alias("n_text"), F.octet_length("value.idat.data").cast("bigint").alias("n_pixels"))
+
+
+@query("select case when octet_length(encode(text)) % 3 = 0 then 0 else 1 end::bigint as has_text, count(*)::bigint as n_files, sum(octet_length(encode(text)) % 3)::bigint as n_chunks from documents group by 1")
+def chunk_pivot(spark, sf_dir):
+    """Analytics over decoded chunks: files by whether they hold a text chunk, and how many chunks there are."""
+    chunks = png_chunks(spark, sf_dir)
+    return chunks.groupBy((F.col("n_text") > 0).cast("bigint").alias("has_text")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_text").alias("n_chunks"))
+
+
+@query("select o_orderkey, o_orderkey as u64, -o_orderkey as i64, (o_orderkey % 256)::bigint as u8 from orders")
+def numbers_decode(spark, sf_dir):
+    """The tagged numbers format."""
+    key = F.col("o_orderkey")
+    wide = lambda c: F.lpad(F.hex(c), 16, "0")
+    raw = F.unhex(F.concat(F.hex(F.lit("NUMS").cast("binary")), F.lit("06"), wide(key), F.lit("07"), wide(-key), F.lit("00"), F.lpad(F.hex(key % 256), 2, "0")))
+    found = payloads.decode_column(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("payload")), "numbers", "struct<values:array<struct<u64:bigint,i64:bigint,u8:bigint>>>")
+    v = F.col("value.values")
+    return found.select("o_orderkey", v[0]["u64"].alias("u64"), v[1]["i64"].alias("i64"), v[2]["u8"].alias("u8"))
+
+
+@query("select vec_id, 64::bigint as n, label::bigint as label from embeddings")
+def read_array(spark, sf_dir):
+    """ReadArray at a view: numbers of a fixed width, in place."""
+    packed = F.concat(F.unhex(F.lit("0040")), F.unhex(F.repeat(F.lpad(F.hex(F.col("label") % 256), 4, "0"), 64)))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", packed.alias("payload"))
+    fmt = C.record(("n", C.u16be), ("items", C.let_view("here", C.read_array("here", V("n"), "u16"))))
+    found = payloads.decode_column(vectors, fmt, "struct<items:array<bigint>>")
+    return found.select("vec_id", F.size("value.items").cast("bigint").alias("n"), F.array_max("value.items").alias("label"))
+
+
+@query("select doc_id, case when n_chars % 4 = 0 then 'Overrun' end as kind, case when n_chars % 4 = 0 then 1::bigint end as at from documents")
+def decode_errors(spark, sf_dir):
+    """Errors beside values: a row that fails does not fail the job."""
+    short = F.col("n_chars") % 4 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.when(short, "0A41").otherwise("0141")).alias("payload"))
+    fmt = C.record(("n", C.u8), ("data", C.repeat_count(V("n"), C.ANY)))
+    found = payloads.decode_column(docs, fmt, "struct<data:binary>")
+    return found.select("doc_id", F.col("error.kind").alias("kind"), F.col("error.offset").alias("at"))
+
+
+@query()
+def census_ops(spark, sf_dir):
+    """Which nodes each registered format uses."""
+    return payloads.census(spark)
 
-QUERIES: dict = {}
-ORACLES: dict = {}
