@@ -65,52 +65,33 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """64 bit planes of packed words: bit j of word w of plane b is bit b of value 64 w + j; missing values are zero."""
-    padded = np.zeros(-(-len(values) // 64) * 64, U64)
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """64 bit planes of packed words: bit j of word w of plane b is bit b of value 64 w + j."""
+    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(U64)
 
 
-def near(queries: np.ndarray, stored_planes: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, value) within the radius, with distances counted 64 at a time by carry-save addition."""
-    words = stored_planes.shape[1]
-    levels = max(1, int(radius + 1).bit_length())
-    full = ~U64(0)
-    live = np.full(words, full)
-    if n % 64:
-        live[-1] = (U64(1) << U64(n % 64)) - U64(1)
-    found_q, found_v = [], []
-    step = max(1, (1 << 16) // words)
-    for k in range(0, len(queries), step):
-        q = queries[k : k + step]
-        rows, cols = np.arange(len(q))[:, None], np.arange(words)[None, :]
-        rows, cols = [x.ravel() for x in np.broadcast_arrays(rows, cols)]
-        counters = [np.zeros(len(rows), U64) for _ in range(levels)]
-        over = ~live[cols]
-        for b in range(64):
-            flip = (U64(0) - ((q >> U64(b)) & U64(1)))[rows]
-            carry = stored_planes[b][cols] ^ flip
-            for c in range(levels):
-                counters[c], carry = counters[c] ^ carry, counters[c] & carry
-            over |= carry
-            if b % 8 == 7:
-                beyond = over | _exceeds(counters, radius)
-                keep = beyond != full
-                if not keep.all():
-                    rows, cols, over, counters = rows[keep], cols[keep], over[keep], [c[keep] for c in counters]
-                if not len(rows):
-                    break
-        if len(rows):
-            hits = ~(over | _exceeds(counters, radius))
-            some = np.flatnonzero(hits)
-            bits = np.unpackbits(hits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            w, j = np.nonzero(bits)
-            found_q.append(rows[some][w] + k)
-            found_v.append(cols[some][w] * 64 + j)
-    if not found_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_q), np.concatenate(found_v)
+def near(queries: np.ndarray, rows: np.ndarray, cols: np.ndarray, stored_planes: np.ndarray, live: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, value) within the radius, for the pairs of a query and a word of 64 values in rows and cols. live: the values of
+    a word that count. Distances are counted 64 at a time by carry-save addition; a word is left once all its values are too far."""
+    levels, full = max(1, int(radius + 1).bit_length()), ~U64(0)
+    counters = [np.zeros(len(rows), U64) for _ in range(levels)]
+    over = ~live[cols]
+    for b in range(64):
+        flip = (U64(0) - ((queries >> U64(b)) & U64(1)))[rows]
+        carry = stored_planes[b][cols] ^ flip
+        for c in range(levels):
+            counters[c], carry = counters[c] ^ carry, counters[c] & carry
+        over |= carry
+        if b % 8 == 7:
+            keep = (over | _exceeds(counters, radius)) != full
+            if not keep.all():
+                rows, cols, over, counters = rows[keep], cols[keep], over[keep], [c[keep] for c in counters]
+            if not len(rows):
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hits = ~(over | _exceeds(counters, radius))
+    bits = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    w, j = np.nonzero(bits)
+    return rows[w], cols[w] * 64 + j
 
 
 def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -125,9 +106,27 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return greater
 
 
-def forest(values: np.ndarray, radius: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the values within the radius, block against block."""
+def forest(values: np.ndarray, cut: np.ndarray, radius: int, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the values within the radius, in each group [cut[i], cut[i + 1]) on its own.
+
+    A group's values fill words of their own; each value is compared with the words up to its own, `step` such pairs at a time.
+    """
+    sizes = np.diff(cut)
+    words = -(-sizes // 64)
+    word_of = np.concatenate([[0], np.cumsum(words)])
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.arange(len(values)) - cut[:-1][group]
+    place = word_of[group] * 64 + rank
+    padded = np.zeros(word_of[-1] * 64, U64)
+    padded[place] = values
+    index = np.zeros(len(padded), np.int64)
+    index[place] = np.arange(len(values))
+    table = planes(padded)
+    flags = np.zeros(len(padded), np.uint8)
+    flags[place] = 1
+    live = np.packbits(flags, bitorder="little").view(U64)
     parent = np.arange(len(values))
+    left, right = [], []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -135,19 +134,28 @@ def forest(values: np.ndarray, radius: int, block: int = 4096) -> tuple[np.ndarr
             i = parent[i]
         return int(i)
 
-    left, right = [], []
-    for k in range(0, len(values), block):
-        part = planes(values[k : k + block])
-        for j in range(k, len(values), block):
-            q, v = near(values[j : j + block], part, len(values[k : k + block]), radius)
-            q, v = q + j, v + k
-            keep = q > v
-            for a, b in zip(q[keep].tolist(), v[keep].tolist()):
+    asked = rank // 64 + 1
+    ends = np.cumsum(asked)
+    low = 0
+    while low < len(values):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + step, "right")))
+        n = asked[low:high]
+        rows = np.repeat(np.arange(low, high), n)
+        cols = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(word_of[group[low:high]], n)
+        q, v = near(values, rows, cols, table, live, radius)
+        v = index[v]
+        q, v = q[q > v], v[q > v]
+        if len(q):
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            pairs = np.unique(np.stack([np.maximum(parent[q], parent[v]), np.minimum(parent[q], parent[v])], 1), axis=0)
+            for a, b in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
                 x, y = root(a), root(b)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    left.append(a)
-                    right.append(b)
+                    left.append(x)
+                    right.append(y)
+        low = high
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
@@ -159,12 +167,8 @@ def choices(radius: int, keys: int) -> list[np.ndarray]:
     return [U64(sum(block[i] for i in some)) for some in combinations(range(blocks), keys)]
 
 
-def links(prints: DataFrame, radius: int, keys: int, group: int = 4096) -> DataFrame:
-    """Links (a, b: fingerprints) that connect all distinct fingerprints `fp` within the radius.
-
-    group: fingerprints under one key that a task compares at once. A larger group is cut by further keys of the other bits, where
-    these separate it, and compared block against block.
-    """
+def links(prints: DataFrame, radius: int, keys: int) -> DataFrame:
+    """Links (a, b: fingerprints) that connect all distinct fingerprints `fp` within the radius, through others where need be."""
     n = width(prints.sparkSession)
     masks = choices(radius, keys)
 
@@ -196,18 +200,12 @@ def links(prints: DataFrame, radius: int, keys: int, group: int = 4096) -> DataF
             order = np.argsort(key, kind="stable")
             fp, key = fp[order], key[order]
             cut = np.append(runs(key), len(fp))
-            sizes = np.diff(cut)
-            a, b = [], []
-            pairs = cut[:-1][sizes == 2]  # most groups: one comparison
-            close = np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= radius
-            a.append(fp[pairs[close]])
-            b.append(fp[pairs[close] + 1])
-            for i in np.flatnonzero(sizes > 2):
-                own = fp[cut[i] : cut[i + 1]]
-                x, y = forest(own, radius, group)
-                a.append(own[x])
-                b.append(own[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+            many = np.repeat(np.diff(cut) > 1, np.diff(cut))
+            fp, key = fp[many], key[many]
+            if not len(fp):
+                continue
+            a, b = forest(fp, np.append(runs(key), len(fp)), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return dealt(prints.select("fp").mapInArrow(send, PACKED_SCHEMA), n).mapInArrow(compare, "a bigint, b bigint").distinct()
 
