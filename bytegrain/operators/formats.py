@@ -6,6 +6,7 @@ from ..functions import expr as X
 from ..functions import pattern as P
 from . import combinators as C
 from . import format as N
+from .opentype import opentype
 
 V = X.var
 
@@ -201,22 +202,6 @@ def jpeg() -> N.Format:
     return C.record(("__soi", C.is_bytes(b"\xff\xd8")), ("scans", N.RepeatWhile(scan)), ("__eoi", C.is_bytes(b"\xff\xd9")))
 
 
-def opentype() -> N.Format:
-    """The table directory of a single font, and head, maxp and hhea read at their offsets."""
-    entry = C.record(("table-id", C.fixed_ascii(4)), ("checksum", C.u32be), ("offset", C.u32be), ("length", C.u32be))
-    head = C.record(("major", C.u16be), ("minor", C.u16be), ("font-revision", C.u32be), ("checksum-adjustment", C.u32be), ("__magic", C.where(C.u32be, lambda x: x.eq(0x5F0F3CF5))), ("flags", C.u16be), ("units-per-em", C.u16be), ("created", C.u64be), ("modified", C.u64be), ("x-min", C.i16be), ("y-min", C.i16be), ("x-max", C.i16be), ("y-max", C.i16be))
-    maxp = C.record(("version", C.u32be), ("num-glyphs", C.u16be))
-    hhea = C.record(("major", C.u16be), ("minor", C.u16be), ("ascent", C.i16be), ("descent", C.i16be), ("line-gap", C.i16be))
-
-    def table(name: bytes, f: N.Format) -> N.Format:
-        found = X.find_by_key(lambda t: t["table-id"], name, V("tables"))
-        return C.chain(C.compute(found), "_t", N.Match(V("_t"), ((P.absent(), N.LiftedOption(None)), (P.present(P.binding("t")), N.LiftedOption(C.with_relative_offset(0, V("t")["offset"], C.slice_of(V("t")["length"], f)))))))
-
-    magic = N.Union((C.is_bytes(b"\0\1\0\0"), C.is_bytes(b"OTTO"), C.is_bytes(b"true")))
-    directory = [("magic", magic), ("num-tables", C.u16be), ("search-range", C.u16be), ("entry-selector", C.u16be), ("range-shift", C.u16be), ("tables", C.repeat_count(V("num-tables"), entry))]
-    return C.record(*directory, ("head", table(b"head", head)), ("maxp", table(b"maxp", maxp)), ("hhea", table(b"hhea", hhea)), ("__rest", N.SkipRemainder()))
-
-
 REGISTRY: dict[str, N.Format] = {
     "waldo": waldo(), "peano": peano(), "gif": gif(), "tgz": gzip(tar()), "gzip": gzip(), "jpeg": jpeg(), "mpeg4": mpeg4(), "png": png(), "riff": riff(), "tiff": tiff(), "tar": tar(), "elf": elf(),
     "opentype": opentype(), "numbers": numbers(), "rle": run_length(), "text": text(), "zlib": zlib_stream(),
