@@ -6,6 +6,7 @@ from ..functions import expr as X
 from ..functions import pattern as P
 from . import combinators as C
 from . import format as N
+from .chunks import by_tag, jpeg_content, jpeg_scan, mpeg4, png_content
 from .opentype import opentype
 
 V = X.var
@@ -124,7 +125,9 @@ def png() -> N.Format:
     def tagged(*tags: bytes) -> N.Format:
         return C.peek_not(N.Tuple((C.repeat_count(4, C.ANY), N.UnionNondet(tuple(map(C.is_bytes, tags))))))
 
-    other = C.monad_seq(tagged(b"IDAT", b"IEND"), chunk(C.fixed_ascii(4), C.opaque_bytes()))
+    content = C.peek(C.slice_of(V("length"), by_tag(V("tag"), png_content(V("ihdr")["data"]["color-type"], zlib_stream()))))
+    known = C.record(("length", length), ("tag", C.fixed_ascii(4)), ("content", content), ("data", C.slice_of(V("length"), C.opaque_bytes())), ("crc", C.u32be))
+    other = C.monad_seq(tagged(b"IDAT", b"IEND"), known)
     idat = chunk(C.tag(b"IDAT"), C.opaque_bytes())
     many = lambda f: N.RepeatWhile(f)
     return C.record(
@@ -181,24 +184,14 @@ def elf() -> N.Format:
     return N.UnionNondet(tuple(body(o, w) for w in (False, True) for o in ("little", "big")))
 
 
-def mpeg4() -> N.Format:
-    """Atoms: size (32 or 64 bits), type and payload; ftyp's brands are decoded."""
-    ftyp = C.record(("major-brand", C.fixed_ascii(4)), ("minor-version", C.u32be), ("compatible-brands", N.Repeat(C.fixed_ascii(4))))
-    big = V("size-field").eq(1)
-    atom = C.record(
-        ("size-field", C.u32be), ("type", C.fixed_ascii(4)), ("size", N.Match(big, ((P.boolean(True), C.map_format(C.u64be, lambda n: n - 16)), (P.boolean(False), C.compute(X.cast("u64", V("size-field") - 8)))))),
-        ("data", C.slice_of(V("size"), N.Match(V("type"), ((P.byte_string(b"ftyp"), N.Variant("ftyp", ftyp)), (P.wildcard(), N.Variant("opaque", C.opaque_bytes()))))))
-    )
-    return C.record(("__first", C.peek(N.Tuple((C.repeat_count(4, C.ANY), C.is_bytes(b"ftyp"))))), ("atoms", N.RepeatWhile(atom)))
-
-
 def jpeg() -> N.Format:
     """SOI, segments with their lengths, then scans with stuffing removed, EOI."""
     segment = C.record(
-        ("__ff", C.is_byte(0xFF)), ("marker", N.Byte(~C.ByteSet.of([0x00, 0xD8, 0xD9, 0xDA, 0xFF, *range(0xD0, 0xD8)]))), ("length", C.where(C.u16be, lambda n: n.gte(2))), ("data", C.slice_of(V("length") - 2, C.opaque_bytes())),
+        ("__ff", C.is_byte(0xFF)), ("marker", N.Byte(~C.ByteSet.of([0x00, 0xD8, 0xD9, 0xDA, 0xFF, *range(0xD0, 0xD8)]))), ("length", C.where(C.u16be, lambda n: n.gte(2))), ("content", C.peek(C.slice_of(V("length") - 2, jpeg_content(tiff())))),
+        ("data", C.slice_of(V("length") - 2, C.opaque_bytes())),
     )
     raw = N.Union((C.map_format(C.not_byte(0xFF), lambda b: X.seq_of(b)), C.map_format(C.is_bytes(b"\xff\x00"), lambda s: X.seq_of(s.at(0))), C.map_format(N.Tuple((C.is_byte(0xFF), C.byte_in(range(0xD0, 0xD8)))), lambda t: X.enum_from_to(0, 0))))
-    scan = C.record(("segments", N.Repeat(segment)), ("__ff", C.is_bytes(b"\xff\xda")), ("length", C.u16be), ("header", C.slice_of(V("length") - 2, C.opaque_bytes())), ("data", C.map_format(N.Repeat(raw), lambda s: X.flat_map(lambda x: x, s))))
+    scan = C.record(("segments", N.Repeat(segment)), ("__ff", C.is_bytes(b"\xff\xda")), ("length", C.u16be), ("header", C.slice_of(V("length") - 2, N.UnionNondet((N.Variant("scan", jpeg_scan()), N.Variant("opaque", C.opaque_bytes()))))), ("data", C.map_format(N.Repeat(raw), lambda s: X.flat_map(lambda x: x, s))))
     return C.record(("__soi", C.is_bytes(b"\xff\xd8")), ("scans", N.RepeatWhile(scan)), ("__eoi", C.is_bytes(b"\xff\xd9")))
 
 
