@@ -430,6 +430,53 @@ def png_chunks(spark, sf_dir):
     return found.select("doc_id", F.col("value.ihdr.data.width").alias("width"), F.size(F.filter("value.chunks.tag", lambda t: t == "tEXt")).cast("bigint").alias("n_text"), F.octet_length("value.idat.data").cast("bigint").alias("n_pixels"))
 
 
+def _font(raw: bytes) -> bytes:
+    import struct
+
+    svg = struct.pack(">HII", 0, 10, 0) + struct.pack(">H2H2I", 1, 3, 9, 14, len(raw)) + raw
+    kern = struct.pack(">2H3H4H2Hh", 0, 1, 0, 20, 1, 1, 6, 0, 0, 1, 2, -(len(raw) % 1000))
+    rows, at = b"", 12 + 2 * 16
+    for tag, data in ((b"SVG ", svg), (b"kern", kern)):
+        rows += tag + struct.pack(">3I", 0, at, len(data))
+        at += len(data)
+    return b"\0\1\0\0" + struct.pack(">4H", 2, 0, 0, 0) + rows + svg + kern
+
+
+@query("select doc_id, sha256(coalesce(text, '')) as document, (-(octet_length(encode(coalesce(text, ''))) % 1000))::bigint as kerning from documents")
+def opentype_tables(spark, sf_dir):
+    """OpenType: a document captured at an offset from its table, and a kerning pair, found by tags in the directory."""
+    packed = _made(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _font, "doc_id")
+    found = payloads.decode_column(packed, "opentype", "struct<font:struct<svg:struct<documents:struct<items:array<struct<document:binary>>>>,kern:struct<subtables:struct<items:array<struct<data:struct<pairs:struct<pairs:array<struct<value:bigint>>>>>>>>>>")
+    font = F.col("value.font")
+    return found.select("doc_id", F.sha2(font["svg"]["documents"]["items"][0]["document"], 256).alias("document"), font["kern"]["subtables"]["items"][0]["data"]["pairs"]["pairs"][0]["value"].alias("kerning"))
+
+
+def _film(raw: bytes) -> bytes:
+    import struct
+
+    def atom(tag: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", 8 + len(data)) + tag + data
+
+    out = atom(b"stts", struct.pack(">4I", 0, 1, len(raw), 512))
+    for tag in (b"stbl", b"minf", b"mdia", b"trak", b"moov"):
+        out = atom(tag, out)
+    return atom(b"ftyp", b"isom\0\0\2\0mp41") + out + struct.pack(">I4sQ", 1, b"mdat", 16 + len(raw)) + raw
+
+
+@query("select doc_id, octet_length(encode(coalesce(text, '')))::bigint as n_samples, octet_length(encode(coalesce(text, '')))::bigint as media_size from documents")
+def mpeg4_atoms(spark, sf_dir):
+    """ISO media: a sample table six atoms deep, and the size of the media data, which are skipped."""
+    packed = _made(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _film, "doc_id")
+    deep = "table:struct<entries:array<struct<`sample-count`:bigint>>>"
+    for tag in ("stts", "stbl", "minf", "mdia", "trak", "moov"):
+        deep = f"atoms:array<struct<{'size:bigint,' if tag == 'moov' else ''}data:struct<{tag}:struct<{deep}>>>>"
+    found = payloads.decode_column(packed, "mpeg4", f"struct<{deep}>")
+    at = F.col("value.atoms")[1]["data"]["moov"]
+    for tag in ("trak", "mdia", "minf", "stbl", "stts"):
+        at = at["atoms"][0]["data"][tag]
+    return found.select("doc_id", at["table"]["entries"][0]["sample-count"].alias("n_samples"), F.col("value.atoms")[2]["size"].alias("media_size"))
+
+
 @query("select case when octet_length(encode(text)) % 3 = 0 then 0 else 1 end::bigint as has_text, count(*)::bigint as n_files, sum(octet_length(encode(text)) % 3)::bigint as n_chunks from documents group by 1")
 def chunk_pivot(spark, sf_dir):
     """Analytics over decoded chunks: files by whether they hold a text chunk, and how many chunks there are."""
