@@ -48,7 +48,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3, masks=simhash.choices(3, 2))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
