@@ -28,7 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.deduplicated(docs.select(*COLUMNS), shingle=5, radius=7, keys=2)
+    return simhash.deduplicated(docs.select(*COLUMNS), shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
