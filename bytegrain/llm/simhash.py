@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,17 +29,19 @@ LANES, STRIDE = U64(0x0101010101010101), U64(0x9E3779B97F4A7C15)
 
 #: Of 256 bits: texts of similarity 0.8 (a cosine of 2 s / (1 + s)) differ in 39 bits on average, with a deviation of 6.
 WIDE_RADIUS = 45
+#: Of 256 bits, for candidates that are verified: 3.7 deviations above the mean at 0.8, so that the radius itself loses no pair to speak of.
+CANDIDATE_RADIUS = 60
+CANDIDATE_MASKS = 80
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int = 1) -> np.ndarray:
-    """A fingerprint of each document, in a row of `words` words: a bit is 1 if it is set in over half the hashes of its shingles, which
-    are their XXH64 in the first word and what `mixed` makes of these in the others."""
+def shingled(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle, and where each document's begin."""
     data = LOWER[data]
     starts, ends, first = spans(data, offsets, SPACE)
     sizes = ends - starts + 1
     at = np.concatenate([[0], np.cumsum(sizes)])  # of words in the text joined by single spaces
     if not len(starts):
-        return np.zeros((len(offsets) - 1, words), U64)
+        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
     edge = np.zeros(len(data) + 1, np.int8)
     edge[starts] += 1
     edge[ends] -= 1
@@ -53,10 +56,19 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int
     low = np.arange(begin[-1]) - np.repeat(begin[:-1], count) + np.repeat(first[:-1], count)
     high = low + np.repeat(np.minimum(n, shingle), count)
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    ones = np.zeros((len(n), words, 64), np.int64)
-    step, a, b = 1 << 16, at[low], at[high] - 1
+    step, a, b, out = 1 << 16, at[low], at[high] - 1, np.empty(len(low), U64)
     for k in range(0, len(low), step):
-        h = np.fromiter([digest(raw[x:y], SEED) for x, y in zip(a[k : k + step].tolist(), b[k : k + step].tolist())], U64, min(step, len(low) - k))
+        out[k : k + step] = [digest(raw[x:y], SEED) for x, y in zip(a[k : k + step].tolist(), b[k : k + step].tolist())]
+    return out, begin
+
+
+def voted(hashes: np.ndarray, begin: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of documents whose hashes begin at `begin`."""
+    count = np.diff(begin)
+    ones = np.zeros((len(count), words, 64), np.int64)
+    step = 1 << 16
+    for k in range(0, len(hashes), step):
+        h = hashes[k : k + step]
         which = np.searchsorted(begin, np.arange(k, k + len(h)), "right") - 1
         cut = np.union1d(runs(which), np.arange(0, len(h), 255))  # a byte counts 255 at most
         many = runs(which[cut])
@@ -68,6 +80,30 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int
     return np.packbits(2 * ones > count[:, None, None], axis=2, bitorder="little").view(U64).reshape(-1, words)
 
 
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int = 1) -> np.ndarray:
+    """A fingerprint of each document, in a row of `words` words: a bit is 1 if it is set in over half the hashes of its shingles, which
+    are their XXH64 in the first word and what `mixed` makes of these in the others."""
+    return voted(*shingled(data, offsets, shingle), words)
+
+
+def distinct(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct hashes in order, and where they begin."""
+    which = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    hashes = hashes[np.lexsort((hashes, which))]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (which[1:] != which[:-1])
+    return hashes[first], np.searchsorted(which[first], np.arange(len(begin)))
+
+
+def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """128 bits of each set of hashes."""
+    out = np.empty((len(begin) - 1, 2), U64)
+    for k in range(2):
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(values + U64(k + 1) * STRIDE), dtype=U64)])
+        out[:, k] = sums[begin[1:]] - sums[begin[:-1]]
+    return out
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """Bit planes of rows of words: bit j of word w of plane b is bit b of row 64 w + j."""
     out = np.empty((64 * values.shape[1], len(values) // 64), U64)
@@ -205,8 +241,10 @@ def tables(words: int, count: int, bits: int) -> list[np.ndarray]:
 
 def _column(values: np.ndarray) -> pa.Array:
     """Rows of words as a column: a signed long of one word, else their bytes."""
-    if values.shape[1] == 1:
-        return pa.array(values[:, 0].view(np.int64))
+    return pa.array(values[:, 0].view(np.int64)) if values.shape[1] == 1 else _bytes(values)
+
+
+def _bytes(values: np.ndarray) -> pa.Array:
     flat = pa.py_buffer(np.ascontiguousarray(values).tobytes())
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * values.shape[1]), len(values), [None, flat]).cast(pa.binary())
 
@@ -321,8 +359,146 @@ def with_group(prints: DataFrame, groups: DataFrame, many: DataFrame) -> DataFra
     return prints.join(many, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, masks: list[np.ndarray] | None = None) -> DataFrame:
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """sig and items: each text's distinct shingle hashes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                values, begin = distinct(*shingled(*buffer(piece.column("text")), shingle))
+                items = pa.array([values[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([_column(signatures(values, begin)), items], ["sig", "items"])
+
+    return docs.select("text").mapInArrow(run, "sig binary, items binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (root, a, b: sigs) with `same`: whether the sets' exact Jaccard similarity is `similarity` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    same.append(False)
+                    continue
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                same.append(shared >= similarity * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "a", "b")), pa.array(same, pa.bool_())], ["root", "a", "b", "same"])
+
+    found = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
+    return found.select("root", "a", "b", "x", "y").mapInArrow(run, "root binary, a binary, b binary, same boolean")
+
+
+def untested(prints: np.ndarray, sizes: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray, radius: int, similarity: float, most: int) -> np.ndarray:
+    """Pairs of nodes to verify next: for each fingerprint (of node `node[i]`), the `most` nearest within the radius that are not yet in the
+    node's verified component nor tested with it (a, b, same), and whose set's size allows the similarity. None are left out in the end:
+    the caller asks until nothing is returned."""
+    n = int(node.max()) + 1
+    label = np.arange(n)
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return int(i)
+
+    for x, y in zip(a[same].tolist(), b[same].tolist()):
+        x, y = root(x), root(y)
+        label[max(x, y)] = min(x, y)
+    label = np.array([root(i) for i in range(n)])
+    failed = np.unique(np.concatenate([a[~same] * n + b[~same], b[~same] * n + a[~same]]))
+    out = [np.zeros(0, np.int64)]
+    step = max(1, (1 << 21) // len(node))
+    for low in range(0, len(node), step):
+        own = slice(low, low + step)
+        apart = np.zeros((len(node[own]), len(node)), np.int16)
+        for w in range(prints.shape[1]):
+            apart += np.bitwise_count(prints[own, w][:, None] ^ prints[None, :, w])
+        small, large = np.minimum(sizes[own][:, None], sizes[None]), np.maximum(sizes[own][:, None], sizes[None])
+        i, j = np.nonzero((apart <= radius) & (label[node[own]][:, None] != label[node][None]) & (small >= similarity * large))
+        code = node[own][i] * n + node[j]
+        fresh = ~np.isin(code, failed)
+        i, j, code = i[fresh], j[fresh], code[fresh]
+        order = np.lexsort((apart[i, j], i))
+        i, code = i[order], code[order]
+        begin = runs(i)
+        rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+        code = code[rank < most]
+        out.append(np.minimum(code // n, code % n) * n + np.maximum(code // n, code % n))
+    code = np.unique(np.concatenate(out))
+    return np.stack([code // n, code % n], 1)
+
+
+def _asked(members: DataFrame, tested: DataFrame, words: int, radius: int, similarity: float, most: int) -> DataFrame:
+    """Pairs (root, a, b) to verify next in each candidate component."""
+
+    def run(key: tuple, nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        names, node = np.unique(np.array(nodes["sig"].tolist(), object), return_inverse=True)
+        at = {k: i for i, k in enumerate(names.tolist())}
+        prints = np.frombuffer(b"".join(nodes["fp"]), U64).reshape(-1, words)
+        a, b = (np.array([at[x] for x in pairs[c]], np.int64) for c in ("a", "b"))
+        found = untested(prints, nodes["size"].to_numpy(np.int64), node, a, b, pairs["same"].to_numpy(bool), radius, similarity, most)
+        return pd.DataFrame({"root": [key[0]] * len(found), "a": names[found[:, 0]], "b": names[found[:, 1]]})
+
+    return members.groupBy("root").cogroup(tested.groupBy("root")).applyInPandas(run, "root binary, a binary, b binary")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = CANDIDATE_RADIUS, masks: list[np.ndarray] | None = None) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable by verified links) for every document.
+
+    Fingerprints only make candidates: within the radius, and in agreement under a mask. A link counts if the exact Jaccard similarity of
+    the sets of shingles is `similarity` or more. A candidate component is first tested on a spanning forest; where a link of it fails, more
+    pairs within the radius are tested, round by round, until none is left between two of its verified parts, so a false link that is
+    dropped loses no true one. Texts with equal sets are one node. Null and doubled doc_ids are as in `near_duplicates`.
+    """
+    masks = tables(4, CANDIDATE_MASKS, 16) if masks is None else masks
+    words = len(masks[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                hashes, begin = shingled(*buffer(piece.column("text")), shingle)
+                values, edges = distinct(hashes, begin)
+                columns = [piece.column("doc_id"), piece.column("key"), _bytes(voted(hashes, begin, words)), _column(signatures(values, edges)), pa.array(np.diff(edges))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "sig", "size"])
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    prints = stored(keyed.mapInArrow(run, "doc_id bigint, key bigint, fp binary, sig binary, size bigint"))
+    nodes = stored(prints.groupBy("sig", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("row"), F.min("size").alias("size")))
+    # the candidate graph is of sigs: a fingerprint's links are those of its first sig, to which its others are linked
+    first = stored(nodes.groupBy("fp").agg(F.min("sig").alias("sig")))
+    loose = stored(links(first, radius, masks))
+    pairs = loose.join(first.select(F.col("fp").alias("a"), F.col("sig").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("sig").alias("y")), "b").select("x", "y")
+    pairs = pairs.unionAll(nodes.join(first.withColumnRenamed("sig", "y"), "fp").select(F.col("sig").alias("x"), "y"))
+    pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
+    roots = components(pairs)
+    roots = stored(roots.unionAll(roots.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "sig"))
+    members = stored(nodes.join(roots, "sig").select("root", "sig", "fp", "size", "row"))
+    one = members.groupBy("sig").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
+    sets = stored(_sets(keyed.join(one, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["key"] == F.col("_key")), "left_semi"), shingle).dropDuplicates(["sig"]))
+    tested = stored(_verified(pairs.join(roots, F.col("a") == F.col("sig")).select("root", "a", "b"), sets, similarity))
+    active = stored(tested.filter("not same").select("root").distinct())
+    if active.first() is not None:
+        members = stored(members.join(active, "root", "left_semi"))
+        known, most = stored(tested.join(active, "root", "left_semi")), 4
+        while True:
+            asked = stored(_asked(members, known, words, radius, similarity, most))
+            if asked.first() is None:
+                break
+            found = stored(_verified(asked, sets, similarity))
+            tested, known, most = tested.unionAll(found), known.unionAll(found), most * 4
+    strict = components(tested.filter("same").select("a", "b"))
+    rooted = nodes.join(strict, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    many = stored(rooted.select("sig", "root").distinct().join(ids, "root").select("sig", "component_id").filter(F.col("component_id").isNotNull()))
+    return prints.join(many, "sig", "left").select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = CANDIDATE_RADIUS, masks: list[np.ndarray] | None = None) -> DataFrame:
     """The documents whose doc_id is their component's; all columns stay. Rows that repeat such a doc_id stay with it."""
-    found = near_duplicates(docs, shingle, radius, masks)
+    found = similar_groups(docs, shingle, similarity, radius, masks)
     kept = found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
