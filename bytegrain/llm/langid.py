@@ -158,10 +158,10 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, lettered: bool = False) -> DataFrame:
     """All columns of docs, then lang_pred and score (0 to 1).
 
-    `und` with score 0 where text is null or has no letter. An empty table gives an empty one. Columns named lang_pred or score are replaced.
+    `und` with score 0 where text is null or has no letter; lettered: such rows are left out. A model that learned nothing says `und` too. An empty table gives an empty one. Columns named lang_pred or score are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
@@ -173,10 +173,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 data, offsets = buffer(piece.column("text"))
                 lang, score = sent.value.predict(data, offsets)
                 has = np.concatenate([[0], np.cumsum(_LETTER[data])])
+                keep = np.ones(piece.num_rows, bool)
                 for i in np.flatnonzero(has[offsets[1:]] == has[offsets[:-1]]):
                     if not any(map(str.isalpha, piece.column("text")[int(i)].as_py() or "")):
-                        lang[i], score[i] = "und", 0.0
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
+                        lang[i], score[i], keep[i] = "und", 0.0, False
+                out = pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
+                yield out.filter(pa.array(keep)) if lettered else out
 
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 

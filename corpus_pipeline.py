@@ -13,9 +13,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language (null, or without a letter); `lang` becomes the predicted language."""
+    """Rejects documents in no language (null, or without a letter); `lang` becomes the predicted language, `und` where nothing was learned."""
     model = langid.fit(docs, ~langid.held_out())
-    found = langid.predict(docs.select(*COLUMNS), model).filter("lang_pred <> 'und'")
+    found = langid.predict(docs.select(*COLUMNS), model, lettered=True)
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
