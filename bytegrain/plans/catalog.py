@@ -67,6 +67,13 @@ def utf8_decode_program(spark, sf_dir):
     return found.select("doc_id", F.char_length("value").cast("bigint").alias("n_chars"), "n_bytes")
 
 
+@query()
+def utf8_decode_program_whole(spark, sf_dir):
+    """The text format run as a decode program, on every whole text; at 20 kB/s a core too slow for SQL tests on large tables."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    return payloads.decode_column(docs, "text", "string").select("doc_id", F.char_length("value").cast("bigint").alias("n_chars"), "n_bytes")
+
+
 @query("""select page_id, length(regexp_replace(html, '[^0-9]', '', 'g'))::bigint as n_digits, length(regexp_replace(html, '[^A-Za-z]', '', 'g'))::bigint as n_letters, length(regexp_replace(html, '[^<>]', '', 'g'))::bigint as n_angles from pages""")
 def byte_class_counts(spark, sf_dir):
     """Byte(set): counts of bytes in sets."""
