@@ -64,7 +64,8 @@ class Seating:
 
 
 class PitmanYor:
-    """Chinese-restaurant seating sampled by Gibbs; predictive probabilities are averaged over samples."""
+    """Chinese-restaurant seating, approximated: a sweep reseats one customer of each kind at most, so in burn_in + samples sweeps large kinds
+    stay near their start of customers ** discount tables. Predictive probabilities are averaged over samples."""
 
     def __init__(self, kinds: np.ndarray, customers: np.ndarray, seed: int = 17, burn_in: int = 10, samples: int = 10):
         self.rng = np.random.default_rng(seed)
