@@ -2,8 +2,8 @@
 
 The restaurant of words seats every training token. A word that it does not know, and each new table, comes from the parent, which spells
 the word byte by byte up to a space: restaurants there are contexts of none to three bytes of the word so far, the parent of a context is the
-context without its oldest byte, and the root's parent is uniform over bytes. As in any such hierarchy, the parent's customers are the
-child's tables. Older bytes count by their class, so there are at most 32^3 leaf contexts and 2^23 kinds of customers however large the
+context without its oldest byte, and the root's parent is uniform over bytes. Among the restaurants of bytes the parent's customers are
+the child's tables; but the top one of them has one customer for each distinct word, fitted before words are seated, not one for each table of a word. Older bytes count by their class, so there are at most 32^3 leaf contexts and 2^23 kinds of customers however large the
 corpus: what the driver holds and sends is bounded. Word counts are not; they stay in partitions by hash.
 """
 
