@@ -1,6 +1,7 @@
 """OpenType fonts and collections, as the public specification lays their tables out.
 
-Every table is found by its tag in the directory and read in a slice at its offset; a font without a table has none in its place.
+The tables listed in this module are found by their tags in the directory and read in a slice at their offsets; a font without a table has
+none in its place. Not read: BASE, GDEF, MVAR, HVAR, STAT and gvar, and the sub-tables of GSUB and GPOS lookups, of which only offsets are kept.
 Offsets inside tables count from the table (or sub-table) that holds them; zero means that nothing is there.
 """
 
