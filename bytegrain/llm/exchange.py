@@ -22,9 +22,12 @@ def dealt(frame: DataFrame, n: int) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; only where that is unset, as in tests, a local one is set."""
+    """A new folder's path under spark.checkpoint.dir. Only where that is unset and all tasks run on this machine, as in tests, a local one is
+    taken; on a cluster an unset folder is an error, since machines would not see each other's files."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{root.rstrip('/')}/bytegrain-{uuid.uuid4().hex}"
@@ -37,6 +40,14 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Partition of each hash, by its high bits."""
     return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int64)

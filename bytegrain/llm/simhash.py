@@ -3,12 +3,14 @@
 A fingerprint has one or more words of 64 bits. Fingerprints that differ in few bits agree on some of the bit sets that serve as keys
 (`choices`: every pair within the radius agrees on one; `tables`: for a wide radius, a stated share of pairs does), so each fingerprint is
 sent under each key. Under one value of a key, fingerprints are stored as bit planes of packed words; a query's distances to 64 fingerprints
-are counted at once by carry-save adders, and a block is abandoned once all its distances exceed the radius. Only links of a spanning
-forest leave a task, so no group emits its pairs; those linked to a large group's first fingerprint are not compared among each other.
+(in small groups: those of 64 pairs) are counted at once by carry-save adders, and a block is abandoned once all its distances exceed the
+radius. Only links of a spanning forest leave a task, so no group emits its pairs; those linked to a large group's first fingerprint are
+not compared among each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,18 +22,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import PACKED_SCHEMA, dealt, packed, packed_rows, runs, stored, unpacked, width
+from .exchange import PACKED_SCHEMA, dealt, packed, packed_rows, runs, stored, unpacked, unused, width
 from .text import LOWER, SPACE, buffer, mixed, slices, spans
 
 U64 = np.uint64
 SEED = 42
-LANES, STRIDE = U64(0x0101010101010101), U64(0x9E3779B97F4A7C15)
+LANES = U64(0x0101010101010101)
+STRIDE = 0x9E3779B97F4A7C15
+#: Groups of so many rows at most are compared pair by pair, 64 pairs to a word; in larger ones a row meets 64 others at a time.
+SMALL_GROUP = 24
 
 #: Of 256 bits: texts of similarity 0.8 (a cosine of 2 s / (1 + s)) differ in 39 bits on average, with a deviation of 6.
 WIDE_RADIUS = 45
 #: Of 256 bits, for candidates that are verified: 3.7 deviations above the mean at 0.8, so that the radius itself loses no pair to speak of.
 CANDIDATE_RADIUS = 60
-CANDIDATE_MASKS = 80
+#: The share of pairs at a similarity of 0.8 that may agree under none of the masks, and how many strangers a fingerprint may meet under one.
+CANDIDATE_MISS, STRANGERS = 0.003, 4
+
+
+def strides(w: int) -> np.uint64:
+    """w steps of an odd constant, modulo 2^64."""
+    return U64(w * STRIDE & 0xFFFFFFFFFFFFFFFF)
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +84,7 @@ def voted(hashes: np.ndarray, begin: np.ndarray, words: int) -> np.ndarray:
         cut = np.union1d(runs(which), np.arange(0, len(h), 255))  # a byte counts 255 at most
         many = runs(which[cut])
         for w in range(words):
-            g = mixed(h + U64(w) * STRIDE) if w else h
+            g = mixed(h + strides(w)) if w else h
             for shift in range(8):
                 lanes = np.add.reduceat((g >> U64(shift)) & LANES, cut)
                 ones[which[cut[many]], w, shift::8] += np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), many, axis=0, dtype=np.int64)
@@ -99,7 +110,7 @@ def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """128 bits of each set of hashes."""
     out = np.empty((len(begin) - 1, 2), U64)
     for k in range(2):
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(values + U64(k + 1) * STRIDE), dtype=U64)])
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(values + strides(k + 1)), dtype=U64)])
         out[:, k] = sums[begin[1:]] - sums[begin[:-1]]
     return out
 
@@ -150,6 +161,48 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return greater
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows a[i] and b[i] are within the radius: the planes of their differences, 64 pairs to a word, added up as in `near`."""
+    apart = np.zeros((-(-len(a) // 64) * 64, a.shape[1]), U64)
+    apart[: len(a)] = a ^ b
+    table = planes(apart)
+    levels, left = max(1, int(radius + 1).bit_length()), np.arange(table.shape[1])
+    counters, over = [np.zeros(len(left), U64) for _ in range(levels)], np.zeros(len(left), U64)
+    out = np.zeros(len(left), U64)
+    for k in range(len(table)):
+        carry = table[k][left] if len(left) < table.shape[1] else table[k]
+        for c in range(levels):
+            counters[c], carry = counters[c] ^ carry, counters[c] & carry
+        over |= carry
+        if k % 32 == 31 and k + 1 < len(table):
+            keep = (over | _exceeds(counters, radius)) != ~U64(0)
+            if not keep.all():
+                left, over, counters = left[keep], over[keep], [c[keep] for c in counters]
+    out[left] = ~(over | _exceeds(counters, radius))
+    return np.unpackbits(out.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
+
+
+def small_forest(values: np.ndarray, cut: np.ndarray, radius: int, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a spanning forest of the rows within the radius, in groups of SMALL_GROUP rows at most: the groups of one size at a time."""
+    sizes = np.diff(cut)
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        begin = cut[:-1][sizes == n]
+        for k in range(0, len(begin), max(1, step // len(i))):
+            some = begin[k : k + max(1, step // len(i)), None]
+            hits = near_pairs(values[(some + i).ravel()], values[(some + j).ravel()], radius).reshape(len(some), len(i))
+            hit = hits.any(1)
+            some, hits = some[hit, 0], hits[hit]
+            label = np.tile(np.arange(n), (len(some), 1))
+            for p in np.flatnonzero(hits.any(0)).tolist() if len(some) else ():
+                x, y = label[:, i[p]].copy(), label[:, j[p]].copy()
+                new = np.flatnonzero(hits[:, p] & (x != y))
+                if len(new):
+                    own = label[new]
+                    label[new] = np.where(own == y[new, None], x[new, None], own)
+                    yield some[new] + i[p], some[new] + j[p]
+
+
 def forest(values: np.ndarray, cut: np.ndarray, radius: int, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of the rows within the radius, in each group [cut[i], cut[i + 1]) on its own.
 
@@ -227,6 +280,15 @@ def choices(radius: int, keys: int) -> list[np.ndarray]:
     return [np.array([sum(block[i] for i in some)], U64) for some in combinations(range(blocks), keys)]
 
 
+def growing_tables(rows: int, words: int = 4, similarity: float = 0.8, miss: float = CANDIDATE_MISS) -> list[np.ndarray]:
+    """Masks for so many distinct fingerprints: the more there are, the more bits a mask has, so that a fingerprint meets STRANGERS others
+    by chance at most, and the more masks, so that a pair of the similarity is missed by all with the same small probability. Comparisons
+    therefore grow with rows ** 1.24 at 0.8, not with their square."""
+    bits = max(16, math.ceil(math.log2(max(1, rows) / STRANGERS)))
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    return tables(words, math.ceil(math.log(miss) / math.log1p(-agree)), bits)
+
+
 def tables(words: int, count: int, bits: int) -> list[np.ndarray]:
     """`count` masks of `bits` bits of `words` words, drawn from a fixed seed. Of pairs that differ in a share p of their bits, a share
     1 - (1 - (1 - p) ** bits) ** count agrees on one of them."""
@@ -263,14 +325,10 @@ def _folded(values: np.ndarray) -> np.ndarray:
     """A hash of each row of words."""
     out = np.zeros(len(values), U64)
     for w in range(values.shape[1]):
-        out = mixed(out * STRIDE + values[:, w] + U64(1))
+        out = mixed(out * U64(STRIDE) + values[:, w] + U64(1))
     return out
 
 
-def _unique(values: np.ndarray) -> np.ndarray:
-    return np.unique(values[:, 0]).reshape(-1, 1) if values.shape[1] == 1 else np.unique(values, axis=0)
-
-
 def _portions(cut: np.ndarray, most: int = 1 << 12) -> Iterator[np.ndarray]:
     """The groups' edges, a portion at a time that fills `most` words of 64 rows, or has one group."""
     ends, low = np.cumsum(-(-np.diff(cut) // 64)), 0
@@ -281,13 +339,13 @@ def _portions(cut: np.ndarray, most: int = 1 << 12) -> Iterator[np.ndarray]:
 
 
 def links(prints: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
-    """Links (a, b: fingerprints) that connect all distinct fingerprints `fp` that are within the radius and agree under one of the
+    """Links (a, b: fingerprints) that connect all fingerprints `fp`, each there once, that are within the radius and agree under one of the
     masks at least, through others where need be."""
     n, words = width(prints.sparkSession), len(masks[0])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = _unique(_words(batch.column(0), words))
+            fp = _words(batch.column(0), words)
             whole: list[list[np.ndarray]] = [[] for _ in range(n)]
             for k, mask in enumerate(masks):
                 where = (mixed(_folded(fp & mask) + U64(k)) >> U64(40)) % U64(n)
@@ -308,12 +366,16 @@ def links(prints: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
         for mask, part in zip(masks, parts):
             if not part:
                 continue
-            fp = _unique(np.concatenate(part))
+            fp = np.concatenate(part)
             key = _folded(fp & mask)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             fp, key = fp[order], key[order]
-            cut = np.append(runs(key), len(fp))
-            many = np.repeat(np.diff(cut) > 1, np.diff(cut))
+            sizes = np.diff(np.append(runs(key), len(fp)))
+            few = np.repeat((sizes > 1) & (sizes <= SMALL_GROUP), sizes)
+            small = fp[few]
+            for x, y in small_forest(small, np.append(runs(key[few]), len(small)), radius):
+                yield pa.RecordBatch.from_arrays([_column(small[x]), _column(small[y])], ["a", "b"])
+            many = np.repeat(sizes > SMALL_GROUP, sizes)
             fp, key = fp[many], key[many]
             for edges in _portions(np.append(runs(key), len(fp))):
                 own = fp[edges[0] : edges[-1]]
@@ -380,12 +442,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             same = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
                     same.append(False)
                     continue
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                same.append(shared >= similarity * (len(both) - shared))
+                same.append(shared >= similarity * (len(both) - shared) - 1e-9)  # 0.8 of a number may lie a little above it
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "a", "b")), pa.array(same, pa.bool_())], ["root", "a", "b", "same"])
 
     found = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
@@ -418,7 +480,7 @@ def untested(prints: np.ndarray, sizes: np.ndarray, node: np.ndarray, a: np.ndar
         for w in range(prints.shape[1]):
             apart += np.bitwise_count(prints[own, w][:, None] ^ prints[None, :, w])
         small, large = np.minimum(sizes[own][:, None], sizes[None]), np.maximum(sizes[own][:, None], sizes[None])
-        i, j = np.nonzero((apart <= radius) & (label[node[own]][:, None] != label[node][None]) & (small >= similarity * large))
+        i, j = np.nonzero((apart <= radius) & (label[node[own]][:, None] != label[node][None]) & (small >= similarity * large - 1e-9))
         code = node[own][i] * n + node[j]
         fresh = ~np.isin(code, failed)
         i, j, code = i[fresh], j[fresh], code[fresh]
@@ -454,8 +516,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     pairs within the radius are tested, round by round, until none is left between two of its verified parts, so a false link that is
     dropped loses no true one. Texts with equal sets are one node. Null and doubled doc_ids are as in `near_duplicates`.
     """
-    masks = tables(4, CANDIDATE_MASKS, 16) if masks is None else masks
-    words = len(masks[0])
+    words = 4 if masks is None else len(masks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -470,6 +531,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     nodes = stored(prints.groupBy("sig", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("row"), F.min("size").alias("size")))
     # the candidate graph is of sigs: a fingerprint's links are those of its first sig, to which its others are linked
     first = stored(nodes.groupBy("fp").agg(F.min("sig").alias("sig")))
+    masks = growing_tables(first.count(), words, similarity) if masks is None else masks
     loose = stored(links(first, radius, masks))
     pairs = loose.join(first.select(F.col("fp").alias("a"), F.col("sig").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("sig").alias("y")), "b").select("x", "y")
     pairs = pairs.unionAll(nodes.join(first.withColumnRenamed("sig", "y"), "fp").select(F.col("sig").alias("x"), "y"))
@@ -498,7 +560,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = CANDIDATE_RADIUS, masks: list[np.ndarray] | None = None) -> DataFrame:
-    """The documents whose doc_id is their component's; all columns stay. Rows that repeat such a doc_id stay with it."""
+    """The documents whose doc_id is their component's; all columns stay, whatever their names. Rows that repeat such a doc_id stay with it,
+    rows without a doc_id stay; null and empty texts are one group; an empty table gives an empty one."""
     found = similar_groups(docs, shingle, similarity, radius, masks)
-    kept = found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    name = unused(docs, "_kept")
+    kept = found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
