@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .exchange import mapped
 from .text import mixed, slices
 
 U64 = np.uint64
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids, offsets = coder.encode([t or "" for t in piece.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select("doc_id", "text").transform(mapped, run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -219,7 +220,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 raw = coder.decode(flat, np.concatenate([[0], np.cumsum(lengths)]))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), column, pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").transform(mapped, run, "doc_id bigint, ids array<int>, decoded binary")
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -235,4 +236,4 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("lang"), piece.column("source"), pa.array(np.diff(offsets)), lists, pa.array(same, pa.bool_())], ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"])
 
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "lang", "source", "text").transform(mapped, run, "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>, round_trip boolean")

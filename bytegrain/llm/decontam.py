@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import mapped
 from .text import LOWER, buffer, byte_set, covered, slices, spans
 
 #: Bytes outside words; words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased.
@@ -140,7 +141,7 @@ def _scanned(docs: DataFrame, items: DataFrame, size: int, row: bool = False) ->
                 more = [pa.array(words, pa.list_(pa.int64())), piece.column("_row")] if row else []
                 yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "n_words", "n_hit", "items", "spans", *(["words", "_row"] if row else [])])
 
-    return docs.mapInArrow(run, RESULT + (", words array<bigint>, _row bigint" if row else ""))
+    return docs.transform(mapped, run, RESULT + (", words array<bigint>, _row bigint" if row else ""))
 
 
 def _places(text: str, hit: np.ndarray) -> list[dict]:
@@ -182,4 +183,4 @@ def _clean(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
                 clean[np.searchsorted(first, begin, "right") - 1] = False
                 yield piece.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,30 @@ def dealt(frame: DataFrame, n: int) -> DataFrame:
     return frame.repartitionById(n, F.col("bucket"))
 
 
+#: Bytes of rows that Spark hands to Python at once; its own limit is a number of rows, however long.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """frame.mapInArrow with batches of bounded bytes (unless the session has a limit of its own); a worker gives memory back after each task,
+    so that idle workers of one stage do not take the room of the next."""
+    spark = frame.sparkSession
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return frame.mapInArrow(lean, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path under spark.checkpoint.dir. Only where that is unset and all tasks run on this machine, as in tests, a local one is
     taken; on a cluster an unset folder is an error, since machines would not see each other's files."""

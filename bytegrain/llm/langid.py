@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import mapped
 from .text import LOWER, buffer, slices
 
 #: Fixed: families of languages by their ISO 639-1 codes. A language that is not listed is a family of its own.
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, learn, max_rows: int = 3000) -> Model:
                     rows.append(x.astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("doc_id"), pa.array(rows, pa.binary())], ["lang", "doc_id", "x"])
 
-    got = known.filter(chance < share).select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id bigint, x binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    got = known.filter(chance < share).select("lang", "doc_id", "text").transform(mapped, run, "lang string, doc_id bigint, x binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     lang = np.array(got.column("lang").to_pylist())
     scale = 1 / (x.std(0) + 1e-4)
@@ -180,7 +181,7 @@ def predict(docs: DataFrame, model: Model, lettered: bool = False) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
                 yield out.filter(pa.array(keep)) if lettered else out
 
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.transform(mapped, run, f"{kinds}, lang_pred string, score double")
 
 
 def held_out(column: str = "doc_id"):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import stored
+from .exchange import mapped, stored
 from .text import LOWER, SPACE, buffer, lines, mixed, owners, slices, span_hashes
 
 U64 = np.uint64
@@ -139,7 +139,7 @@ def reference_counts(docs: DataFrame) -> DataFrame:
                 n = np.add.reduceat(new_pair.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(n)], ["k1", "k2", "n"])
 
-    return docs.select("text").mapInArrow(run, COUNTS).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(mapped, run, COUNTS).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
 
 
 class LineIndex:
@@ -184,7 +184,7 @@ class LineIndex:
                 rare = np.asarray(batch.column("n"), dtype=np.int64) < limit
                 yield pa.RecordBatch.from_arrays([pa.array(keys[rare & sent.value.contains(keys)].view(np.int64))], ["k1"])
 
-        wrong = self.counts.mapInArrow(run, "k1 bigint").limit(self.filter_keys + 1).toArrow().column(0)
+        wrong = self.counts.transform(mapped, run, "k1 bigint").limit(self.filter_keys + 1).toArrow().column(0)
         if len(wrong) > self.filter_keys:
             return None
         made.wrong = np.sort(np.asarray(wrong, dtype=np.int64).view(U64))
@@ -235,7 +235,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, keep_text: bool = True) -> Dat
                     out.append(hashlib.sha256(rest).hexdigest() if not keep_text else None if null[i] else rest.decode())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(first)), pa.array(n_dropped), pa.array(out, pa.string()), *(piece.column(c) for c in extra)], names=["doc_id", "n_lines", "n_dropped", last.split()[0], *extra])
 
-    return held.mapInArrow(run, schema)
+    return held.transform(mapped, run, schema)
 
 
 def _with_frequent(docs: DataFrame, index: LineIndex) -> DataFrame:
@@ -248,6 +248,6 @@ def _with_frequent(docs: DataFrame, index: LineIndex) -> DataFrame:
                 ids = np.asarray(piece.column("doc_id").fill_null(0), dtype=np.int64)[owners(first)[full]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(k1[full].view(np.int64)), pa.array(k2[full].view(np.int64))], ["_id", "k1", "k2"])
 
-    asked = docs.select("doc_id", "text").mapInArrow(run, "_id bigint, k1 bigint, k2 bigint")
+    asked = docs.select("doc_id", "text").transform(mapped, run, "_id bigint, k1 bigint, k2 bigint")
     mine = asked.join(index.frequent().select("k1", "k2"), ["k1", "k2"]).groupBy("_id").agg(F.collect_set("k1").alias("_frequent"))
     return docs.join(mine, F.coalesce("doc_id", F.lit(0)) == F.col("_id"), "left").drop("_id")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import bucket_of, dealt, packed, stored, unpacked, width
+from .exchange import bucket_of, dealt, mapped, packed, stored, unpacked, width
 from .text import LOWER, SPACE, buffer, mixed, owners, slices, span_hashes, spans
 
 U64 = np.uint64
@@ -198,7 +198,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             some = order[at[low : low + 100_000]]
             yield _dealt_words(key[some], check[some], total[low : low + 100_000], data, starts[some], ends[some], 1)
 
-    return dealt(docs.select("text").mapInArrow(count, WORDS), n).mapInArrow(merge, WORDS)
+    return dealt(docs.select("text").transform(mapped, count, WORDS), n).transform(mapped, merge, WORDS)
 
 
 def _dealt_words(key: np.ndarray, check: np.ndarray, counts: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> pa.RecordBatch:
@@ -297,7 +297,7 @@ def train(docs: DataFrame, learn, samples: int = 5, **settings) -> Model:
         some = np.flatnonzero(kinds)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([packed([some.astype(np.uint32), kinds[some], sums])], pa.binary())], ["bucket", "blob"])
 
-    got = [unpacked(r[0]) for r in dealt(words.mapInArrow(count, WORDS), n).mapInArrow(merge, WORDS).select("blob").collect()]
+    got = [unpacked(r[0]) for r in dealt(words.transform(mapped, count, WORDS), n).transform(mapped, merge, WORDS).select("blob").collect()]
     kinds, counts = (np.concatenate([x[i] for x in got]) for i in range(2))
     sums = sum(x[2] for x in got)
     order = np.argsort(kinds)
@@ -315,7 +315,7 @@ def train(docs: DataFrame, learn, samples: int = 5, **settings) -> Model:
                 tables += [sent.value.seated(key, counts, spelled, k).sum() for k in range(samples)]
         yield pa.RecordBatch.from_arrays([pa.array([tables.tolist()], pa.list_(pa.float64()))], ["tables"])
 
-    sums = words.mapInArrow(seat, "tables array<double>").select(*(F.sum(F.col("tables")[k]) for k in range(samples))).first()
+    sums = words.transform(mapped, seat, "tables array<double>").select(*(F.sum(F.col("tables")[k]) for k in range(samples))).first()
     model.tables = np.array([x or 0.0 for x in sums])
     return model
 
@@ -437,7 +437,7 @@ def score(docs: DataFrame, held=None, **settings) -> DataFrame:
         columns = [pa.array(ids[order], mask=null[order].astype(bool)), pa.array(learned[order] == 0), pa.array(n_tokens[order]), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORED.split(", ")])
 
-    found = dealt(dealt(rows.mapInArrow(ask, _ASKED), n).mapInArrow(count, _ASKED), n).mapInArrow(finish, SCORED)
+    found = dealt(dealt(rows.transform(mapped, ask, _ASKED), n).transform(mapped, count, _ASKED), n).transform(mapped, finish, SCORED)
     base = F.log10(F.lit(float(model.tokens + model.vocabulary + 1)))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.lit(model.vocabulary).cast("bigint").alias("vocabulary"), (F.col("base") - F.col("n_tokens") * base).alias("base_score"), "score")
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .exchange import mapped
 from .text import SLICE_BYTES, SPACE, buffer, byte_set, covered, lines, mixed, owners, slices, span_hashes, spans, sums_by
 
 SYMBOLS = byte_set(b"#*$%&|<>")
@@ -176,4 +177,4 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
                 columns = [piece.column("doc_id"), *(pa.array(getattr(s, c).astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(~failed & (by < 0)), pa.array(names, pa.string())], names=[c.split()[0] for c in QUALITY_SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, QUALITY_SCHEMA)
+    return docs.select("doc_id", "text").transform(mapped, run, QUALITY_SCHEMA)

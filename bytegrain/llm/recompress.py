@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import PACKED_SCHEMA, bucket_of, dealt, packed, unpacked, width
+from .exchange import PACKED_SCHEMA, bucket_of, dealt, mapped, packed, unpacked, width
 from .text import SPACE, buffer, covered, mixed, owners, slices, span_hashes, spans, window_hashes
 
 U64 = np.uint64
@@ -175,7 +175,7 @@ def replies(sent: DataFrame, n: int, earliest: bool) -> DataFrame:
         if out.blobs:
             yield out.batch().select(["bucket", "blob"])
 
-    return dealt(sent, n).mapInArrow(run, PACKED_SCHEMA)
+    return dealt(sent, n).transform(mapped, run, PACKED_SCHEMA)
 
 
 def _words(piece: pa.RecordBatch) -> tuple:
@@ -193,7 +193,7 @@ def with_answers(docs: DataFrame, answers: DataFrame, n: int, work: Callable, sc
     """Brings documents and the answers for them to one task, and gives `work` slices of documents and a sorted array of answers."""
     i = F.coalesce(F.col("doc_id"), F.lit(0))
     bucket = F.pmod(i.bitwiseXOR(F.shiftright(i, 13)).bitwiseXOR(F.shiftright(i, 27)), F.lit(n)).cast("int")
-    rows = docs.select(bucket.alias("bucket"), "doc_id", "text").mapInArrow(_pressed, "bucket int, doc_id bigint, text binary, blob binary")
+    rows = docs.select(bucket.alias("bucket"), "doc_id", "text").transform(mapped, _pressed, "bucket int, doc_id bigint, text binary, blob binary")
     both = rows.unionByName(answers.select("bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("text"), "blob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def with_answers(docs: DataFrame, answers: DataFrame, n: int, work: Callable, sc
                 for piece in slices(_unpressed(batch.slice(low, 2000)), "text", 6 << 20):
                     yield from work(piece, known)
 
-    return dealt(both, n).mapInArrow(run, schema)
+    return dealt(both, n).transform(mapped, run, schema)
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, rounds: int = ROUNDS, keep_t
                 post(out, found[0][at][real], np.zeros(int(real.sum()), np.uint8), doc[real], earliest=False)
                 yield out.batch()
 
-    shared = replies(docs.mapInArrow(ask_names, SENT), n, earliest=False)
+    shared = replies(docs.transform(mapped, ask_names, SENT), n, earliest=False)
 
     def ask_windows(piece: pa.RecordBatch, known: np.ndarray) -> Iterator[pa.RecordBatch]:
         data, starts, ends, first, ids = _words(piece)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import PACKED_SCHEMA, dealt, packed, packed_rows, runs, stored, unpacked, unused, width
+from .exchange import PACKED_SCHEMA, dealt, mapped, packed, packed_rows, runs, stored, unpacked, unused, width
 from .text import LOWER, SPACE, buffer, mixed, slices, spans
 
 U64 = np.uint64
@@ -383,7 +383,7 @@ def links(prints: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_column(own[x]) for x in (a, b)], ["a", "b"])
 
     kind = _kind(words)
-    return dealt(prints.select("fp").mapInArrow(send, PACKED_SCHEMA), n).mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return dealt(prints.select("fp").transform(mapped, send, PACKED_SCHEMA), n).transform(mapped, compare, f"a {kind}, b {kind}").distinct()
 
 
 def fingerprinted(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
@@ -395,7 +395,7 @@ def fingerprinted(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
                 fp = fingerprints(*buffer(piece.column("text")), shingle, words)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _column(fp)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, fp {_kind(words)}")
+    return docs.select("doc_id", "text").transform(mapped, run, f"doc_id bigint, fp {_kind(words)}")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, masks: list[np.ndarray] | None = None) -> DataFrame:
@@ -431,7 +431,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 items = pa.array([values[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([_column(signatures(values, begin)), items], ["sig", "items"])
 
-    return docs.select("text").mapInArrow(run, "sig binary, items binary")
+    return docs.select("text").transform(mapped, run, "sig binary, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -451,7 +451,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "a", "b")), pa.array(same, pa.bool_())], ["root", "a", "b", "same"])
 
     found = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
-    return found.select("root", "a", "b", "x", "y").mapInArrow(run, "root binary, a binary, b binary, same boolean")
+    return found.select("root", "a", "b", "x", "y").transform(mapped, run, "root binary, a binary, b binary, same boolean")
 
 
 def untested(prints: np.ndarray, sizes: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray, radius: int, similarity: float, most: int) -> np.ndarray:
@@ -527,7 +527,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "sig", "size"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    prints = stored(keyed.mapInArrow(run, "doc_id bigint, key bigint, fp binary, sig binary, size bigint"))
+    prints = stored(keyed.transform(mapped, run, "doc_id bigint, key bigint, fp binary, sig binary, size bigint"))
     nodes = stored(prints.groupBy("sig", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("row"), F.min("size").alias("size")))
     # the candidate graph is of sigs: a fingerprint's links are those of its first sig, to which its others are linked
     first = stored(nodes.groupBy("fp").agg(F.min("sig").alias("sig")))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import stored
+from .exchange import mapped, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -100,7 +100,7 @@ def _level(keys: DataFrame, n: int, rate: float, number: int, max_bytes: int) ->
             mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), cut) if len(at) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word[cut]), pa.array(mask.view(np.int64))], ["word", "mask"])
 
-    got = keys.select("key").mapInArrow(run, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    got = keys.select("key").transform(mapped, run, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(-(-size // 64), np.int64)
     words[np.asarray(got.column("word"))] = np.asarray(got.column("mask"))
     return Level(words.view(np.uint8), size, hashes, number)
@@ -126,7 +126,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, rates: tuple[float, fl
             for batch in batches:
                 yield batch.filter(pa.array(sent.value.may_hold(batch.column(0).to_pylist()), pa.bool_()))
 
-        inside, outside = stored(outside.select("key").mapInArrow(wrong, "key string")), inside
+        inside, outside = stored(outside.select("key").transform(mapped, wrong, "key string")), inside
     return Cascade(levels)
 
 
@@ -140,7 +140,7 @@ def _keys(pages: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
 
     longest = max(lengths, default=0)
-    return pages.select("host", F.substring("path", 1, longest).alias("path")).distinct().mapInArrow(run, "key string").distinct()
+    return pages.select("host", F.substring("path", 1, longest).alias("path")).distinct().transform(mapped, run, "key string").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], blocked: Sequence[str] = (), max_bytes: int = 64 << 20) -> DataFrame:
@@ -176,4 +176,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], blocked: Sequence[str]
                 judged[pair] = rule or (None, "block" if any(k in listed_hosts for k in hits) else "allow")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([judged[c][0] for c in cut], pa.string()), pa.array([judged[c][1] for c in cut], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return held.mapInArrow(run, "page_id bigint, host string, path string, rule string, verdict string")
+    return held.transform(mapped, run, "page_id bigint, host string, path string, rule string, verdict string")
