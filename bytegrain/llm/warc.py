@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exchange import dealt, stored, width
+from .exchange import dealt, mapped, stored, width
 from .text import slices
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,50 +66,99 @@ def payloads(pages: DataFrame) -> DataFrame:
 def revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, refers_to, d (hex SHA-1 of the payload): of records with equal payloads of min_bytes at least, that with the largest page_id is referred to by the others.
 
-    Records meet by digest only; digests of one record are dropped before the join.
+    Records meet by digest only; digests of one record are dropped before the join. A null page_id counts as smaller than any other; where all
+    are null, none refers to another. Records that share the largest page_id are all referred to. An empty table gives an empty one; other
+    columns than page_id and payload are not read.
     """
     digests = stored(records.filter(F.octet_length("payload") >= min_bytes).select("page_id", F.sha1("payload").alias("d")))
-    groups = digests.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "refers_to")
-    return digests.join(groups, "d").filter("page_id <> refers_to").select("page_id", "refers_to", "d")
+    groups = digests.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").select("d", "refers_to")
+    return digests.join(groups, "d").filter("not page_id <=> refers_to").select("page_id", "refers_to", "d")
 
 
-def sharded(records: DataFrame, n: int, cells: int = 1 << 14) -> Column:
-    """The number of the range that a row's page_id lies in: n ranges of page_id with about as many rows each. The ranges follow from exact counts over equal cells of the id's
-    range, not from a sample, so they are the same in every run; the driver gets `cells` numbers at most. Null ids go to the first."""
-    low, high = records.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
+LEAST_ID = -(1 << 63)
+#: Payload bytes of a range, where the session's number of partitions would make larger ones.
+RANGE_BYTES = 256 << 20
+
+
+def _keyed(page_id: Column, sha1: Column) -> list[Column]:
+    """The key that ranges are made of: page_id (null as the least), then 60 bits of the payload's digest."""
+    return [F.coalesce(page_id, F.lit(LEAST_ID)).alias("id"), F.conv(F.substring(sha1, 1, 15), 16, 10).cast("bigint").alias("h")]
+
+
+def edges(keys: DataFrame, n: int, cells: int = 1 << 14) -> list[tuple[int, int]]:
+    """Where ranges 1 to n - 1 of the key (id, h) begin, so that each has about as many of the bytes `size`.
+
+    Sizes are summed exactly, not sampled, so the ranges are the same in every run: first over `cells` equal cells between the least and the
+    largest key, then over cells of those cells alone that hold over a quarter of a range, each between its own least and largest key, until
+    none does or it is one key. Neither an outlier nor a crowd of ids makes a range large. The driver gets about `cells` sums a round.
+    """
+    whole = keys.agg(F.min(F.struct("id", "h")).alias("low"), F.max(F.struct("id", "h")).alias("high"), F.sum("size").alias("size")).first()
+    if whole["low"] is None:
+        return []
+    spark, total = keys.sparkSession, max(1, whole["size"])
+    leaves, open_, rows = [], [(tuple(whole["low"]), tuple(whole["high"]), whole["size"])], keys.withColumn("cell", F.lit(0))
+    while open_:
+        plan = []
+        for k, (low, high, _) in enumerate(open_):
+            by_id = low[0] != high[0]
+            a, b = (low[0], high[0]) if by_id else (low[1], high[1])
+            shift = int(b - a >= 1 << 62)  # differences must not overflow
+            plan.append((k, by_id, shift, a >> shift, ((b >> shift) - (a >> shift)) // max(2, cells // len(open_)) + 1))
+        cut = F.broadcast(spark.createDataFrame(plan, "cell int, by_id boolean, shift int, low bigint, step bigint"))  # len(open_) <= 4 n rows
+        rows = rows.join(cut, "cell").withColumn("sub", F.expr("(shiftright(if(by_id, id, h), shift) - low) div step")).select("id", "h", "size", "cell", "sub")
+        found = rows.groupBy("cell", "sub").agg(F.min(F.struct("id", "h")).alias("low"), F.max(F.struct("id", "h")).alias("high"), F.sum("size").alias("size")).collect()
+        open_, names = [], []
+        for r in sorted(found, key=lambda r: r["low"]):
+            cell = (tuple(r["low"]), tuple(r["high"]), r["size"])
+            if r["size"] * 4 * n > total and cell[0] != cell[1]:
+                names.append((r["cell"], r["sub"], len(open_)))
+                open_.append(cell)
+            else:
+                leaves.append(cell)
+        if open_:
+            some = F.broadcast(spark.createDataFrame(names, "cell int, sub bigint, next int"))
+            rows = rows.join(some, ["cell", "sub"]).select("id", "h", "size", F.col("next").alias("cell"))
+    out, seen = [], 0
+    for low, _, size in sorted(leaves):
+        if seen * n >= total * (len(out) + 1) and seen:  # a new range begins at the first cell past each n-th part
+            out.append(low)
+        seen += size
+    return out
+
+
+def range_of(found: list[tuple[int, int]]) -> Column:
+    """The number of the range of columns id and h, by binary search in a constant."""
+    if not found:
         return F.lit(0)
-    step = (high - low) // cells + 1
-    cell = F.floor((F.col("page_id") - F.lit(low)) / F.lit(step)).cast("int")
-    counts = {r[0]: r[1] for r in records.filter("page_id is not null").groupBy(cell.alias("cell")).count().collect()}
-    total, seen, edges = sum(counts.values()), 0, []
-    for k in sorted(counts):  # a new range begins at the first cell past each n-th part
-        if seen * n >= total * (len(edges) + 1):
-            edges.append(low + k * step)
-        seen += counts[k]
-    found = F.lit(0)
-    for k, edge in enumerate(edges):
-        found = F.when(F.col("page_id") >= edge, k).otherwise(found)
-    return found
-
-
-def write(records: DataFrame, again: DataFrame, folder: str, roll_bytes: int = 16 << 20) -> DataFrame:
+    ids, hs = (F.split(F.lit(",".join(str(e[k]) for e in found)), ",").cast("array<bigint>") for k in range(2))
+    steps = [1 << k for k in reversed(range(len(found).bit_length()))]
+
+    def go(at: Column, step: Column) -> Column:
+        k = at + step - 1
+        return at + F.when((F.get(ids, k) < F.col("id")) | ((F.get(ids, k) == F.col("id")) & (F.get(hs, k) <= F.col("h"))), step).otherwise(0)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), go)
+
+
+def write(records: DataFrame, again: DataFrame, folder: str, roll_bytes: int = 16 << 20, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Writes records (page_id, url, payload) in order of page_id, those of `again` (page_id, refers_to, d) as revisits, and returns the manifest.
 
-    Of rows that share a page_id each becomes a record; a revisit's refers_to holds for those with its payload's digest.
+    Of rows that share a page_id each becomes a record; a revisit's refers_to holds for those with its payload's digest. Null ids come first, a
+    null url is written as an empty one. An empty table gives an empty manifest; other columns are not read.
 
     Files are rolled once their compressed size reaches roll_bytes. Each is written under a temporary name and renamed when complete, so a
     task that runs again replaces the same file by the same bytes. The archive counts as committed once the manifest stands beside it.
+    Tasks take ranges of about equal bytes: as many as the session has shuffle partitions, more where a range would hold over range_bytes.
     """
     spark = records.sparkSession
-    n = width(spark)
-    # equal ids are ordered by url and payload, so that the bytes do not depend on the order of arrival
+    sizes = stored(records.select(*_keyed(F.col("page_id"), F.sha1("payload")), (F.octet_length("payload") + 512).cast("bigint").alias("size")))
+    n = max(width(spark), -(-(sizes.agg(F.sum("size")).first()[0] or 0) // range_bytes))
+    # records of one id and payload are ordered by url, so that the bytes do not depend on the order of arrival
     none = F.lit(None)
-    both = records.select("page_id", "url", "payload", none.cast("bigint").alias("refers_to"), none.cast("string").alias("d")).unionByName(
-        again.select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "refers_to", "d")
+    both = records.select("page_id", "url", "payload", none.cast("bigint").alias("refers_to"), none.cast("string").alias("d"), *_keyed(F.col("page_id"), F.sha1("payload"))).unionByName(
+        again.select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "refers_to", "d", *_keyed(F.col("page_id"), F.col("d")))
     )
-    ranges = sharded(records.select("page_id"), n)
-    ordered = dealt(both.withColumn("bucket", ranges), n).drop("bucket").sortWithinPartitions("page_id", F.col("refers_to").isNull(), "url", F.xxhash64("payload"))
+    ordered = dealt(both.withColumn("bucket", range_of(edges(sizes, n))), n).sortWithinPartitions("id", "h", F.col("refers_to").isNull(), "url").select("page_id", "url", "payload", "refers_to", "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
@@ -124,7 +173,7 @@ def write(records: DataFrame, again: DataFrame, folder: str, roll_bytes: int = 1
             done.append((name, len(rows), n_bytes, digest.hexdigest(), rows[0], rows[-1]))
             out = None
 
-        marks: dict = {}
+        marks: dict = {}  # of one page_id
         for page_id, url, payload, refers_to, d in (row for batch in batches for piece in slices(batch, "payload") for row in zip(*(c.to_pylist() for c in piece.columns))):
             if refers_to is not None:  # comes before the records with that id
                 marks = (marks if marks.get("of") == page_id else {"of": page_id}) | {d: refers_to}
@@ -147,7 +196,7 @@ def write(records: DataFrame, again: DataFrame, folder: str, roll_bytes: int = 1
             close()
         yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*done)] if done else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    manifest = ordered.mapInArrow(run, MANIFEST)
+    manifest = ordered.transform(mapped, run, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/_manifest-{(mark := uuid.uuid4().hex)}.tmp")
     store, root = _open(folder)
     store.move(f"{root}/_manifest-{mark}.tmp", f"{root}/_manifest")
@@ -191,7 +240,9 @@ RECORDS = "page_id bigint, url string, record_type string, payload_bytes bigint,
 
 
 def read(spark: SparkSession, folder: str, blocks: bool = True) -> DataFrame:
-    """The records of all files that the manifest names. A file is streamed, record by record; blocks=False leaves the blocks out."""
+    """The records of all files that the manifest names. A file is streamed, record by record; blocks=False leaves the blocks out.
+
+    An empty manifest gives no records. A damaged record, or a file that ends within one, is an error."""
     files = read_manifest(spark, folder).select("file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,4 +267,4 @@ def read(spark: SparkSession, folder: str, blocks: bool = True) -> DataFrame:
                 if rows:
                     yield sent(rows)
 
-    return files.repartition(width(spark)).mapInArrow(run, RECORDS)
+    return files.repartition(width(spark)).transform(mapped, run, RECORDS)
