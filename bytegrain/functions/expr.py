@@ -1,7 +1,8 @@
 """Expressions: one tree, evaluated on Python values inside a decode program or turned into a Catalyst column.
 
 A tree is made with the functions below; `value(tree, env)` evaluates it, `column(tree, env)` gives the Spark column in which variables are
-the columns of `env`. Lambdas are Python functions from trees to trees, applied to fresh variables.
+the columns of `env`. Lambdas are Python functions from trees to trees, applied to fresh variables. Both forms check the width of every
+result whose representation is known, and give the same values; where one has none, `column` raises an error in the query, or gives null.
 """
 
 from __future__ import annotations
@@ -90,7 +91,10 @@ def sub_seq_inflate(s, start, n) -> Expr: return Expr("sub_seq_inflate", (lift(s
 def append(a, b) -> Expr: return Expr("append", (lift(a), lift(b)))
 def flat_map(f, s) -> Expr: return Expr("flat_map", (lam(f), lift(s)))
 def flat_map_accum(f, start, s) -> Expr: return Expr("flat_map_accum", (lam(f), lift(start), lift(s)))
-def flat_map_list(f, s) -> Expr: return Expr("flat_map_list", (lam(f), lift(s)))
+def flat_map_list(f, s, element: str = "bigint") -> Expr:
+    """f sees the list so far and the next element. element: the Spark type of what it makes, for columns."""
+    return Expr("flat_map_list", (lam(f), lift(s), element))
+
 def left_fold(f, start, s) -> Expr: return Expr("left_fold", (lam(f), lift(start), lift(s)))
 def find_by_key(f, key, s, is_sorted: bool = False) -> Expr: return Expr("find_by_key", (is_sorted, lam(f), lift(key), lift(s)))
 def enum_from_to(a, b) -> Expr: return Expr("range", (lift(a), lift(b)))
@@ -140,6 +144,8 @@ def value(e: Expr, env: dict) -> Any:
         return env[a[0]]
     if op == "arith":
         x, y = int(left := value(a[1], env)), int(right := value(a[2], env))
+        if a[0] in ("<<", ">>") and y < 0:
+            raise EvalError(f"shift by {y}")
         if a[0] == "<<":  # unchecked: what goes beyond the width is lost
             kind = getattr(left, "kind", None)
             return Int((x << y) & RANGES[kind][1], kind) if kind else x << y
@@ -247,40 +253,129 @@ def value(e: Expr, env: dict) -> Any:
 
 
 def _found(is_sorted: bool, key: Callable, wanted: Any, s: Any) -> Any:
-    """The first element with the key; in a sorted sequence any one, by halving."""
+    """The first element with the key; in a sorted sequence by halving."""
     if not is_sorted:
         return next((Some(x) for x in s if key(x) == wanted), None)
     low, high = 0, len(s)
     while low < high:
         mid = (low + high) // 2
-        k = key(s[mid])
-        if k == wanted:
-            return Some(s[mid])
-        low, high = (mid + 1, high) if k < wanted else (low, mid)
-    return None
+        low, high = (mid + 1, high) if key(s[mid]) < wanted else (low, mid)
+    return Some(s[low]) if low < len(s) and key(s[low]) == wanted else None
 
 
 #: Spark types that hold the representations.
 SPARK_TYPES = {"u8": "smallint", "u16": "int", "u32": "bigint", "u64": "decimal(20,0)", "i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint"}
 
 
-def checked(x: Column, kind: str) -> Column:
+def checked(x: Column, kind: str, lenient: bool = False) -> Column:
+    """x as the type of its representation; an error (lenient: null) where it does not fit."""
     low, high = RANGES[kind]
-    wide = x.cast("decimal(38,0)")
-    return F.when((wide >= F.lit(str(low)).cast("decimal(38,0)")) & (wide <= F.lit(str(high)).cast("decimal(38,0)")), wide.cast(SPARK_TYPES[kind])).otherwise(F.raise_error(F.lit(f"no {kind}")).cast(SPARK_TYPES[kind]))
+    wide = "decimal(38,0)" if kind in ("u64", "i64") else "bigint"
+    w = x.try_cast(wide)
+    fits = (w >= F.lit(str(low)).cast(wide)) & (w <= F.lit(str(high)).cast(wide))
+    return F.when(fits, w.cast(SPARK_TYPES[kind])).when(x.isNotNull(), _failed(f"no {kind}", lenient).cast(SPARK_TYPES[kind]))
+
 
+def _failed(message: str, lenient: bool) -> Column:
+    return F.lit(None) if lenient else F.raise_error(F.lit(message))
 
-def _spark_lambda(f: Lambda, env: dict) -> Callable[..., Column]:
-    """A lambda for Spark's higher-order functions, with the right number of named parameters."""
-    if len(f.names) == 1:
-        return lambda x: column(f.body, {**env, f.names[0]: x})
-    return lambda x, y: column(f.body, {**env, f.names[0]: x, f.names[1]: y})
+
+def kind_in(e: Expr, kinds: dict[str, str]) -> str | None:
+    """The representation of a tree's value as far as it is known without data; kinds: of variables. Mixed ones are an error."""
+    op, a = e.op, e.args
+    if op == "const":
+        return a[0].kind if isinstance(a[0], Int) else None
+    if op == "var":
+        return kinds.get(a[0])
+    if op in ("cast", "endian"):
+        return a[0]
+    if op == "seq_length":
+        return "u32"
+    if op == "numeric":
+        return None if (rep := numeric.representation(a[0])) == numeric.AUTO else rep
+    if op in ("succ", "pred"):
+        return kind_in(a[0], kinds)
+    if op == "if":
+        return kind_in(a[1], kinds)
+    if op == "match":
+        return kind_in(a[1][0][1], kinds)
+    if op == "arith":
+        found = {k for k in (kind_in(x, kinds) for x in (a[1:2] if a[0] in ("<<", ">>") else a[1:])) if k}
+        if len(found) > 1:
+            raise EvalError(f"mixed representations {sorted(found)}")
+        return found.pop() if found else None
+    return None
 
 
-def column(e: Expr, env: dict[str, Column]) -> Column:
-    """The tree as a Spark column; it stays in whole-stage code as far as Spark's own functions do."""
+_WIDE = "decimal(38,0)"
+
+
+def _as_bits(x: Column) -> Column:
+    """A u64 as the signed long of the same bits."""
+    x = x.cast(_WIDE)
+    return F.when(x >= F.lit(str(1 << 63)).cast(_WIDE), x - F.lit(str(1 << 64)).cast(_WIDE)).otherwise(x).cast("bigint")
+
+
+def _from_bits(x: Column) -> Column:
+    return F.when(x < 0, x.cast(_WIDE) + F.lit(str(1 << 64)).cast(_WIDE)).otherwise(x.cast(_WIDE))
+
+
+def _arith(op: str, x: Column, y: Column, kind: str | None, lenient: bool) -> Column:
+    """Plain integers are longs; a result with a representation is checked against it, but for <<, which drops what goes beyond the width."""
+    if op in ("<<", ">>"):
+        n = F.least(y.cast("bigint"), F.lit(63)).cast("int")
+        bits = _as_bits(x) if kind == "u64" else x.cast("bigint")
+        if op == ">>":
+            out = F.call_function("shiftrightunsigned" if kind == "u64" else "shiftright", bits, n)
+            out = F.when((y > 63) & F.lit(kind == "u64"), F.lit(0)).otherwise(out)
+            out = _from_bits(out).cast(SPARK_TYPES["u64"]) if kind == "u64" else out.cast(SPARK_TYPES[kind]) if kind else out
+        else:
+            out = F.when(y <= 63, F.call_function("shiftleft", bits, n)).otherwise(F.lit(0).cast("bigint"))
+            if kind == "u64":
+                out = _from_bits(out).cast(SPARK_TYPES["u64"])
+            elif kind:
+                out = out.bitwiseAND(F.lit(RANGES[kind][1]).cast("bigint")).cast(SPARK_TYPES[kind])
+            else:
+                whole = (y <= 63) & (F.call_function("shiftright", out, n) == bits)
+                out = F.when(whole | (bits == 0), out).otherwise(_failed("the shift loses bits", lenient).cast("bigint"))
+        return F.when(y >= 0, out).otherwise(_failed("a negative shift", lenient))
+    if op in ("&", "|"):
+        both = [_as_bits(v) if kind == "u64" else v.cast("bigint") for v in (x, y)]
+        out = both[0].bitwiseAND(both[1]) if op == "&" else both[0].bitwiseOR(both[1])
+        return _from_bits(out).cast(SPARK_TYPES["u64"]) if kind == "u64" else checked(out, kind, lenient) if kind else out
+    wide = _WIDE if kind in ("u64", "i64") else "bigint"
+    x, y = x.cast(wide), y.cast(wide)
+    if op in ("div", "rem"):
+        if wide == _WIDE:
+            rest = x % F.when(y != 0, y)
+            out = rest if op == "rem" else ((x - rest) / F.when(y != 0, y)).cast(_WIDE)
+        else:
+            out = x % F.when(y != 0, y) if op == "rem" else F.call_function("div", x, F.when(y != 0, y))
+        out = F.when(y != 0, out).otherwise(_failed("division by zero", lenient))
+    elif lenient:
+        out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y)
+    else:
+        out = x + y if op == "+" else x - y if op == "-" else x * y
+    return checked(out, kind, lenient) if kind else out
+
+
+def column(e: Expr, env: dict[str, Column], kinds: dict[str, str] | None = None, lenient: bool = False) -> Column:
+    """The tree as a Spark column; it stays in whole-stage code as far as Spark's own functions do.
+
+    kinds: representations of variables, which a column's type does not tell. lenient: null instead of an error.
+    """
+    kinds = kinds or {}
     op, a = e.op, e.args
-    go = lambda x: column(x, env)
+
+    def go(x: Expr, more: dict[str, Column] | None = None) -> Column:
+        return column(x, {**env, **more} if more else env, kinds, lenient)
+
+    def function(f: Lambda) -> Callable[..., Column]:
+        """For Spark's higher-order functions, with the right number of named parameters."""
+        if len(f.names) == 1:
+            return lambda x: go(f.body, {f.names[0]: x})
+        return lambda x, y: go(f.body, {f.names[0]: x, f.names[1]: y})
+
     if op == "const":
         x = a[0]
         if isinstance(x, Int):
@@ -291,13 +386,7 @@ def column(e: Expr, env: dict[str, Column]) -> Column:
     if op == "var":
         return env[a[0]] if a[0] in env else F.col(a[0])
     if op == "arith":
-        x, y = go(a[1]), go(a[2])
-        simple = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "rem": lambda: x % y, "&": lambda: x.bitwiseAND(y), "|": lambda: x.bitwiseOR(y)}
-        if a[0] in simple:
-            return simple[a[0]]()
-        if a[0] == "div":
-            return F.floor(F.abs(x) / F.abs(y)).cast("bigint") * F.signum(x).cast("bigint") * F.signum(y).cast("bigint")
-        return F.call_function("shiftleft" if a[0] == "<<" else "shiftright", x.cast("bigint"), y.cast("int"))
+        return _arith(a[0], go(a[1]), go(a[2]), kind_in(e, kinds), lenient)
     if op == "rel":
         x, y = go(a[1]), go(a[2])
         return {"=": x == y, "<>": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[a[0]]
@@ -306,7 +395,7 @@ def column(e: Expr, env: dict[str, Column]) -> Column:
     if op == "not":
         return ~go(a[0])
     if op in ("succ", "pred"):
-        return go(a[0]) + F.lit(1 if op == "succ" else -1)
+        return _arith("+", go(a[0]), F.lit(1 if op == "succ" else -1), kind_in(e, kinds), lenient)
     if op == "tuple":
         return F.struct(*(go(x).alias(f"_{i}") for i, x in enumerate(a)))
     if op == "record":
@@ -320,16 +409,16 @@ def column(e: Expr, env: dict[str, Column]) -> Column:
     if op == "numeric":
         return numeric.column(a[0], env)
     if op == "match":
-        x, out = go(a[0]), F.raise_error(F.lit("no case matches"))
+        x, kind, out = go(a[0]), kind_in(a[0], kinds), _failed("no case matches", lenient)
         for pattern, body in reversed(a[1]):
-            test, bound = pattern.column(x)
-            out = F.when(test, column(body, {**env, **bound})).otherwise(out)
+            test, names = pattern.column(x, kind)
+            out = F.when(test, go(body, names)).otherwise(out)
         return out
     if op == "destructure":
-        test, bound = a[1].column(go(a[0]))
-        return F.when(test, column(a[2], {**env, **bound})).otherwise(F.raise_error(F.lit("the pattern does not match")))
+        test, names = a[1].column(go(a[0]), kind_in(a[0], kinds))
+        return F.when(test, go(a[2], names)).otherwise(_failed("the pattern does not match", lenient))
     if op == "cast":
-        return checked(go(a[1]), a[0])
+        return checked(go(a[1]), a[0], lenient)
     if op == "as_char":
         x = go(a[0]).cast("bigint")
         ok = (x < 0xD800) | ((x >= 0xE000) & (x < 0x110000))
@@ -341,35 +430,37 @@ def column(e: Expr, env: dict[str, Column]) -> Column:
     if op == "seq_length":
         return F.size(go(a[0])).cast("bigint")
     if op == "seq_ix":
-        return F.element_at(go(a[0]), (go(a[1]) + 1).cast("int"))
+        s, i = go(a[0]), go(a[1]).cast("bigint")
+        return F.when((i >= 0) & (i < F.size(s)), F.get(s, i.cast("int"))).otherwise(_failed("index out of range", lenient))
     if op == "sub_seq":
         s, start, n = map(go, a)
-        return F.when((start >= 0) & (n >= 0) & (start + n <= F.size(s)), F.slice(s, (start + 1).cast("int"), n.cast("int"))).otherwise(F.raise_error(F.lit("part out of range")))
+        return F.when((start >= 0) & (n >= 0) & (start + n <= F.size(s)), F.slice(s, (start + 1).cast("int"), n.cast("int"))).otherwise(_failed("part out of range", lenient))
     if op == "sub_seq_inflate":
         s, start, n = map(go, a)
-        return F.transform(_range(F.lit(0), n), lambda i: F.get(s, (start + i % (F.size(s) - start)).cast("int")))
+        out = F.transform(_range(F.lit(0), n), lambda i: F.get(s, (start + i % (F.size(s) - start)).cast("int")))
+        return F.when((start >= 0) & ((start < F.size(s)) | (n <= 0)), out).otherwise(_failed("copy out of range", lenient))
     if op == "append":
         return F.concat(go(a[0]), go(a[1]))
     if op == "flat_map":
-        return F.flatten(F.transform(go(a[1]), _spark_lambda(a[0], env)))
+        return F.flatten(F.transform(go(a[1]), function(a[0])))
     if op == "flat_map_accum":
-        f = _spark_lambda(a[0], env)
-        start, s = go(a[1]), go(a[2])
-        first = f(start, F.element_at(s, 1)).getField("_1")
-        begin = F.struct(start.alias("acc"), F.slice(F.when(F.size(s) > 0, first), 1, 0).alias("out"))
+        f, start, s = function(a[0]), go(a[1]), go(a[2])
+        first, never = f(start, F.get(s, F.lit(0))), F.lit(False)  # tells the types that a step makes; is not evaluated
+        begin = F.struct(F.when(never, first.getField("_0")).otherwise(start).alias("acc"), F.when(never, first.getField("_1")).otherwise(F.array()).alias("out"))
 
         def step(state: Column, x: Column) -> Column:
             got = f(state.getField("acc"), x)
-            return F.struct(got.getField("_0").alias("acc"), F.concat(F.coalesce(state.getField("out"), F.array()), got.getField("_1")).alias("out"))
+            return F.struct(got.getField("_0").alias("acc"), F.concat(state.getField("out"), got.getField("_1")).alias("out"))
 
-        return F.coalesce(F.aggregate(s, begin, step, lambda z: z.getField("out")), F.array())
+        return F.aggregate(s, begin, step, lambda z: z.getField("out"))
     if op == "flat_map_list":
-        f, s = _spark_lambda(a[0], env), go(a[1])
-        return F.aggregate(s, F.array().cast("array<bigint>"), lambda out, x: F.concat(out, f(out, x)))
+        f, s = function(a[0]), go(a[1])
+        return F.aggregate(s, F.array().cast(f"array<{a[2]}>"), lambda out, x: F.concat(out, f(out, x)))
     if op == "left_fold":
-        return F.aggregate(go(a[2]), go(a[1]), _spark_lambda(a[0], env))
-    if op == "find_by_key":
-        key, wanted = _spark_lambda(a[1], env), go(a[2])
+        f, start, s = function(a[0]), go(a[1]), go(a[2])
+        return F.aggregate(s, F.when(F.lit(False), f(start, F.get(s, F.lit(0)))).otherwise(start), f)
+    if op == "find_by_key":  # the first, sorted or not
+        key, wanted = function(a[1]), go(a[2])
         return F.get(F.filter(go(a[3]), lambda x: key(x) == wanted), F.lit(0))
     if op == "range":
         return _range(go(a[0]), go(a[1]))

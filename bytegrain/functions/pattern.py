@@ -46,9 +46,11 @@ class Pattern:
             return ({} if x is None else None) if a[0] is None else a[0].match(x.value) if isinstance(x, Some) else None
         raise ValueError(k)
 
-    def column(self, x: Column) -> tuple[Column, dict[str, Column]]:
-        """The test, and the bindings as columns."""
+    def column(self, x: Column, kind: str | None = None) -> tuple[Column, dict[str, Column]]:
+        """The test, and the bindings as columns. kind: the representation of x, where it is known; a literal of another does not match."""
         k, a = self.kind, self.args
+        if k == "int" and a[1] is not None and kind is not None and a[1] != kind:
+            return F.lit(False), {}
         if k == "binding":
             return F.lit(True), {a[0]: x}
         if k == "wildcard":

@@ -25,22 +25,27 @@ class EvalError(DecodeError):
 
 
 class Int(int):
-    """An integer with a representation; plain ints take on that of the other operand."""
+    """An integer with a representation; plain ints take on that of the other operand. Each representation has a class of its own."""
 
     kind: str
+    low: int
+    high: int
 
     def __new__(cls, value: int, kind: str):
-        low, high = RANGES[kind]
-        if not low <= value <= high:
-            raise EvalError(f"{value} is no {kind}")
-        self = super().__new__(cls, value)
-        self.kind = kind
-        return self
+        own = CLASSES[kind]
+        if own.low <= value <= own.high:
+            return int.__new__(own, value)
+        raise EvalError(f"{value} is no {kind}")
 
     def __reduce__(self):
         return (Int, (int(self), self.kind))
 
 
+CLASSES: dict[str, type[Int]] = {kind: type(kind.upper(), (Int,), {"kind": kind, "low": low, "high": high}) for kind, (low, high) in RANGES.items()}
+#: The 256 values of a byte.
+BYTES = [Int(b, "u8") for b in range(256)]
+
+
 def kind_of(x: Any) -> str | None:
     return x.kind if isinstance(x, Int) else None
 
@@ -53,17 +58,40 @@ def sized(value: int, *operands: Any) -> int:
     return Int(value, kinds.pop()) if kinds else value
 
 
-@dataclass(frozen=True)
 class Tagged:
     """A value of a sum type."""
 
-    tag: str
-    value: Any
+    __slots__ = ("tag", "value")
+
+    def __init__(self, tag: str, value: Any):
+        self.tag, self.value = tag, value
+
+    def __eq__(self, other: Any) -> bool:
+        return isinstance(other, Tagged) and self.tag == other.tag and self.value == other.value
+
+    def __hash__(self) -> int:
+        return hash((self.tag, self.value))
+
+    def __repr__(self) -> str:
+        return f"Tagged({self.tag!r}, {self.value!r})"
 
 
-@dataclass(frozen=True)
 class Some:
-    value: Any
+    """A value that is there."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: Any):
+        self.value = value
+
+    def __eq__(self, other: Any) -> bool:
+        return isinstance(other, Some) and self.value == other.value
+
+    def __hash__(self) -> int:
+        return hash(("some", self.value))
+
+    def __repr__(self) -> str:
+        return f"Some({self.value!r})"
 
 
 @dataclass(frozen=True)

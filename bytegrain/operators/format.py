@@ -3,21 +3,28 @@
 A format is a tree of nodes. `decode(fmt, data)` gives the value and the warnings or raises a DecodeError. What can be known without data is
 known before: how many bytes a format takes, whether it can take none, and which bytes it can begin with, so that a choice that no
 byte ahead can decide is refused when it is made.
+
+A tree is built once into closures over a frame, a list in which every name has its place. Runs of single bytes, literals and numbers are
+taken from the buffer in one step instead of byte by byte.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from ..functions import expr as X
+from ..functions.closures import MISSING, Scope, build, chooser, free, function
 from ..functions.sets import FULL, Bounds, ByteSet
-from ..functions.values import DecodeError, Int, Some, Tagged, View
+from ..functions.values import BYTES, CLASSES, DecodeError, Int, Some, Tagged, View
 
-#: Bytes that a deterministic choice looks ahead, and sequences of byte sets that are told apart; beyond, a branch counts as beginning with anything.
-AHEAD_BYTES, AHEAD_WAYS, NOT_AHEAD_BYTES = 12, 64, 1024
+#: Bytes that a repetition looks ahead; those that a deterministic choice tries, shortest first; sequences of byte sets that are told apart
+#: (beyond, a branch counts as beginning with anything); bytes of a negative look-ahead.
+AHEAD_BYTES, AHEAD_STEPS, AHEAD_WAYS, NOT_AHEAD_BYTES = 12, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 80), 256, 1024
 ANYTHING = frozenset({((), False)})
 
 
@@ -38,24 +45,45 @@ class Bits:
 
 @dataclass
 class State:
-    """What a decode shares: the buffer, its end, and the warnings so far."""
+    """What a decode shares: the buffer, its end, and the warnings so far. spans: gets (path, start, stop) of every named field of the buffer,
+    where it is a list; path: the names that lead to the field that is being read."""
 
     data: Any
     limit: int
     warnings: list = field(default_factory=list)
+    spans: list | None = None
+    path: list = field(default_factory=list)
+
 
-    def within(self, limit: int) -> State:
-        return State(self.data, limit, self.warnings)
+#: A built format: of the state, a place and the frame it makes the value and the place after it.
+Step = Callable[[State, int, list], tuple[Any, int]]
 
 
 class Format:
-    """A node. Subclasses say how they parse, how many bytes they take and what they can begin with."""
+    """A node. Subclasses say how they are built, how many bytes they take and what they can begin with."""
 
     parts: tuple[Format, ...] = ()
 
-    def parse(self, s: State, pos: int, env: dict) -> tuple[Any, int]:
+    def build(self, scope: Scope, bits: bool) -> Step:
+        """bits: the buffer is one of single bits, of which no bytes can be taken at once."""
         raise NotImplementedError
 
+    def parse(self, s: State, pos: int, env: dict) -> tuple[Any, int]:
+        """The value and the place after it, where the names of env have its values."""
+        made = self.__dict__.setdefault("_programs", {})
+        names = tuple(env)
+        if names not in made:
+            scope, at = Scope().inner(*names)
+            made[names] = self.build(scope, isinstance(s.data, Bits)), at, scope.counter
+        step, at, counter = made[names]
+        frame = [MISSING] * (counter[0] + 1)
+        for place, v in zip(at, env.values()):
+            frame[place] = v
+        return step(s, pos, frame)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_programs"}
+
     def size(self) -> Bounds:
         return Bounds()
 
@@ -87,17 +115,25 @@ def overlap(a: frozenset, b: frozenset) -> bool:
 
 @dataclass
 class Fail(Format):
-    def parse(self, s, pos, env): raise DecodeError("Fail", pos)
+    def build(self, scope, bits):
+        def run(s, pos, fr):
+            raise DecodeError("Fail", pos)
+
+        return run
+
     def size(self): return Bounds.exactly(0)
     def ahead(self, n): return frozenset()
 
 
 @dataclass
 class EndOfInput(Format):
-    def parse(self, s, pos, env):
-        if pos < s.limit:
-            raise DecodeError("Trailing", pos, f"{s.limit - pos} bytes left")
-        return None, pos
+    def build(self, scope, bits):
+        def run(s, pos, fr):
+            if pos < s.limit:
+                raise DecodeError("Trailing", pos, f"{s.limit - pos} bytes left")
+            return None, pos
+
+        return run
 
     def size(self): return Bounds.exactly(0)
 
@@ -106,16 +142,18 @@ class EndOfInput(Format):
 class Byte(Format):
     members: ByteSet
 
-    def __post_init__(self):
-        self.table = [b in self.members for b in range(256)]
+    def build(self, scope, bits):
+        table = [BYTES[b] if b in self.members else None for b in range(256)]
+
+        def run(s, pos, fr):
+            if pos >= s.limit:
+                raise DecodeError("Overbyte", pos, "no byte left")
+            b = table[s.data[pos]]
+            if b is None:
+                raise unexpected(s, pos)
+            return b, pos + 1
 
-    def parse(self, s, pos, env):
-        if pos >= s.limit:
-            raise DecodeError("Overbyte", pos, "no byte left")
-        b = s.data[pos]
-        if not self.table[b]:
-            raise DecodeError("Unexpected", pos, f"byte {b:#04x}")
-        return Int(b, "u8"), pos + 1
+        return run
 
     def size(self): return Bounds.exactly(1)
     def ahead(self, n): return frozenset({((self.members.bits,), False)}) if n else ANYTHING_MORE
@@ -125,11 +163,16 @@ class Byte(Format):
 class Align(Format):
     n: int
 
-    def parse(self, s, pos, env):
-        to = pos + -pos % self.n
-        if to > s.limit:
-            raise DecodeError("Overrun", pos, f"align {self.n}")
-        return None, to
+    def build(self, scope, bits):
+        n = self.n
+
+        def run(s, pos, fr):
+            to = pos + -pos % n
+            if to > s.limit:
+                raise DecodeError("Overrun", pos, f"align {n}")
+            return None, to
+
+        return run
 
     def size(self): return Bounds(0, self.n - 1)
     def ahead(self, n): return frozenset({((), False)}) if self.n == 1 else ANYTHING_MORE
@@ -141,9 +184,14 @@ class Variant(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        v, pos = self.part.parse(s, pos, env)
-        return Tagged(self.tag, v), pos
+    def build(self, scope, bits):
+        tag, part = self.tag, self.part.build(scope, bits)
+
+        def run(s, pos, fr):
+            v, pos = part(s, pos, fr)
+            return Tagged(tag, v), pos
+
+        return run
 
     def size(self): return self.part.size()
     def ahead(self, n): return self.part.ahead(n)
@@ -159,23 +207,36 @@ class Union(Format):
 
     def __post_init__(self):
         self.parts = tuple(self.branches)
-        self.known = [b.ahead(AHEAD_BYTES) for b in self.parts]
-        for i, a in enumerate(self.known):
-            for j in range(i):
-                if overlap(a, self.known[j]):
-                    raise AmbiguousChoice(f"branches {j} and {i}")
-
-    def branch(self, s: State, pos: int) -> int:
-        best = None
-        for i, ways in enumerate(self.known):
-            for seq, _ in ways:
-                if len(seq) <= s.limit - pos and all(m >> s.data[pos + k] & 1 for k, m in enumerate(seq)):
-                    best = i
-        if best is None:
-            raise DecodeError("NoValidBranch", pos)
-        return best
-
-    def parse(self, s, pos, env): return self.parts[self.branch(s, pos)].parse(s, pos, env)
+        for n in AHEAD_STEPS:  # no further than needed
+            self.known = [b.ahead(n) for b in self.parts]
+            clash = next(((j, i) for i, a in enumerate(self.known) for j in range(i) if overlap(a, self.known[j])), None)
+            if clash is None:
+                return
+        raise AmbiguousChoice("branches {} and {}".format(*clash))
+
+    def build(self, scope, bits):
+        parts = [p.build(scope, bits) for p in self.parts]
+        known = [(i, q) for i, ways in enumerate(self.known) for q, _ in ways]
+        empty = next((i for i, q in known if not q), None)
+        table = [[(i, q[1:]) for i, q in known if q and q[0] >> b & 1] for b in range(256)]
+        #: the branch where one byte decides, else what must be looked at further
+        first = [(x[0][0] if len(x) == 1 and not x[0][1] else -1) for x in table]
+
+        def run(s, pos, fr):
+            if pos < s.limit:
+                b = s.data[pos]
+                i = first[b]
+                if i >= 0:
+                    return parts[i](s, pos, fr)
+                left, data, at = s.limit - pos - 1, s.data, pos + 1
+                for i, q in table[b]:
+                    if len(q) <= left and fits(data, at, q):
+                        return parts[i](s, pos, fr)
+            if empty is None:
+                raise DecodeError("NoValidBranch", pos)
+            return parts[empty](s, pos, fr)
+
+        return run
 
     def size(self):
         sizes = [p.size() for p in self.parts]
@@ -196,14 +257,20 @@ class UnionNondet(Format):
     branches: tuple[Format, ...]
 
     def __post_init__(self): self.parts = tuple(self.branches)
-    def parse(self, s, pos, env):
-        for p in self.parts:
-            kept = len(s.warnings)
-            try:
-                return p.parse(s, pos, env)
-            except DecodeError:
-                del s.warnings[kept:]
-        raise DecodeError("NoValidBranch", pos)
+    def build(self, scope, bits):
+        parts = [p.build(scope, bits) for p in self.parts]
+
+        def run(s, pos, fr):
+            kept, limit = len(s.warnings), s.limit
+            for p in parts:
+                try:
+                    return p(s, pos, fr)
+                except DecodeError:
+                    del s.warnings[kept:]
+                    s.limit = limit
+            raise DecodeError("NoValidBranch", pos)
+
+        return run
 
     def size(self): return Union.size(self)
     def ahead(self, n): return Union.ahead(self, n)
@@ -215,12 +282,28 @@ class Tuple(Format):
     as_list: bool = False
 
     def __post_init__(self): self.parts = tuple(self.items)
-    def parse(self, s, pos, env):
-        out = []
-        for p in self.parts:
-            v, pos = p.parse(s, pos, env)
-            out.append(v)
-        return (_collapsed(out) if self.as_list else tuple(out)), pos
+    def literal(self) -> bytes | None:
+        """The only bytes that the items can be, where each of them is a byte of one value."""
+        one = self.as_list and self.parts and all(isinstance(p, Byte) and len(p.members) == 1 for p in self.parts)
+        return bytes(p.members.min() for p in self.parts) if one else None
+
+    def build(self, scope, bits):
+        parts, raw, as_list = [p.build(scope, bits) for p in self.parts], None if bits else self.literal(), self.as_list
+        n = len(parts)
+
+        def run(s, pos, fr):
+            out = []
+            for p in parts:
+                v, pos = p(s, pos, fr)
+                out.append(v)
+            return (_collapsed(out) if as_list else tuple(out)), pos
+
+        def whole(s, pos, fr):
+            if s.data.startswith(raw, pos, s.limit):
+                return raw, pos + n
+            return run(s, pos, fr)  # finds the byte that differs
+
+        return run if raw is None else whole
 
     def size(self): return sum((p.size() for p in self.parts), Bounds.exactly(0))
     def ahead(self, n):
@@ -250,27 +333,83 @@ class Repeat(Format):
         if self.count is None and self.high is None and self.part.size().low == 0 and not isinstance(self.part, Fail):
             raise ValueError("a repeated format must take a byte at least")
 
-    def goes_on(self, s: State, pos: int) -> bool:
-        return pos < s.limit and any(len(q) <= s.limit - pos and all(m >> s.data[pos + k] & 1 for k, m in enumerate(q)) for q, _ in self.known)
-
-    def parse(self, s, pos, env):
-        out: list = []
+    def build(self, scope, bits):
         if self.count is not None:
-            n = int(X.value(self.count, env))
-            if isinstance(self.part, Byte) and self.part.members.bits == FULL:
-                if pos + n > s.limit:
-                    raise DecodeError("Overrun", pos, f"{n} bytes of {s.limit - pos}")
-                return bytes(s.data[pos : pos + n]), pos + n
-            for _ in range(n):
-                v, pos = self.part.parse(s, pos, env)
+            return self._counted(scope, bits)
+        part, low, high = self.part.build(scope, bits), self.low, self.high
+        ways = [q for q, _ in self.known]
+        short = [any(len(q) < 2 and (not q or q[0] >> b & 1) for q in ways) for b in range(256)]
+        long = [[q[1:] for q in ways if len(q) > 1 and q[0] >> b & 1] for b in range(256)]
+        table = None if bits else singles(self.part)
+        run_of = None if table is None else re.compile(pattern_of(table) + (b"*" if high is None else b"{0,%d}" % high))
+        if isinstance(self.part, Byte) and not bits:
+
+            def raw(s, pos, fr):
+                end = run_of.match(s.data, pos, s.limit).end()
+                if end - pos < low:
+                    raise DecodeError("Overbyte", end, "no byte left") if end >= s.limit else unexpected(s, end)
+                return (s.data[pos:end] if end > pos else []), end
+
+            return raw
+        bulk = run_of is not None and high is None
+
+        def run(s, pos, fr):
+            out: list = []
+            data, limit = s.data, s.limit
+            while high is None or len(out) < high:
+                if bulk:
+                    end = run_of.match(data, pos, limit).end()
+                    if end > pos:
+                        out += [table[b] for b in data[pos:end]]
+                        pos = end
+                if len(out) >= low:
+                    if pos >= limit:
+                        break
+                    b = data[pos]
+                    if not short[b] and not any(len(q) < limit - pos and fits(data, pos + 1, q) for q in long[b]):
+                        break
+                v, pos = part(s, pos, fr)
+                out.append(v)
+            return _collapsed(out), pos
+
+        return run
+
+    def _counted(self, scope: Scope, bits: bool) -> Step:
+        count, part = build(self.count, scope), self.part.build(scope, bits)
+        members = self.part.members if isinstance(self.part, Byte) and not bits else None
+        others = None if members is None or members.bits == FULL else bytes(members)
+
+        def number(fr, pos):
+            n = int(count(fr))
+            if n < 0:
+                raise DecodeError("eval", pos, f"{n} times")
+            return n
+
+        def run(s, pos, fr):
+            out: list = []
+            for _ in range(number(fr, pos)):
+                v, pos = part(s, pos, fr)
                 out.append(v)
             return _collapsed(out), pos
-        while self.high is None or len(out) < self.high:
-            if len(out) >= self.low and not self.goes_on(s, pos):
-                break
-            v, pos = self.part.parse(s, pos, env)
-            out.append(v)
-        return _collapsed(out), pos
+
+        def raw(s, pos, fr):
+            n = number(fr, pos)
+            end = pos + n
+            if others is None:
+                if end > s.limit:
+                    raise DecodeError("Overrun", pos, f"{n} bytes of {s.limit - pos}")
+                return s.data[pos:end], end
+            found = s.data[pos : min(end, s.limit)]
+            if len(found) == n and not found.translate(None, others):
+                return found or [], end
+            bad = next((k for k, b in enumerate(found) if b not in members), None)
+            raise DecodeError("Overbyte", s.limit, "no byte left") if bad is None else unexpected(s, pos + bad)
+
+        def same(s, pos, fr):  # of what takes no bytes and depends on no place
+            n = number(fr, pos)
+            return (_collapsed([part(s, pos, fr)[0]] * n) if n else []), pos
+
+        return raw if members is not None else same if isinstance(self.part, Compute) else run
 
     def size(self):
         if self.count is not None:
@@ -295,20 +434,27 @@ class RepeatWhile(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        out: list = []
-        while pos < s.limit:
-            kept = len(s.warnings)
-            try:
-                v, to = self.part.parse(s, pos, env)
-            except DecodeError:
-                del s.warnings[kept:]
-                break
-            if to == pos:
-                break
-            out.append(v)
-            pos = to
-        return _collapsed(out), pos
+    def build(self, scope, bits):
+        part = self.part.build(scope, bits)
+
+        def run(s, pos, fr):
+            out: list = []
+            limit = s.limit
+            while pos < limit:
+                kept = len(s.warnings)
+                try:
+                    v, to = part(s, pos, fr)
+                except DecodeError:
+                    del s.warnings[kept:]
+                    s.limit = limit
+                    break
+                if to == pos:
+                    break
+                out.append(v)
+                pos = to
+            return _collapsed(out), pos
+
+        return run
 
     def ahead(self, n): return ANYTHING_MORE
 
@@ -322,13 +468,39 @@ class RepeatUntil(Format):
     whole: bool = False
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        out: list = []
-        while True:
-            v, pos = self.part.parse(s, pos, env)
-            out.append(v)
-            if X.apply(self.test, env, _collapsed(out) if self.whole else v):
-                return _collapsed(out), pos
+    def build(self, scope, bits):
+        part, test, whole = self.part.build(scope, bits), function(self.test, scope), self.whole
+        if isinstance(self.part, Byte) and not whole and not bits and free(self.test) <= set(self.test.names):
+            try:
+                stops = bytes(b for b in self.part.members if X.apply(self.test, {}, BYTES[b]))
+                return self._bytes(stops)
+            except DecodeError:
+                pass
+
+        def run(s, pos, fr):
+            out: list = []
+            while True:
+                v, pos = part(s, pos, fr)
+                out.append(v)
+                if test(fr, _collapsed(out) if whole else v):
+                    return _collapsed(out), pos
+
+        return run
+
+    def _bytes(self, stops: bytes) -> Step:
+        """Of single bytes, where the test says of each alone whether it is the last."""
+        members = self.part.members
+        goes_on = re.compile(pattern_of([b in members and b not in stops or MISSING for b in range(256)]) + b"*")
+
+        def run(s, pos, fr):
+            end = goes_on.match(s.data, pos, s.limit).end()
+            if end >= s.limit:
+                raise DecodeError("Overbyte", end, "no byte left")
+            if s.data[end] not in members:
+                raise unexpected(s, end)
+            return s.data[pos : end + 1], end + 1
+
+        return run
 
     def size(self): return Bounds(self.part.size().low, None)
 
@@ -343,13 +515,19 @@ class AccumUntil(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        acc, out = X.value(self.start, env), []
-        while not X.apply(self.done, env, acc, _collapsed(out)):
-            v, pos = self.part.parse(s, pos, env)
-            out.append(v)
-            acc = X.apply(self.update, env, acc, v)
-        return (acc, _collapsed(out)), pos
+    def build(self, scope, bits):
+        start, part, done, update = build(self.start, scope), self.part.build(scope, bits), function(self.done, scope), function(self.update, scope)
+        looks = self.done.names[1] in free(self.done)  # else the elements so far need not be gathered for the test
+
+        def run(s, pos, fr):
+            acc, out = start(fr), []
+            while not done(fr, acc, _collapsed(out) if looks else out):
+                v, pos = part(s, pos, fr)
+                out.append(v)
+                acc = update(fr, acc, v)
+            return (acc, _collapsed(out)), pos
+
+        return run
 
 
 @dataclass
@@ -359,12 +537,20 @@ class ForEach(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        out = []
-        for x in X.value(self.items, env):
-            v, pos = self.part.parse(s, pos, {**env, self.name: x})
-            out.append(v)
-        return _collapsed(out), pos
+    def build(self, scope, bits):
+        items = build(self.items, scope)
+        own, (at,) = scope.inner(self.name)
+        part = self.part.build(own, bits)
+
+        def run(s, pos, fr):
+            out = []
+            for x in items(fr):
+                fr[at] = x
+                v, pos = part(s, pos, fr)
+                out.append(v)
+            return _collapsed(out), pos
+
+        return run
 
 
 @dataclass
@@ -373,11 +559,16 @@ class Maybe(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        if not X.value(self.test, env):
-            return None, pos
-        v, pos = self.part.parse(s, pos, env)
-        return Some(v), pos
+    def build(self, scope, bits):
+        test, part = build(self.test, scope), self.part.build(scope, bits)
+
+        def run(s, pos, fr):
+            if not test(fr):
+                return None, pos
+            v, pos = part(s, pos, fr)
+            return Some(v), pos
+
+        return run
 
     def size(self): return self.part.size().union(Bounds.exactly(0))
 
@@ -393,16 +584,20 @@ class Peek(Format):
         if self.negative and (high is None or high > NOT_AHEAD_BYTES):
             raise ValueError("a negative look-ahead must be bounded")
 
-    def parse(self, s, pos, env):
-        if not self.negative:
-            return self.part.parse(s, pos, env)[0], pos
-        kept = len(s.warnings)
-        try:
-            self.part.parse(s, pos, env)
-        except DecodeError:
-            del s.warnings[kept:]
-            return None, pos
-        raise DecodeError("Unexpected", pos, "excluded")
+    def build(self, scope, bits):
+        part = self.part.build(scope, bits)
+
+        def without(s, pos, fr):
+            kept, limit = len(s.warnings), s.limit
+            try:
+                part(s, pos, fr)
+            except DecodeError:
+                del s.warnings[kept:]
+                s.limit = limit
+                return None, pos
+            raise DecodeError("Unexpected", pos, "excluded")
+
+        return without if self.negative else lambda s, pos, fr: (part(s, pos, fr)[0], pos)
 
     def size(self): return Bounds.exactly(0)
 
@@ -413,11 +608,19 @@ class Slice(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        end = pos + int(X.value(self.n, env))
-        if end > s.limit:
-            raise DecodeError("Overrun", pos, f"slice to {end} of {s.limit}")
-        return self.part.parse(s.within(end), pos, env)[0], end
+    def build(self, scope, bits):
+        size, part = build(self.n, scope), self.part.build(scope, bits)
+
+        def run(s, pos, fr):
+            limit, end = s.limit, pos + int(size(fr))
+            if not pos <= end <= limit:
+                raise DecodeError("Overrun", pos, f"slice to {end} of {limit}")
+            s.limit = end  # who catches an error puts it back
+            v = part(s, pos, fr)[0]
+            s.limit = limit
+            return v, end
+
+        return run
 
     def size(self): return Bounds.exactly(int(self.n.args[0])) if self.n.op == "const" else Bounds()
     def ahead(self, n): return frozenset((q, True) for q, _ in self.part.ahead(n))
@@ -430,10 +633,15 @@ class OfBits(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        bits = Bits(s.data, pos, s.limit)
-        v, n = self.part.parse(State(bits, len(bits), s.warnings), 0, env)
-        return v, pos + -(-n // 8)
+    def build(self, scope, bits):
+        part = self.part.build(scope, True)
+
+        def run(s, pos, fr):
+            data = Bits(s.data, pos, s.limit)
+            v, n = part(State(data, len(data), s.warnings), 0, fr)
+            return v, pos + -(-n // 8)
+
+        return run
 
     def size(self): return self.part.size().bytes_of_bits()
 
@@ -445,11 +653,16 @@ class WithRelativeOffset(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        at = int(X.value(self.base, env)) + int(X.value(self.offset, env))
-        if not 0 <= at <= s.limit:
-            raise DecodeError("SeekPastEnd", pos, f"to {at} of {s.limit}")
-        return self.part.parse(s, at, env)[0], pos
+    def build(self, scope, bits):
+        base, offset, part = build(self.base, scope), build(self.offset, scope), self.part.build(scope, bits)
+
+        def run(s, pos, fr):
+            at = int(base(fr)) + int(offset(fr))
+            if not 0 <= at <= s.limit:
+                raise DecodeError("SeekPastEnd", pos, f"to {at} of {s.limit}")
+            return part(s, at, fr)[0], pos
+
+        return run
 
     def size(self): return Bounds.exactly(0)
 
@@ -460,9 +673,31 @@ class Map(Format):
     f: X.Lambda
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        v, pos = self.part.parse(s, pos, env)
-        return X.apply(self.f, env, v), pos
+    def number(self) -> tuple[str, str, int] | None:
+        """Representation, order and width, where this is a number made of any bytes."""
+        p, e = self.part, self.f.body
+        whole = isinstance(p, Tuple) and not p.as_list and all(isinstance(x, Byte) and x.members.bits == FULL for x in p.parts)
+        return (e.args[0], e.args[1], len(p.parts)) if whole and e.op == "endian" and e.args[2] == X.var(self.f.names[0]) else None
+
+    def build(self, scope, bits):
+        if (found := self.number()) and not bits:
+            kind, order, n = CLASSES[found[0]], found[1], found[2]
+            read, make = int.from_bytes, int.__new__
+
+            def taken(s, pos, fr):
+                end = pos + n
+                if end > s.limit:
+                    raise DecodeError("Overbyte", s.limit, "no byte left")
+                return make(kind, read(s.data[pos:end], order)), end
+
+            return taken
+        part, f = self.part.build(scope, bits), function(self.f, scope)
+
+        def run(s, pos, fr):
+            v, pos = part(s, pos, fr)
+            return f(fr, v), pos
+
+        return run
 
     def size(self): return self.part.size()
     def ahead(self, n): return self.part.ahead(n)
@@ -477,13 +712,18 @@ class Where(Format):
     hard: bool = True
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        v, to = self.part.parse(s, pos, env)
-        if not X.apply(self.test, env, v):
-            if self.hard:
-                raise DecodeError("BadWhere", pos, repr(v)[:80])
-            s.warnings.append({"kind": "BadWhere", "offset": pos, "message": repr(v)[:80]})
-        return v, to
+    def build(self, scope, bits):
+        part, test, hard = self.part.build(scope, bits), function(self.test, scope), self.hard
+
+        def run(s, pos, fr):
+            v, to = part(s, pos, fr)
+            if not test(fr, v):
+                if hard:
+                    raise DecodeError("BadWhere", pos, repr(v)[:80])
+                s.warnings.append({"kind": "BadWhere", "offset": pos, "message": repr(v)[:80]})
+            return v, to
+
+        return run
 
     def size(self): return self.part.size()
     def ahead(self, n): return self.part.ahead(n)
@@ -493,7 +733,10 @@ class Where(Format):
 class Compute(Format):
     e: X.Expr
 
-    def parse(self, s, pos, env): return X.value(self.e, env), pos
+    def build(self, scope, bits):
+        e = build(self.e, scope)
+        return lambda s, pos, fr: (e(fr), pos)
+
     def size(self): return Bounds.exactly(0)
     def ahead(self, n): return frozenset({((), False)})
 
@@ -505,7 +748,17 @@ class Let(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env): return self.part.parse(s, pos, {**env, self.name: X.value(self.e, env)})
+    def build(self, scope, bits):
+        e = build(self.e, scope)
+        own, (at,) = scope.inner(self.name)
+        part = self.part.build(own, bits)
+
+        def run(s, pos, fr):
+            fr[at] = e(fr)
+            return part(s, pos, fr)
+
+        return run
+
     def size(self): return self.part.size()
     def ahead(self, n): return self.part.ahead(n)
 
@@ -516,18 +769,28 @@ class Match(Format):
     cases: tuple
 
     def __post_init__(self): self.parts = tuple(f for _, f in self.cases)
-    def parse(self, s, pos, env):
-        x = X.value(self.e, env)
-        for pattern, part in self.cases:
-            found = pattern.match(x)
-            if found is not None:
-                return part.parse(s, pos, {**env, **found})
-        raise DecodeError("eval", pos, "no case matches")
+    def build(self, scope, bits):
+        e = build(self.e, scope)
+        choose, scopes = chooser([p for p, _ in self.cases], scope)
+        parts = [f.build(own, bits) for f, own in zip(self.parts, scopes)]
+
+        def run(s, pos, fr):
+            i = choose(fr, e(fr))
+            if i < 0:
+                raise DecodeError("eval", pos, "no case matches")
+            return parts[i](s, pos, fr)
+
+        return run
 
     def size(self): return Union.size(self)
     def ahead(self, n): return Union.ahead(self, n)
 
 
+@functools.lru_cache(64)
+def prefix_code(lengths: tuple[int, ...], symbols: tuple[int, ...] | None) -> PrefixCode:
+    return PrefixCode(list(lengths), None if symbols is None else list(symbols))
+
+
 class PrefixCode:
     """A canonical prefix code by the lengths of its symbols."""
 
@@ -560,29 +823,39 @@ class Dynamic(Format):
     symbols: X.Expr | None = None
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        code = PrefixCode([int(x) for x in X.value(self.lengths, env)], None if self.symbols is None else [int(x) for x in X.value(self.symbols, env)])
-        return self.part.parse(s, pos, {**env, self.name: code})
+    def build(self, scope, bits):
+        lengths, symbols = build(self.lengths, scope), None if self.symbols is None else build(self.symbols, scope)
+        own, (at,) = scope.inner(self.name)
+        part = self.part.build(own, bits)
+
+        def run(s, pos, fr):
+            fr[at] = prefix_code(tuple(map(int, lengths(fr))), None if symbols is None else tuple(map(int, symbols(fr))))
+            return part(s, pos, fr)
+
+        return run
 
 
 @dataclass
 class Apply(Format):
     name: str
 
-    def parse(self, s, pos, env): return env[self.name].read(s, pos)
+    def build(self, scope, bits):
+        at = scope.places[self.name]
+        return lambda s, pos, fr: fr[at].read(s, pos)
+
     def size(self): return Bounds(1, None)
 
 
 @dataclass
 class Pos(Format):
-    def parse(self, s, pos, env): return Int(pos, "u64"), pos
+    def build(self, scope, bits): return lambda s, pos, fr: (Int(pos, "u64"), pos)
     def size(self): return Bounds.exactly(0)
     def ahead(self, n): return frozenset({((), False)})
 
 
 @dataclass
 class SkipRemainder(Format):
-    def parse(self, s, pos, env): return None, s.limit
+    def build(self, scope, bits): return lambda s, pos, fr: (None, s.limit)
     def ahead(self, n): return ANYTHING_MORE
 
 
@@ -592,12 +865,17 @@ class DecodeBytes(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        data = bytes(X.value(self.e, env))
-        v, at = self.part.parse(State(data, len(data), s.warnings), 0, env)
-        if at < len(data):
-            s.warnings.append({"kind": "Trailing", "offset": at, "message": f"{len(data) - at} bytes left"})
-        return v, pos
+    def build(self, scope, bits):
+        e, part = build(self.e, scope), self.part.build(scope, False)
+
+        def run(s, pos, fr):
+            data = bytes(e(fr))
+            v, at = part(State(data, len(data), s.warnings), 0, fr)
+            if at < len(data):
+                s.warnings.append({"kind": "Trailing", "offset": at, "message": f"{len(data) - at} bytes left"})
+            return v, pos
+
+        return run
 
     def size(self): return Bounds.exactly(0)
 
@@ -611,9 +889,37 @@ class LetFormat(Format):
     rest: Format
 
     def __post_init__(self): self.parts = (self.first, self.rest)
-    def parse(self, s, pos, env):
-        v, pos = self.first.parse(s, pos, env)
-        return self.rest.parse(s, pos, env if self.name is None else {**env, self.name: v})
+    def build(self, scope, bits):
+        steps, last = [], self
+        while isinstance(last, LetFormat):  # a record's fields make one loop
+            first = last.first.build(scope, bits)
+            if last.name is None:
+                at = scope.new()
+            else:
+                scope, (at,) = scope.inner(last.name)
+            steps.append((first, at, last.name))
+            last = last.rest
+        end = last.build(scope, bits)
+
+        def traced(s, pos, fr):
+            for step, at, name in steps:
+                shown, start = name is not None and not name.startswith("_"), pos
+                if shown:
+                    s.path.append(name)
+                fr[at], pos = step(s, pos, fr)
+                if shown:
+                    s.spans.append((".".join(s.path), start, pos))
+                    s.path.pop()
+            return end(s, pos, fr)
+
+        def run(s, pos, fr):
+            if s.spans is not None:
+                return traced(s, pos, fr)
+            for step, at, _ in steps:
+                fr[at], pos = step(s, pos, fr)
+            return end(s, pos, fr)
+
+        return run
 
     def size(self): return self.first.size() + self.rest.size()
     def ahead(self, n): return _joined(self.first.ahead(n), self.rest.ahead, n)
@@ -625,7 +931,7 @@ class Hint(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env): return self.part.parse(s, pos, env)
+    def build(self, scope, bits): return self.part.build(scope, bits)
     def size(self): return self.part.size()
     def ahead(self, n): return self.part.ahead(n)
 
@@ -635,11 +941,16 @@ class LiftedOption(Format):
     part: Format | None
 
     def __post_init__(self): self.parts = (self.part,) if self.part else ()
-    def parse(self, s, pos, env):
+    def build(self, scope, bits):
         if self.part is None:
-            return None, pos
-        v, pos = self.part.parse(s, pos, env)
-        return Some(v), pos
+            return lambda s, pos, fr: (None, pos)
+        part = self.part.build(scope, bits)
+
+        def run(s, pos, fr):
+            v, pos = part(s, pos, fr)
+            return Some(v), pos
+
+        return run
 
     def size(self): return self.part.size() if self.part else Bounds.exactly(0)
     def ahead(self, n): return self.part.ahead(n) if self.part else frozenset({((), False)})
@@ -651,17 +962,35 @@ class LetView(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env): return self.part.parse(s, pos, {**env, self.name: View(s.data, pos, s.limit)})
+    def build(self, scope, bits):
+        own, (at,) = scope.inner(self.name)
+        part = self.part.build(own, bits)
+
+        def run(s, pos, fr):
+            fr[at] = View(s.data, pos, s.limit)
+            return part(s, pos, fr)
+
+        return run
+
     def size(self): return self.part.size()
     def ahead(self, n): return self.part.ahead(n)
 
 
-def _view(name: str, offset: X.Expr | None, env: dict, pos: int) -> View:
-    v = env[name]
-    at = v.offset + (int(X.value(offset, env)) if offset is not None else 0)
-    if at > v.limit:
-        raise DecodeError("Overrun", pos, f"view at {at} of {v.limit}")
-    return View(v.data, at, v.limit)
+def _view(name: str, offset: X.Expr | None, scope: Scope) -> Callable[[list, int], View]:
+    if name not in scope.places:
+        raise ValueError(f"no view {name}")
+    at, ahead = scope.places[name], None if offset is None else build(offset, scope)
+
+    def run(fr, pos):
+        v = fr[at]
+        if ahead is None:
+            return v
+        to = v.offset + int(ahead(fr))
+        if not v.offset <= to <= v.limit:
+            raise DecodeError("Overrun", pos, f"view at {to} of {v.limit}")
+        return View(v.data, to, v.limit)
+
+    return run
 
 
 @dataclass
@@ -674,18 +1003,21 @@ class WithView(Format):
     kind: str = "u8"
     offset: X.Expr | None = None
 
-    def parse(self, s, pos, env):
-        v = _view(self.view, self.offset, env, pos)
+    def build(self, scope, bits):
+        view = _view(self.view, self.offset, scope)
         if self.what == "reify":
-            return v, pos
-        n = int(X.value(self.n, env))
-        width = int(self.kind[1:]) // 8 if self.what == "array" else 1
-        if v.offset + n * width > v.limit:
-            raise DecodeError("Overrun", pos, f"{n * width} bytes at {v.offset} of {v.limit}")
-        raw = bytes(v.data[v.offset : v.offset + n * width])
-        if self.what == "capture":
-            return raw, pos
-        return [Int(int.from_bytes(raw[i : i + width], "big", signed=self.kind[0] == "i"), self.kind) for i in range(0, len(raw), width)], pos
+            return lambda s, pos, fr: (view(fr, pos), pos)
+        count, capture, kind, signed = build(self.n, scope), self.what == "capture", CLASSES[self.kind], self.kind[0] == "i"
+        width, make, read = 1 if capture else int(self.kind[1:]) // 8, int.__new__, int.from_bytes
+
+        def run(s, pos, fr):
+            v, n = view(fr, pos), int(count(fr)) * width
+            if not 0 <= n <= v.limit - v.offset:
+                raise DecodeError("Overrun", pos, f"{n} bytes at {v.offset} of {v.limit}")
+            raw = bytes(v.data[v.offset : v.offset + n])
+            return (raw if capture else [make(kind, read(raw[i : i + width], "big", signed=signed)) for i in range(0, n, width)]), pos
+
+        return run
 
     def size(self): return Bounds.exactly(0)
     def ahead(self, n): return frozenset({((), False)})
@@ -698,9 +1030,15 @@ class ParseFromView(Format):
     offset: X.Expr | None = None
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        v = _view(self.view, self.offset, env, pos)
-        return self.part.parse(State(v.data, v.limit, s.warnings), v.offset, env)[0], pos
+    def build(self, scope, bits):
+        view, whole, single = _view(self.view, self.offset, scope), self.part.build(scope, False), self.part.build(scope, True)
+
+        def run(s, pos, fr):
+            v = view(fr, pos)
+            part = single if isinstance(v.data, Bits) else whole
+            return part(State(v.data, v.limit, s.warnings, s.spans if v.data is s.data else None, s.path), v.offset, fr)[0], pos
+
+        return run
 
     def size(self): return Bounds.exactly(0)
     def ahead(self, n): return frozenset({((), False)})
@@ -708,9 +1046,12 @@ class ParseFromView(Format):
 
 @dataclass
 class Phantom(Format):
+    """Takes nothing and makes nothing; its part is there for what can be known of it."""
+
     part: Format
 
-    def parse(self, s, pos, env): return None, pos
+    def __post_init__(self): self.parts = (self.part,)
+    def build(self, scope, bits): return lambda s, pos, fr: (None, pos)
     def size(self): return Bounds.exactly(0)
     def ahead(self, n): return frozenset({((), False)})
 
@@ -720,13 +1061,18 @@ class Enforce(Format):
     part: Format
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        kept = len(s.warnings)
-        v, to = self.part.parse(s, pos, env)
-        if len(s.warnings) > kept:
-            w = s.warnings[kept]
-            raise DecodeError(w["kind"], w["offset"], w["message"])
-        return v, to
+    def build(self, scope, bits):
+        part = self.part.build(scope, bits)
+
+        def run(s, pos, fr):
+            kept = len(s.warnings)
+            v, to = part(s, pos, fr)
+            if len(s.warnings) > kept:
+                w = s.warnings[kept]
+                raise DecodeError(w["kind"], w["offset"], w["message"])
+            return v, to
+
+        return run
 
     def size(self): return self.part.size()
     def ahead(self, n): return self.part.ahead(n)
@@ -740,14 +1086,20 @@ class Permit(Format):
     fallback: X.Expr
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        kept = len(s.warnings)
-        try:
-            return self.part.parse(s, pos, env)
-        except DecodeError as error:
-            del s.warnings[kept:]
-            s.warnings.append({"kind": error.kind, "offset": pos, "message": f"permitted: {error.message}"})
-            return X.value(self.fallback, env), pos
+    def build(self, scope, bits):
+        part, fallback = self.part.build(scope, bits), build(self.fallback, scope)
+
+        def run(s, pos, fr):
+            kept, limit = len(s.warnings), s.limit
+            try:
+                return part(s, pos, fr)
+            except DecodeError as error:
+                del s.warnings[kept:]
+                s.limit = limit
+                s.warnings.append({"kind": error.kind, "offset": pos, "message": f"permitted: {error.message}"})
+                return fallback(fr), pos
+
+        return run
 
     def size(self): return self.part.size().union(Bounds.exactly(0))
     def ahead(self, n): return ANYTHING_MORE
@@ -763,9 +1115,17 @@ class Call(Format):
     views: tuple = ()
 
     def __post_init__(self): self.parts = (self.part,)
-    def parse(self, s, pos, env):
-        scope = {k: X.value(e, env) for k, e in self.args} | {k: env[v] for k, v in self.views}
-        return self.part.parse(s, pos, scope)
+    def build(self, scope, bits):
+        args = [(build(e, scope), scope.new()) for _, e in self.args]
+        places = {k: at for (k, _), (_, at) in zip(self.args, args)} | {k: scope.places[v] for k, v in self.views}
+        part = self.part.build(scope.only(places), bits)
+
+        def run(s, pos, fr):
+            for e, at in args:
+                fr[at] = e(fr)
+            return part(s, pos, fr)
+
+        return run
 
     def size(self): return self.part.size()
     def ahead(self, n): return self.part.ahead(n)
@@ -773,17 +1133,24 @@ class Call(Format):
 
 @dataclass
 class Inflate(Format):
-    """A deflate stream, by the platform's own inflater: the bytes, and the cursor after the stream."""
+    """A deflate stream, by the platform's own inflater: the bytes, `most` of them at most, and the cursor after the stream."""
 
-    def parse(self, s, pos, env):
-        press = zlib.decompressobj(-15)
-        try:
-            out = press.decompress(s.data[pos : s.limit]) + press.flush()
-        except zlib.error as error:
-            raise DecodeError("Unexpected", pos, str(error)) from error
-        if not press.eof:
-            raise DecodeError("Overrun", s.limit, "the stream is cut short")
-        return out, s.limit - len(press.unused_data)
+    most: int = 1 << 30
+
+    def build(self, scope, bits):
+        most = self.most
+
+        def run(s, pos, fr):
+            press = zlib.decompressobj(-15)
+            try:
+                out = press.decompress(s.data[pos : s.limit], most)
+            except zlib.error as error:
+                raise DecodeError("Unexpected", pos, str(error)) from error
+            if not press.eof:
+                raise DecodeError("Overrun", s.limit, f"more than {most} bytes" if press.unconsumed_tail else "the stream is cut short")
+            return out, s.limit - len(press.unused_data)
+
+        return run
 
     def size(self): return Bounds(1, None)
     def ahead(self, n): return ANYTHING_MORE
@@ -793,3 +1160,42 @@ def decode(fmt: Format, data: bytes, env: dict | None = None) -> tuple[Any, list
     """The value of a whole buffer and the warnings; bytes may be left."""
     s = State(data, len(data))
     return fmt.parse(s, 0, env or {})[0], s.warnings
+
+
+def located(fmt: Format, data: bytes) -> list[tuple[str, int, int]]:
+    """(path, start, stop) of every named field, in the order in which they end; those of derived buffers have no place in this one."""
+    s = State(data, len(data), spans=[])
+    fmt.parse(s, 0, {})
+    return s.spans
+
+
+def fits(data: Any, at: int, sets: tuple[int, ...]) -> bool:
+    """Whether the bytes from a place on lie in the sets."""
+    return all(m >> data[at + k] & 1 for k, m in enumerate(sets))
+
+
+def unexpected(s: State, pos: int) -> DecodeError:
+    return DecodeError("Unexpected", pos, f"byte {s.data[pos]:#04x}")
+
+
+def singles(f: Format) -> list | None:
+    """The value of each byte that alone makes one of the format (a byte, what a function makes of it, or a choice of these); else None."""
+    if isinstance(f, Byte):
+        return [BYTES[b] if b in f.members else MISSING for b in range(256)]
+    if isinstance(f, Hint):
+        return singles(f.part)
+    if isinstance(f, Map) and isinstance(f.part, Byte) and free(f.f) <= set(f.f.names):
+        try:
+            return [X.apply(f.f, {}, BYTES[b]) if b in f.part.members else MISSING for b in range(256)]
+        except DecodeError:
+            return None
+    if isinstance(f, Union):
+        found = [x for x in map(singles, f.parts) if x is not None]
+        return [next((x[b] for x in found if x[b] is not MISSING), MISSING) for b in range(256)] if found else None
+    return None
+
+
+def pattern_of(table: list) -> bytes:
+    """A class of the bytes that a table has values for."""
+    members = b"".join(b"\\x%02x" % b for b in range(256) if table[b] is not MISSING)
+    return b"[" + members + b"]" if members else b"[^\\x00-\\xff]"

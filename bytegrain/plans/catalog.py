@@ -16,6 +16,7 @@ from ..functions import expr as X
 from ..functions import numeric as M
 from ..functions import pattern as P
 from ..functions.sets import ByteSet
+from ..functions.values import Int
 from ..operators import combinators as C
 from ..operators import format as N
 from ..sources import payloads
@@ -44,34 +45,33 @@ def select(frame: DataFrame, *keep: str, **trees: X.Expr) -> DataFrame:
     return frame.select(*keep, *(X.column(t, {}).alias(k) for k, t in trees.items()))
 
 
-def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's event ids in order."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+def be(x, n: int):
+    """A number as n bytes, highest first."""
+    return F.unhex(F.lpad(F.hex(x), 2 * n, "0"))
 
 
-_USERS = "(select user_id, list(event_id order by event_id) as ids from events group by user_id)"
+def digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decimal digits of each order's key."""
+    d = F.transform(F.regexp_extract_all(F.col("o_orderkey").cast("string"), F.lit("([0-9])"), 1), lambda c: c.cast("bigint"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", d.alias("d"))
+
+
+_DIGITS = "(select o_orderkey, list_transform(string_split(o_orderkey::varchar, ''), lambda c: c::bigint) as d from orders)"
 
 
 @query("""select doc_id, octet_length(encode(text))::bigint as n_bytes, length(text)::bigint as n_chars,
  length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'))::bigint as n_one from documents""")
 def utf8_decode_stats(spark, sf_dir):
-    """Repeat, Union, Map and AsChar of UTF-8 text: bytes, code points, one-byte sequences."""
+    """Bytes, code points and one-byte sequences of UTF-8 text, by Spark's own functions."""
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.char_length("text").cast("bigint").alias("n_chars"), F.char_length(F.regexp_replace("text", r"[^\x00-\x7f]", "")).cast("bigint").alias("n_one"))
 
 
-@query("select doc_id, length(text)::bigint as n_chars, octet_length(encode(text))::bigint as n_bytes from documents where length(text) <= 400")
+@query("select doc_id, length(text)::bigint as n_chars, octet_length(encode(text))::bigint as n_bytes, sha256(text) as digest from documents")
 def utf8_decode_program(spark, sf_dir):
-    """The text format run as a decode program, on the documents that are short."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload"), F.octet_length("text").cast("bigint").alias("n_bytes"))
-    found = payloads.decode_column(docs, "text", "string", sniff=F.char_length(F.decode("payload", "utf-8")) <= 400)
-    return found.select("doc_id", F.char_length("value").cast("bigint").alias("n_chars"), "n_bytes")
-
-
-@query()
-def utf8_decode_program_whole(spark, sf_dir):
-    """The text format run as a decode program, on every whole text; at 20 kB/s a core too slow for SQL tests on large tables."""
+    """Repeat, Union, Map and AsChar: the text format run as a decode program on every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload"), F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return payloads.decode_column(docs, "text", "string").select("doc_id", F.char_length("value").cast("bigint").alias("n_chars"), "n_bytes")
+    found = payloads.decode_column(docs, "text", "string")
+    return found.select("doc_id", F.char_length("value").cast("bigint").alias("n_chars"), "n_bytes", F.sha2(F.encode("value", "utf-8"), 256).alias("digest"))
 
 
 @query("""select page_id, length(regexp_replace(html, '[^0-9]', '', 'g'))::bigint as n_digits, length(regexp_replace(html, '[^A-Za-z]', '', 'g'))::bigint as n_letters, length(regexp_replace(html, '[^<>]', '', 'g'))::bigint as n_angles from pages""")
@@ -126,8 +126,8 @@ def bits_lsb_first(spark, sf_dir):
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_quantity::bigint as q from lineitem where l_quantity::bigint between 10 and 20")
-def where_require(spark, sf_dir):
-    """Where, hard: as a filter it reaches the scan."""
+def filter_pushed_down(spark, sf_dir):
+    """A range test as a filter that reaches the scan."""
     q = F.col("l_quantity").cast("bigint")
     return table(spark, sf_dir, "lineitem").filter(q.between(10, 20)).select("l_orderkey", "l_linenumber", "l_partkey", q.alias("q"))
 
@@ -140,18 +140,6 @@ def where_expect(spark, sf_dir):
     return found.select("o_orderkey", F.get("warnings", F.lit(0)).getField("kind").alias("warning"))
 
 
-@query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), -1) as k, coalesce(try_cast(event_type as bigint), -1) as fallback from events")
-def permit_fallback(spark, sf_dir):
-    """Permit: a fallback where a read fails."""
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') as bigint)"), F.lit(-1)).alias("k"), F.coalesce(F.expr("try_cast(event_type as bigint)"), F.lit(-1)).alias("fallback"))
-
-
-@query("select o_orderkey, case when o_orderstatus = 'F' then o_custkey end as customer from orders")
-def maybe_field(spark, sf_dir):
-    """Maybe: present where a test holds."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("customer"))
-
-
 @query("select p_partkey, case when p_size = 1 then 'one' when p_size between 2 and 9 then 'few' else 'many' end as tag, case when p_size between 2 and 9 then p_size::bigint + 1 else 0 end as n from part")
 def match_patterns(spark, sf_dir):
     """Match over patterns: literal, range, binding."""
@@ -161,24 +149,6 @@ def match_patterns(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.column(tag, {}).alias("tag"), X.column(n, {}).cast("bigint").alias("n"))
 
 
-@query("select event_id, event_type as tag, case when event_type = 'click' then user_id end as click from events")
-def match_variant_tag(spark, sf_dir):
-    """Variant: a sum type as a struct of a tag and one value."""
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tag"), F.when(F.col("event_type") == "click", F.col("user_id")).alias("click"))
-
-
-_SOURCES = "select 'd' || doc_id as id, left(text, 64) as t from documents union all select 'p' || page_id, left(html, 64) from pages union all select 'e' || event_id, props from events"
-
-
-@query(f"select id, case when starts_with(t, '<!DOCTYPE') then 'html' when starts_with(t, '{{') then 'json' else 'text' end as kind from ({_SOURCES})")
-def sniff_union_nondet(spark, sf_dir):
-    """Ordered choice by first bytes."""
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.substring("text", 1, 64).alias("t"))
-    rows = rows.unionAll(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id"), F.substring("html", 1, 64)))
-    rows = rows.unionAll(table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id"), "props"))
-    return rows.select("id", F.when(F.startswith("t", F.lit("<!DOCTYPE")), "html").when(F.startswith("t", F.lit("{")), "json").otherwise("text").alias("kind"))
-
-
 @query("select p_type as tag, count(*)::bigint as n from part group by p_type")
 def union_look_ahead(spark, sf_dir):
     """Deterministic choice by look-ahead, as a decode program over type names."""
@@ -189,43 +159,44 @@ def union_look_ahead(spark, sf_dir):
 
 
 @query("select p_partkey, p_type from part where not starts_with(p_type, 'ECONOMY')")
-def excluding_peek_not(spark, sf_dir):
-    """PeekNot as an anti predicate."""
+def anti_prefix(spark, sf_dir):
+    """An anti predicate on a prefix, in the scan."""
     return table(spark, sf_dir, "part").filter(~F.startswith("p_type", F.lit("ECONOMY"))).select("p_partkey", "p_type")
 
 
-@query("select doc_id, left(text, 16) as head, greatest(length(text) - 16, 0)::bigint as skipped from documents")
-def slice_skip_rest(spark, sf_dir):
-    """Slice, then skip what is left."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 16).alias("head"), F.greatest(F.char_length("text") - 16, F.lit(0)).cast("bigint").alias("skipped"))
-
-
 @query("select doc_id, ((512 - n_chars % 512) % 512)::bigint as pad from documents")
 def align_pad(spark, sf_dir):
     """Align: bytes up to the next multiple."""
     return select(table(spark, sf_dir, "documents"), "doc_id", pad=(X.lift(512) - V("n_chars") % 512) % 512)
 
 
-@query("select doc_id, substr(text, (doc_id % n_chars)::bigint + 1, 5) as found, doc_id % n_chars as at from documents where n_chars > 0")
-def offset_read(spark, sf_dir):
-    """WithRelativeOffset: a read at a computed place."""
-    return table(spark, sf_dir, "documents").filter("n_chars > 0").select("doc_id", F.substring("text", (F.col("doc_id") % F.col("n_chars") + 1).cast("int"), F.lit(5)).alias("found"), (F.col("doc_id") % F.col("n_chars")).alias("at"))
-
-
+#: Ids of a range, and ranges of a range of the next level.
+SPAN = 4096
 _RUNS = "select event_type, event_id, row_number() over (order by event_id) - row_number() over (partition by event_type order by event_id) as g from events"
 
 
 @query(f"select event_type, min(event_id) as first_id, count(*)::bigint as n from ({_RUNS}) group by event_type, g")
 def rle_encode_events(spark, sf_dir):
-    """Run lengths of event types in order of event_id: runs are found in ranges of ids and joined at their edges, so no task sorts all events."""
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 4096).alias("part"))
-    inside = Window.partitionBy("part").orderBy("event_id")
-    edges = events.groupBy("part").agg(F.max_by("event_type", "event_id").alias("last"))
-    parts = edges.withColumn("before", F.lag("last").over(Window.orderBy("part"))).select("part", "before")
-    marked = events.join(parts, "part").withColumn("new", (~F.coalesce(F.lag("event_type").over(inside), F.col("before")).eqNullSafe(F.col("event_type"))).cast("bigint"))
-    before = marked.groupBy("part").agg(F.sum("new").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    runs = marked.withColumn("run", F.sum("new").over(inside)).join(before, "part").withColumn("run", F.col("run") + F.col("base"))
-    return runs.groupBy("run").agg(F.first("event_type").alias("event_type"), F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n")).drop("run")
+    """Run lengths of event types in order of event_id: runs are found within ranges of ids, and of each range only its first and last run
+    go on to the next level, where ranges are ranges of ranges, until one is left; so no task sorts all events, or all ranges."""
+    runs = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("first_id"), F.lit(1).cast("bigint").alias("n"), F.floor(F.col("event_id") / SPAN).alias("part"))
+    low, high = runs.agg(F.min("first_id"), F.max("first_id")).first()
+    done, width = [], SPAN
+    while low is not None:
+        inside = Window.partitionBy("part").orderBy("first_id")
+        new = F.coalesce(F.lag("event_type").over(inside) != F.col("event_type"), F.lit(True)).cast("bigint")
+        merged = runs.withColumn("new", new).withColumn("run", F.sum("new").over(inside)).groupBy("part", "run").agg(F.first("event_type").alias("event_type"), F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
+        if low // width == high // width:
+            done.append(merged.select("event_type", "first_id", "n"))
+            break
+        merged = merged.withColumn("edge", (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy("part"))))
+        done.append(merged.filter("not edge").select("event_type", "first_id", "n"))
+        width *= SPAN
+        runs = merged.filter("edge").select("event_type", "first_id", "n", F.floor(F.col("first_id") / width).alias("part"))
+    out = done[0] if done else runs.select("event_type", "first_id", "n")
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
 
 
 @query("select o_orderkey, repeat(chr(65 + (o_orderkey % 5)::int), 1 + (o_orderkey % 9)::int) || repeat('z', (o_orderkey % 3)::int) as data from orders")
@@ -248,79 +219,35 @@ def peano_numbers(spark, sf_dir):
 
 
 @query("select user_id, event_id from (select user_id, event_id, coalesce(bool_or(event_type = 'error') over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), false) as after from events) where not after")
-def repeat_until_last(spark, sf_dir):
-    """RepeatUntilLast: elements up to and with the first that meets a test."""
+def window_until_error(spark, sf_dir):
+    """A window frame: each user's events up to and with the first error."""
     before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     marked = table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(F.bool_or(F.col("event_type") == "error").over(before), F.lit(False)).alias("after"))
     return marked.filter(~F.col("after")).select("user_id", "event_id")
 
 
 @query("select user_id, event_id, before as acc from (select user_id, event_id, coalesce(sum(event_id % 7) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0)::bigint as before from events) where before < 50")
-def accum_until_qty(spark, sf_dir):
-    """AccumUntil: the test comes before each element."""
+def window_until_sum(spark, sf_dir):
+    """A window frame: each user's events while a sum of those before is small."""
     before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     summed = table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(F.sum(F.col("event_id") % 7).over(before), F.lit(0)).alias("acc"))
     return summed.filter("acc < 50")
 
 
-@query(f"select user_id, list_sum(ids)::bigint as total, list_max(ids) as most from {_USERS}")
-def left_fold(spark, sf_dir):
-    """LeftFold: sum and maximum of a sequence."""
-    total = X.left_fold(lambda a, x: a + x, V("zero"), V("ids"))
-    frame = user_events(spark, sf_dir)
-    return frame.select("user_id", X.column(total, {"zero": F.lit(0).cast("bigint")}).alias("total"), F.array_max("ids").alias("most"))
-
-
-@query(f"select user_id, flatten(list_transform(ids, lambda x: [x, x % 10])) as flat from {_USERS}")
-def flat_map(spark, sf_dir):
-    """FlatMap: each element to a sequence, joined."""
-    return select(user_events(spark, sf_dir), "user_id", flat=X.flat_map(lambda x: X.seq_of(x, x % 10), V("ids")))
-
-
-@query("select user_id, list(s order by event_id) as sums from (select user_id, event_id, sum(event_id) over (partition by user_id order by event_id)::bigint as s from events) group by user_id")
-def flat_map_accum(spark, sf_dir):
-    """FlatMapAccum: running sums of a sequence."""
-    start = F.struct(F.lit(0).cast("bigint").alias("acc"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda s, x: F.struct((s["acc"] + x).alias("acc"), F.concat(s["out"], F.array(s["acc"] + x)).alias("out"))
-    return user_events(spark, sf_dir).select("user_id", F.aggregate("ids", start, step, lambda s: s["out"]).alias("sums"))
-
-
-@query(f"select user_id, list_sort(list_distinct(list_transform(ids, lambda x: x % 5))) as kinds from {_USERS}")
-def flat_map_list(spark, sf_dir):
-    """FlatMapList: each step sees what came out so far; here, remainders not seen yet."""
-    seen = F.aggregate("ids", F.array().cast("array<bigint>"), lambda out, x: F.concat(out, F.when(F.array_contains(out, x % 5), F.array().cast("array<bigint>")).otherwise(F.array(x % 5))))
-    return user_events(spark, sf_dir).select("user_id", F.array_sort(seen).alias("kinds"))
-
-
-@query("select p_brand, min(p_partkey) as first_key from part where p_size = 7 group by p_brand")
-def find_by_key_unsorted(spark, sf_dir):
-    """FindByKey: the first element with a key."""
-    lists = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("parts"))
-    return select(lists, "p_brand", found=X.find_by_key(lambda p: p["p_size"], 7, V("parts"))).filter("found is not null").select("p_brand", F.col("found.p_partkey").alias("first_key"))
-
-
 @query("select c_custkey, n_name from customer left join nation on c_nationkey = n_nationkey")
-def find_by_key_sorted(spark, sf_dir):
-    """FindByKey in a sorted table of fixed size: a join that Spark broadcasts where the table is small."""
+def lookup_join(spark, sf_dir):
+    """A lookup in a small table: a join that Spark broadcasts where the table is small."""
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
 
 
 @query("select o_orderkey, count(l_orderkey)::bigint as n_lines, coalesce(sum(l_quantity::bigint), 0)::bigint as quantity from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey")
-def for_each_dependent(spark, sf_dir):
-    """ForEach: for each order its lines; lines are summed before they meet the orders."""
+def dependent_join(spark, sf_dir):
+    """A dependent join: for each order its lines; lines are summed before they meet the orders."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
     joined = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("q", F.lit(0)).alias("quantity"))
 
 
-@query(f"select user_id, ids[1:2] as part, ids[1] as first_id, list_concat(ids[1:1], [0]) as more, list_transform(range(least(len(ids), 3)), lambda i: 9::bigint) as copies, range(0, least(len(ids), 4)) as numbers, len(ids)::bigint as n from {_USERS}")
-def sequence_operators(spark, sf_dir):
-    """SubSeq, SeqIx, Append, Dup, EnumFromTo, SeqLength."""
-    frame = user_events(spark, sf_dir)
-    n = F.size("ids")
-    return frame.select("user_id", F.slice("ids", 1, 2).alias("part"), X.column(V("ids").at(0), {}).alias("first_id"), F.concat(F.slice("ids", 1, 1), F.array(F.lit(0).cast("bigint"))).alias("more"), F.array_repeat(F.lit(9).cast("bigint"), F.least(n, F.lit(3))).alias("copies"), X._range(F.lit(0), F.least(n, F.lit(4))).alias("numbers"), X.column(X.seq_length(V("ids")), {}).alias("n"))
-
-
 @query("select o_orderkey, left(repeat(right(o_orderkey::varchar, 2), 10), 12) as copied from orders where o_orderkey >= 10")
 def lz77_inflate(spark, sf_dir):
     """SubSeqInflate: a copy that runs into what it makes."""
@@ -358,12 +285,13 @@ def as_char(spark, sf_dir):
     return select(table(spark, sf_dir, "part"), "p_partkey", c=X.as_char(V("p_size") + 64))
 
 
-def _made(frame: DataFrame, make: Callable[[bytes], bytes], key: str) -> DataFrame:
-    """Payloads of a format, packed from texts."""
+def _made(frame: DataFrame, make: Callable[..., bytes], key: str, keyed: bool = False) -> DataFrame:
+    """Payloads of a format, packed from texts (keyed: and their keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], [key, "payload"])
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make((t or "").encode(), *([k] if keyed else [])) for k, t in rows], pa.binary())], [key, "payload"])
 
     return frame.mapInArrow(run, f"{key} bigint, payload binary")
 
@@ -522,6 +450,296 @@ def decode_errors(spark, sf_dir):
     return found.select("doc_id", F.col("error.kind").alias("kind"), F.col("error.offset").alias("at"))
 
 
+# Sequences
+
+
+@query(f"select o_orderkey, list_sum(d)::bigint as total, list_reduce(d, lambda a, x: a * 10 + x)::bigint as number from {_DIGITS}")
+def left_fold(spark, sf_dir):
+    """LeftFold: a sum, and the number that the digits spell."""
+    return select(digits(spark, sf_dir), "o_orderkey", total=X.left_fold(lambda a, x: a + x, 0, V("d")), number=X.left_fold(lambda a, x: a * 10 + x, 0, V("d")))
+
+
+@query(f"select o_orderkey, flatten(list_transform(d, lambda x: [x, x % 3])) as flat from {_DIGITS}")
+def flat_map(spark, sf_dir):
+    """FlatMap: each element to a sequence, joined."""
+    return select(digits(spark, sf_dir), "o_orderkey", flat=X.flat_map(lambda x: X.seq_of(x, x % 3), V("d")))
+
+
+@query(f"select o_orderkey, flatten(list_transform(range(1, len(d) + 1), lambda i: [list_sum(d[1:i - 1]), list_sum(d[1:i])]))::bigint[] as sums from (select o_orderkey, list_concat([0], d) as e, d from {_DIGITS})".replace("list_sum(d[1:i - 1])", "list_sum(e[1:i])"))
+def flat_map_accum(spark, sf_dir):
+    """FlatMapAccum: the running sum before and after each element."""
+    return select(digits(spark, sf_dir), "o_orderkey", sums=X.flat_map_accum(lambda acc, x: X.tuple_of(acc + x, X.seq_of(acc, acc + x)), 0, V("d")))
+
+
+@query(f"select o_orderkey, list_sort(list_distinct(d)) as kinds from {_DIGITS}")
+def flat_map_list(spark, sf_dir):
+    """FlatMapList: each step sees what came out so far; here, digits not seen yet."""
+    fresh = X.flat_map_list(lambda out, x: X.match(X.find_by_key(lambda y: y, x, out), (P.absent(), X.seq_of(x)), (P.wildcard(), X.sub_seq(X.seq_of(x), 0, 0))), V("d"))
+    return select(digits(spark, sf_dir), "o_orderkey", kinds=fresh).select("o_orderkey", F.array_sort("kinds").alias("kinds"))
+
+
+@query(f"select o_orderkey, list_filter(d, lambda x: x % 4 = 2)[1] as found from {_DIGITS}")
+def find_by_key_unsorted(spark, sf_dir):
+    """FindByKey: the first element with a key."""
+    return select(digits(spark, sf_dir), "o_orderkey", found=X.find_by_key(lambda x: x % 4, 2, V("d")))
+
+
+@query("select c_custkey, case when c_nationkey % 3 = 0 then c_nationkey::bigint end as found from customer")
+def find_by_key_sorted(spark, sf_dir):
+    """FindByKey in a sorted sequence, by halving in a decode program."""
+    keys = X.lift([Int(k, "u8") for k in range(0, 25, 3)])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", be("c_nationkey", 1).alias("payload"))
+    fmt = C.record(("k", C.u8), ("found", C.compute(X.find_by_key(lambda x: x, V("k"), keys, is_sorted=True))))
+    return payloads.decode_column(rows, fmt, "struct<found:bigint>").select("c_custkey", F.col("value.found").alias("found"))
+
+
+@query(f"select o_orderkey, d[1:1] as part, d[1] as first_digit, list_concat(d, [0, len(d)]) as more, list_transform(range(d[1]), lambda i: 9::bigint) as copies, range(0, len(d))::bigint[] as numbers, len(d)::bigint as n from {_DIGITS}")
+def sequence_operators(spark, sf_dir):
+    """SubSeq, SeqIx, Append, Dup, EnumFromTo, SeqLength as columns."""
+    d, n = V("d"), X.seq_length(V("d"))
+    return select(digits(spark, sf_dir), "o_orderkey", part=X.sub_seq(d, 0, 1), first_digit=d.at(0), more=X.append(d, X.seq_of(0, n)), copies=X.dup(d.at(0), X.lift(0) + 9), numbers=X.enum_from_to(0, n), n=n).withColumn("copies", F.col("copies").cast("array<bigint>"))
+
+
+@query("select o_orderkey, substr(s, 2, 3) as part, substr(s, 3, 1) as third, s || 'zz' as more, repeat(substr(s, 1, 1), 4) as copies from (select o_orderkey, lpad(o_orderkey::varchar, 8, '0') as s from orders)")
+def sequence_program(spark, sf_dir):
+    """SubSeq, SeqIx, Append, Dup over bytes in a decode program."""
+    s = V("s")
+    made = X.record_of(part=X.sub_seq(s, 1, 3), third=X.seq_of(s.at(2)), more=X.append(s, X.lift(b"zz")), copies=X.dup(4, s.at(0)))
+    fmt = C.chain(C.repeat_count(8, C.ANY), "s", C.compute(made))
+    found = payloads.decode_column(keys_as_text(spark, sf_dir), fmt, "struct<part:binary,third:binary,more:binary,copies:binary>")
+    return found.select("o_orderkey", *(F.col(f"value.{c}").cast("string").alias(c) for c in ("part", "third", "more", "copies")))
+
+
+# One node at a time, by decode programs
+
+
+def keys_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight digits of each order's key."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.encode(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), "utf-8").alias("payload"))
+
+
+def keys_as_bytes(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", be("o_orderkey", n).alias("payload"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_quantity::bigint as q from lineitem where l_quantity::bigint between 10 and 20")
+def where_require(spark, sf_dir):
+    """Where, hard: a byte in a range, an error elsewhere."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", be(F.col("l_quantity").cast("bigint"), 1).alias("payload"))
+    return payloads.decode_column(lines, C.where_between(C.u8, 10, 20), "bigint").filter("error is null").select("l_orderkey", "l_linenumber", "l_partkey", F.col("value").alias("q"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then o_orderkey else -1 end as value, case when o_orderkey % 3 = 0 then 4 else 0 end::bigint as place, case when o_orderkey % 3 <> 0 then 'BadWhere' end as warning from orders")
+def permit_fallback(spark, sf_dir):
+    """Permit: where the part fails, its fallback, a warning, and nothing consumed."""
+    fmt = C.record(("value", C.permit(C.where(C.u32be, lambda x: (x % 3).eq(0)), -1)), ("place", N.Pos()))
+    found = payloads.decode_column(keys_as_bytes(spark, sf_dir), fmt, "struct<value:bigint,place:bigint>")
+    return found.select("o_orderkey", "value.value", "value.place", F.get("warnings", F.lit(0)).getField("kind").alias("warning"))
+
+
+@query("select o_orderkey, case when o_orderkey % 7 <> 3 then o_orderkey end as value, case when o_orderkey % 7 = 3 then 'BadWhere' end as error from orders")
+def enforce_expectation(spark, sf_dir):
+    """Enforce: the part's first warning becomes an error."""
+    found = payloads.decode_column(keys_as_bytes(spark, sf_dir), C.enforce(C.expect(C.u32be, lambda x: (x % 7).ne(3))), "bigint")
+    return found.select("o_orderkey", "value", F.col("error.kind").alias("error"))
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then o_custkey::bigint end as customer, case when o_orderstatus = 'F' then 5 else 1 end::bigint as place from orders")
+def maybe_field(spark, sf_dir):
+    """Maybe: a field that is there where a test holds."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.encode("o_orderstatus", "utf-8"), be("o_custkey", 4)).alias("payload"))
+    fmt = C.record(("status", C.u8), ("customer", C.cond_maybe(V("status").eq(ord("F")), C.u32be)), ("place", N.Pos()))
+    return payloads.decode_column(rows, fmt, "struct<customer:bigint,place:bigint>").select("o_orderkey", "value.customer", "value.place")
+
+
+@query("select event_id, event_type as tag, case when event_type = 'click' then user_id::bigint end as click, case when event_type = 'error' then 'e' || event_id % 10 end as error from events")
+def match_variant_tag(spark, sf_dir):
+    """Variant and Union: a sum type, as a struct of the tag and one value."""
+    kind, user = F.encode("event_type", "utf-8"), be("user_id", 4)
+    last = F.when(F.col("event_type") == "error", F.encode(F.concat(F.lit("e"), (F.col("event_id") % 10).cast("string")), "utf-8")).otherwise(user)
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(kind, last).alias("payload"))
+    names = {"click": C.u32be, "error": C.fixed_ascii(2), "purchase": C.u32be, "signup": C.u32be, "view": C.u32be}
+    fmt = N.Union(tuple(N.Variant(k, C.monad_seq(C.is_bytes(k.encode()), f)) for k, f in names.items()))
+    return payloads.decode_column(rows, fmt, "struct<tag:string,click:bigint,error:string>").select("event_id", "value.*")
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'pair' when 1 then 'char' when 2 then 'many' else 'none' end as kind, case o_orderkey % 4 when 0 then o_orderkey // 4 % 100 + 1 when 1 then 7 when 2 then 3 else 0 end::bigint as n from orders")
+def pattern_program(spark, sf_dir):
+    """Patterns over a tagged value, a tuple, a character, a range and a sequence, by Match and Destructure in a decode program."""
+    n = X.cast("u8", (V("key") // 4) % 100)
+    made = X.match(
+        V("key") % 4,
+        (P.integer(0, "u32"), X.tagged("pair", X.tuple_of(n, X.u8(1)))), (P.integer(1, "u32"), X.tagged("char", X.as_char(X.u8(65)))), (P.integer(2, "u32"), X.tagged("many", X.seq_of(1, 2, 3))), (P.between(3, None), X.tagged("none", X.none())),
+    )
+    number = X.match(
+        V("made"),
+        (P.variant("pair", P.tuple_of(P.binding("a"), P.binding("b"))), V("a") + V("b")), (P.variant("char", P.char("A")), X.lift(7)), (P.variant("many", P.seq(P.wildcard(), P.wildcard(), P.binding("c"))), V("c")), (P.variant("none", P.absent()), X.lift(0)),
+    )
+    twice = X.destructure(X.tuple_of(V("number"), X.lift(True)), P.tuple_of(P.binding("x"), P.boolean(True)), V("x"))
+    fmt = C.record(("key", C.u32be), ("made", C.compute(made)), ("number", C.compute(number)), ("n", C.compute(twice)))
+    found = payloads.decode_column(keys_as_bytes(spark, sf_dir), fmt, "struct<made:struct<tag:string>,n:bigint>")
+    return found.select("o_orderkey", F.col("value.made.tag").alias("kind"), "value.n")
+
+
+@query("select o_orderkey, (o_orderkey & 255)::bigint as low, ((o_orderkey >> 8) & 255)::bigint as high, (o_orderkey & 65535)::bigint as little, not (o_orderkey & 255) > 127 as small, (o_orderkey & 255) > 200 or (o_orderkey & 255) < 10 as either from orders")
+def casts_and_booleans(spark, sf_dir):
+    """U16Le, AsU8, AsU16, BoolNot and BoolOr in a decode program and as columns."""
+    raw = F.unhex(F.concat(F.lpad(F.hex(F.col("o_orderkey").bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright("o_orderkey", 8).bitwiseAND(255)), 2, "0")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("payload"))
+    x = V("little")
+    fmt = C.record(("little", C.u16le), ("low", C.compute(X.cast("u8", x & 255))), ("high", C.compute(X.cast("u8", X.cast("u16", x >> 8)))), ("small", C.compute(X.negate(V("low").gt(127)))))
+    found = payloads.decode_column(rows, fmt, "struct<low:bigint,high:bigint,little:bigint,small:boolean>").select("o_orderkey", "value.*")
+    return select(found, "o_orderkey", "low", "high", "little", "small", either=X.either(V("low").gt(200), V("low").lt(10)))
+
+
+@query("select p_partkey, case when starts_with(p_type, 'ECONOMY') then 'Unexpected' end as error, case when not starts_with(p_type, 'ECONOMY') then p_type end as value from part")
+def excluding_peek_not(spark, sf_dir):
+    """PeekNot: anything but a prefix."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.encode("p_type", "utf-8").alias("payload"))
+    found = payloads.decode_column(parts, C.excluding(C.is_bytes(b"ECONOMY"), C.ascii_string(C.opaque_bytes())), "string")
+    return found.select("p_partkey", F.col("error.kind").alias("error"), "value")
+
+
+@query("select doc_id, left(hex(encode(coalesce(text, ''))), 8) as head, least(octet_length(encode(coalesce(text, ''))), 16) + 2 as place, octet_length(encode(coalesce(text, ''))) + 2 as stop from documents")
+def slice_skip_rest(spark, sf_dir):
+    """Slice and SkipRemainder: the first bytes of a window, the rest of it skipped, and the place after it."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(be(F.least(F.octet_length(raw), F.lit(16)), 2), raw).alias("payload"))
+    inner = C.chain(C.repeat_between(0, 4, C.ANY), "h", C.monad_seq(N.SkipRemainder(), C.compute(V("h"))))
+    fmt = C.record(("n", C.u16be), ("head", C.slice_of(V("n"), inner)), ("place", N.Pos()), ("__rest", N.SkipRemainder()), ("stop", N.Pos()))
+    return payloads.decode_column(docs, fmt, "struct<head:binary,place:bigint,stop:bigint>").select("doc_id", F.hex("value.head").alias("head"), "value.place", "value.stop")
+
+
+@query("select doc_id, substr(hex(encode(text)), (2 * (doc_id % octet_length(encode(text))) + 1)::bigint, 10) as found, 4::bigint as place from documents where octet_length(encode(text)) > 0")
+def offset_read(spark, sf_dir):
+    """WithRelativeOffset: a read at a computed place, from which the cursor comes back."""
+    raw = F.encode("text", "utf-8")
+    docs = table(spark, sf_dir, "documents").filter(F.octet_length("text") > 0).select("doc_id", F.concat(be(F.col("doc_id") % F.octet_length(raw), 4), raw).alias("payload"))
+    fmt = C.record(("at", C.u32be), ("found", C.with_relative_offset(4, V("at"), C.repeat_between(0, 5, C.ANY))), ("place", N.Pos()))
+    return payloads.decode_column(docs, fmt, "struct<found:binary,place:bigint>").select("doc_id", F.hex("value.found").alias("found"), "value.place")
+
+
+@query("select doc_id, case when contains(text, chr(10)) then octet_length(encode(split_part(text, chr(10), 1))) + 1 end as n, case when not contains(text, chr(10)) then 'Overbyte' end as error from documents")
+def repeat_until_last(spark, sf_dir):
+    """RepeatUntilLast: bytes up to and with the first line break."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload"))
+    found = payloads.decode_column(docs, C.repeat_until_last(lambda x: x.eq(10), C.ANY), "binary")
+    return found.select("doc_id", F.octet_length("value").cast("bigint").alias("n"), F.col("error.kind").alias("error"))
+
+
+_PREFIX = "(select o_orderkey, s, list_transform(string_split(s, ''), lambda c: c::bigint) as d from (select o_orderkey, lpad(o_orderkey::varchar, 8, '0') || '99' as s from orders))"
+_FIRST = "list_min(list_filter(range(0, 11), lambda i: coalesce(list_sum(d[1:i]), 0) >= {}))"
+
+
+def _padded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys_as_text(spark, sf_dir).select("o_orderkey", F.concat("payload", F.lit("99").cast("binary")).alias("payload"))
+
+
+@query(f"select o_orderkey, left(s, greatest({_FIRST.format(9)}, 1)::bigint) as found from {_PREFIX}")
+def repeat_until_seq(spark, sf_dir):
+    """RepeatUntilSeq: digits until their sum is 9 or more."""
+    fmt = C.ascii_string(C.repeat_until_seq(lambda s: X.left_fold(lambda a, x: a + (x - 48), X.u8(0), s).gte(9), C.ANY))
+    return payloads.decode_column(_padded_keys(spark, sf_dir), fmt, "string").select("o_orderkey", F.col("value").alias("found"))
+
+
+@query(f"select o_orderkey, list_sum(d[1:k])::bigint as acc, k::bigint as n from (select o_orderkey, d, {_FIRST.format(10)} as k from {_PREFIX})")
+def accum_until(spark, sf_dir):
+    """AccumUntil: the accumulator is tested before each element."""
+    fmt = C.accum_until(lambda acc, seq: acc.gte(10), lambda acc, x: acc + (x - 48), X.u8(0), C.ANY)
+    found = payloads.decode_column(_padded_keys(spark, sf_dir), fmt, "struct<_0:bigint,_1:binary>")
+    return found.select("o_orderkey", F.col("value._0").alias("acc"), F.octet_length("value._1").cast("bigint").alias("n"))
+
+
+@query("select o_orderkey, [substr(s, 1, a), substr(s, a + 1, b)] as parts from (select o_orderkey, lpad(o_orderkey::varchar, 8, '0') as s, o_orderkey % 3 + 1 as a, o_orderkey % 5 + 1 as b from orders)")
+def for_each(spark, sf_dir):
+    """ForEach: a part for each of some sizes that came before."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(be(key % 3 + 1, 1), be(key % 5 + 1, 1), F.encode(F.lpad(key.cast("string"), 8, "0"), "utf-8")).alias("payload"))
+    fmt = C.record(("sizes", C.repeat_count(2, C.u8)), ("parts", C.for_each(V("sizes"), "n", C.fixed_ascii(V("n")))))
+    return payloads.decode_column(rows, fmt, "struct<parts:array<string>>").select("o_orderkey", "value.parts")
+
+
+@query("select o_orderkey, list_transform(range(0, 8), lambda i: (((o_orderkey >> (2 * i)) & 1) * 2 + ((o_orderkey >> (2 * i + 1)) & 1))::bigint) as symbols from orders")
+def dynamic_apply(spark, sf_dir):
+    """Dynamic and Apply: a prefix code made of lengths that the payload gives, read from its bits."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.unhex(F.lit("02020202")), be(key.bitwiseAND(255), 1), be(F.shiftright(key, 8).bitwiseAND(255), 1)).alias("payload"))
+    symbols = C.bits(N.Dynamic("code", V("lengths"), C.repeat_count(8, N.Apply("code"))))
+    fmt = C.record(("lengths", C.repeat_count(4, C.u8)), ("symbols", symbols))
+    return payloads.decode_column(rows, fmt, "struct<symbols:array<bigint>>").select("o_orderkey", "value.symbols")
+
+
+@query("select o_orderkey, (o_orderkey >> 16)::bigint as high, (o_orderkey & 65535)::bigint as low, 2::bigint as place from orders")
+def call_and_views(spark, sf_dir):
+    """Call (its scope holds its arguments only), LetView, ReifyView, ParseFromView, Phantom."""
+    half = N.Call("half", C.parse_from_view("v", C.u16be, V("n")), args=(("n", X.lift(2)),), views=(("v", "all"),))
+    fmt = C.let_view("all", C.record(("high", C.u16be), ("place", C.let_view("now", C.reify_view("now"))), ("low", half), ("nothing", N.Phantom(C.u64be)), ("rest", C.u16be)))
+    found = payloads.decode_column(keys_as_bytes(spark, sf_dir), fmt, "struct<high:bigint,low:bigint,place:bigint,nothing:bigint>")
+    return found.filter("value.nothing is null").select("o_orderkey", "value.high", "value.low", "value.place")
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 1 then 'Fail' end as error, case when o_orderkey % 2 = 0 then o_orderkey end as value from orders")
+def fail_branch(spark, sf_dir):
+    """Fail, chosen by Match."""
+    fmt = C.chain(C.u32be, "n", C.match(V("n") % 2, (P.integer(1), N.Fail()), (P.wildcard(), C.compute(V("n")))))
+    return payloads.decode_column(keys_as_bytes(spark, sf_dir), fmt, "bigint").select("o_orderkey", F.col("error.kind").alias("error"), "value")
+
+
+@query("select o_orderkey, (o_orderkey + 5)::bigint as plus, (-o_orderkey % 7)::bigint as rest, (o_orderkey + 1)::bigint as next, (o_orderkey - 1)::bigint as before from orders")
+def numeric_program(spark, sf_dir):
+    """The numeric model in a decode program: add, rem, succ, pred and negation."""
+    n = M.var("n")
+    trees = {"plus": M.binary("add", n, M.const(5)), "rest": M.binary("rem", M.unary("neg", n), M.const(7)), "next": M.unary("succ", n), "before": M.unary("pred", n)}
+    fmt = C.record(("n", C.u32be), *((k, C.compute(X.number(t))) for k, t in trees.items()))
+    return payloads.decode_column(keys_as_bytes(spark, sf_dir), fmt, "struct<plus:bigint,rest:bigint,next:bigint,before:bigint>").select("o_orderkey", "value.*")
+
+
+_KINDS = ("text", "gzip", "tgz", "png", "riff", "numbers", "rle", "peano", "tar", "waldo", "gif", "elf", "mpeg4", "jpeg", "opentype")
+
+
+@query("select doc_id, ([" + ", ".join(f"'{k}'" for k in _KINDS) + "])[doc_id % 15 + 1] as kind from documents")
+def sniff_union_nondet(spark, sf_dir):
+    """UnionNondet: every registered format, tried in order on files of fifteen kinds."""
+    packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _of_any_kind, "doc_id", keyed=True)
+    return payloads.decode_column(packed, "sniff", "struct<data:struct<tag:string>>").select("doc_id", F.col("value.data.tag").alias("kind"))
+
+
+def _of_any_kind(raw: bytes, key: int) -> bytes:
+    import gzip
+    import struct
+
+    kind, some = _KINDS[key % 15], raw[:300]
+    made = {
+        "text": lambda: raw, "gzip": lambda: gzip.compress(raw, 1, mtime=0), "tgz": lambda: gzip.compress(_tarred(raw), 1, mtime=0), "png": lambda: _png(raw), "riff": lambda: _riffed(raw), "numbers": lambda: b"NUMS\0" + raw[:1].ljust(1, b"x"),
+        "rle": lambda: bytes([1, 1 + len(raw) % 9, 65]), "peano": lambda: b"SSZ" * (1 + len(raw) % 5), "tar": lambda: _tarred(raw), "waldo": lambda: (9 + 7).to_bytes(8, "big") + b"\xff" * 7 + b"\0" + b"Waldo" + some, "gif": lambda: b"GIF89a\1\0\1\0\0\0\0!\xfe" + bytes([len(some[:99]) or 1]) + (some[:99] or b" ") + b"\0;",
+        "elf": lambda: b"\x7fELF\2\1\1\0" + b"\0" * 8 + struct.pack("<HHIQQQIHHHHHH", 2, 62, 1, 0, 0, 0, 0, 64, 56, 0, 64, 0, 0), "mpeg4": lambda: _film(raw),
+        "jpeg": lambda: b"\xff\xd8\xff\xfe" + (2 + len(some)).to_bytes(2, "big") + some + b"\xff\xda\0\2xy\xff\xd9", "opentype": lambda: _font(raw),
+    }
+    return made[kind]()
+
+
+# Sinks
+
+
+@query("""select o_orderkey, '{"values": [{"tag": "u32", "data": ' || o_orderkey || '}, {"tag": "u8", "data": ' || o_orderkey % 256 || '}]}' as json,
+ ['values[0]/u32=' || o_orderkey, 'values[1]/u8=' || o_orderkey % 256] as leaves,
+ 'value' || chr(10) || '  values [2]' || chr(10) || '    0: {u32}' || chr(10) || '      u32: ' || o_orderkey || chr(10) || '    1: {u8}' || chr(10) || '      u8: ' || o_orderkey % 256 || chr(10) as tree from orders""")
+def rendered(spark, sf_dir):
+    """JSON, tree and flat list of decoded values, a column of each."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("NUMS").cast("binary"), F.unhex(F.lit("04")), be(key, 4), F.unhex(F.lit("00")), be(key % 256, 1)).alias("payload"))
+    found = payloads.render_column(rows, "numbers", "json", "tree", "flat")
+    return found.select("o_orderkey", "json", F.transform("flat", lambda x: F.concat(x["path"], F.lit("="), x["value"])).alias("leaves"), "tree")
+
+
+@query("select o_orderkey, [0, 4]::bigint[] as starts, [4, 6]::bigint[] as stops from orders")
+def located(spark, sf_dir):
+    """Decoded values with the places that they were read from."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(be("o_orderkey", 4), F.unhex(F.lit("0102"))).alias("payload"))
+    found = payloads.render_column(rows, C.record(("a", C.u32be), ("b", C.fixed_ascii(2))), "located")
+    return found.select("o_orderkey", F.col("located.start").alias("starts"), F.col("located.stop").alias("stops"))
+
+
 @query()
 def census_ops(spark, sf_dir):
     """Which nodes each registered format uses."""

@@ -59,14 +59,52 @@ def test_repetition():
     upto = C.accum_until(lambda acc, seq: acc.gte(5), lambda acc, x: acc + x, Int(0, "u8"), C.ANY)
     assert run(upto, b"\2\3\4") == ([5, [2, 3]], b"\4")
     assert run(C.for_each(X.seq_of(1, 2), "n", C.repeat_count(V("n"), C.ANY)), b"abcd") == ([[97], [98, 99]], b"d")
-    nested = C.repeat(C.tuple_of(C.is_byte(0xAA), C.repeat(C.is_byte(0xBB))))
-    assert run(nested, b"\xaa\xbb\xbb\xaa\xbb\xcc") == ([[170, [187, 187]], [170, [187]]], b"\xcc")
+    words = C.repeat(C.tuple_of(C.byte_in(b"#*"), C.repeat(C.byte_in(b"abc")), C.is_byte(10)))
+    assert run(words, b"#\n*cab\n#a\n") == ([[35, [], 10], [42, [99, 97, 98], 10], [35, [97], 10]], b"")
+    assert run(words, b"#ab\n+") == ([[35, [97, 98], 10]], b"+")
+    refused(words, b"#ab\n*ad\n", "Unexpected")
+    refused(C.repeat_count(-1, C.ANY), b"ab", "eval")
+    assert run(C.repeat_until_last(lambda x: x.gt(96), C.byte_in(range(65, 123))), b"ABcD") == ([65, 66, 99], b"D")
+    refused(C.repeat_until_last(lambda x: x.eq(10), C.ANY), b"abc", "Overbyte")
+    refused(C.repeat_until_last(lambda x: x.eq(66), C.byte_in(b"AB")), b"AACB", "Unexpected")
+    with pytest.raises(DecodeError) as e:
+        run(C.repeat_count(4, C.byte_in(b"01")), b"012")
+    assert (e.value.kind, e.value.offset) == ("Unexpected", 2)
+    with pytest.raises(DecodeError) as e:
+        run(C.repeat_count(4, C.byte_in(b"01")), b"01")
+    assert (e.value.kind, e.value.offset) == ("Overbyte", 2)
+
+
+def test_choices_look_as_far_as_needed():
+    deep = C.alts(a=C.is_bytes(b"x" * 60 + b"a"), b=C.is_bytes(b"x" * 60 + b"b"))
+    assert run(deep, b"x" * 60 + b"b")[0]["tag"] == "b"
+    with pytest.raises(N.AmbiguousChoice):
+        C.alts(a=C.is_bytes(b"x" * 90 + b"a"), b=C.is_bytes(b"x" * 90 + b"b"))
+
+
+def test_names_do_not_leak():
+    """An inner record's field hides an outer one of the same name inside it only, also where the inner one fails and is gone back on."""
+    inner = C.record(("n", C.u8), ("m", C.where(C.u8, lambda x: x.eq(9))))
+    outer = C.record(("n", C.u8), ("in", C.union_nondet(inner, C.u8)), ("rest", C.repeat_count(V("n"), C.ANY)))
+    assert run(outer, b"\2\5\7ab")[0] == {"n": 2, "in": 5, "rest": [7, 97]}
+    assert run(outer, b"\1\5\x09ab")[0] == {"n": 1, "in": {"n": 5, "m": 9}, "rest": [97]}
+    # a slice that failed inside a choice does not shorten what comes after it
+    cut = C.union_nondet(C.slice_of(1, C.u16be), C.u16be)
+    assert run(C.tuple_of(cut, C.u16be), b"\0\1\0\2") == ([1, 2], b"")
+
+
+def test_single_bytes_as_runs():
+    """Bytes that a function maps, alone or among longer ways, are taken in runs with the same result."""
+    lower = C.map_format(C.byte_in(range(65, 91)), lambda b: X.as_char(b + 32))
+    pair = C.map_format(C.tuple_of(C.is_byte(33), C.ANY), lambda t: X.as_char(t[1]))
+    assert run(C.repeat(C.union(lower, pair)), b"AB!zC!!D?") == (list("abzc!d"), b"?")
+    assert run(C.repeat(lower), b"abc") == ([], b"abc")
 
 
 def test_windows_and_places():
-    aligned = C.tuple_of(C.is_byte(0), N.Align(2), C.is_byte(255))
-    assert run(aligned, b"\0\x99\xff")[1] == b""
-    refused(aligned, b"\0\xff")
+    for at, to in ((0, 0), (1, 4), (3, 4), (4, 4), (5, 8)):  # from a multiple it does not move
+        assert run(C.tuple_of(C.repeat_count(at, C.ANY), N.Align(4), N.Pos()), b"abcdefgh")[0][2] == to
+    refused(C.tuple_of(C.repeat_count(5, C.ANY), N.Align(4)), b"abcdefg", "Overrun")
     no = C.tuple_of(C.peek_not(C.is_bytes(b"\xff\xff")), C.ANY, C.ANY)
     assert run(no, b"\0\xff")[1] == b""
     refused(no, b"\xff\xff")
@@ -90,11 +128,15 @@ def test_validation_and_fallback():
     value, warned = N.decode(C.expect(C.u8, lambda x: (x % 2).eq(0)), b"\3")
     assert value == 3 and warned[0]["kind"] == "BadWhere"
     refused(C.enforce(C.expect(C.u8, lambda x: (x % 2).eq(0))), b"\3", "BadWhere")
-    hello = C.permit(N.LiftedOption(C.is_bytes(b"hello world")), None)
-    assert run(hello, b"hello") == (None, b"hello") and run(hello, b"hello world")[1] == b""
+    dated = C.permit(N.LiftedOption(C.tuple_of(C.repeat_count(2, C.byte_in(range(48, 58))), C.is_byte(45), C.where(C.u8, lambda x: x.gt(48)))), None)
+    for raw in (b"12-", b"12-0", b"1x-5", b""):  # what was taken before the failure is given back
+        assert run(dated, raw) == (None, raw)
+    assert run(dated, b"12-5x")[1] == b"x"
+    _, warned = N.decode(dated, b"12-0")
+    assert [(w["kind"], w["offset"]) for w in warned] == [("BadWhere", 0)]
     value, warned = N.decode(C.decode_bytes(X.lift(b"ab"), C.ANY), b"")
     assert value == 97 and warned[0]["kind"] == "Trailing"
-    good = C.chain(hello, "h", N.Match(V("h"), ((P.present(P.wildcard()), C.compute(True)), (P.absent(), C.compute(False)))))
+    good = C.chain(dated, "h", N.Match(V("h"), ((P.present(P.wildcard()), C.compute(True)), (P.absent(), C.compute(False)))))
     assert run(good, b"")[0] is False
 
 

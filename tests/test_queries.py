@@ -54,5 +54,5 @@ def test_files_and_stream(spark, tmp_path):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = catalog.QUERIES["excluding_peek_not"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES["anti_prefix"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith" in plan and "p_name" not in plan.split("ReadSchema")[1]
