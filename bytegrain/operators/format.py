@@ -37,6 +37,16 @@ class Bits:
     def __len__(self) -> int:
         return self.size
 
+    def window(self, pos: int) -> int:
+        """16 bits or more from a place on; zeros beyond the end."""
+        at = self.start + (pos >> 3)
+        return int.from_bytes(self.data[at : at + 4], "little") >> (pos & 7)
+
+    def number(self, pos: int, n: int) -> int:
+        """n bits, the lowest first."""
+        at = self.start + (pos >> 3)
+        return int.from_bytes(self.data[at : at + (n + 14 >> 3)], "little") >> (pos & 7) & ((1 << n) - 1)
+
     def __getitem__(self, i):
         if isinstance(i, slice):
             return bytes(self[k] for k in range(*i.indices(self.size)))
@@ -703,6 +713,23 @@ class Map(Format):
     def ahead(self, n): return self.part.ahead(n)
 
 
+@dataclass
+class BitNumber(Map):
+    """A number made of single bits, the lowest first: of a buffer of bits, all are taken at once."""
+
+    kind: str = "u16"
+
+    def build(self, scope, bits):
+        step, n, kind = super().build(scope, bits), len(self.part.parts), CLASSES[self.kind]
+
+        def run(s, pos, fr):
+            if pos + n > s.limit or not isinstance(s.data, Bits):
+                return step(s, pos, fr)
+            return int.__new__(kind, s.data.number(pos, n)), pos + n
+
+        return run
+
+
 @dataclass
 class Where(Format):
     """A test of the result; hard, or soft: a warning."""
@@ -795,23 +822,28 @@ class PrefixCode:
     """A canonical prefix code by the lengths of its symbols."""
 
     def __init__(self, lengths: list[int], symbols: list[int] | None = None):
-        self.table: dict[tuple[int, int], int] = {}
+        self.table: dict[tuple[int, int], Int] = {}
         code = 0
         for n in range(1, max(lengths, default=0) + 1):
             for i, x in enumerate(lengths):
                 if x == n:
-                    self.table[n, code] = symbols[i] if symbols else i
+                    self.table[n, code] = Int(symbols[i] if symbols else i, "u16")
                     code += 1
             code <<= 1
 
     def read(self, s: State, pos: int) -> tuple[Int, int]:
-        code = 0
-        for n in range(1, 33):
-            if pos >= s.limit:
+        code, table, data, limit = 0, self.table, s.data, s.limit
+        raw = data.window(pos) if isinstance(data, Bits) else None  # the next bits, lowest first
+        for n in range(1, 16 if raw is not None else 33):
+            if pos >= limit:
                 raise DecodeError("Overbyte", pos, "code cut short")
-            code, pos = code << 1 | s.data[pos], pos + 1
-            if (n, code) in self.table:
-                return Int(self.table[n, code], "u16"), pos
+            if raw is None:
+                bit = data[pos]
+            else:
+                bit, raw = raw & 1, raw >> 1
+            code, pos = code << 1 | bit, pos + 1
+            if (found := table.get((n, code))) is not None:
+                return found, pos
         raise DecodeError("NoValidBranch", pos, "no such code")
 
 

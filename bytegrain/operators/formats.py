@@ -7,6 +7,7 @@ from ..functions import pattern as P
 from . import combinators as C
 from . import format as N
 from .chunks import by_tag, jpeg_content, jpeg_scan, mpeg4, png_content
+from .deflate import deflate
 from .opentype import opentype
 
 V = X.var
@@ -93,15 +94,15 @@ def tar() -> N.Format:
     return C.record(("contents", contents), ("__end", C.repeat_count(1024, C.is_byte(0))), ("__rest", N.Repeat(C.is_byte(0))))
 
 
-def gzip(part: N.Format | None = None) -> N.Format:
-    """Members; with a part, each member's data are decoded by it."""
+def gzip(part: N.Format | None = None, blocks: bool = False) -> N.Format:
+    """Members; with a part, each member's data are decoded by it; blocks: the streams are shown block by block."""
     flags = C.bit_fields(C.u8, "u8", (None, 3), ("fcomment", 1), ("fname", 1), ("fextra", 1), ("fhcrc", 1), ("ftext", 1))
     header = C.record(("__magic", C.is_bytes(b"\x1f\x8b")), ("method", C.u8), ("flags", flags), ("timestamp", C.u32le), ("compression-flags", C.u8), ("os-id", C.u8))
     flag = V("header")["flags"]
     extra = C.record(("xlen", C.u16le), ("subfields", C.slice_of(V("xlen"), C.opaque_bytes())))
     fields = [
         ("header", header), ("fextra", C.cond_maybe(flag["fextra"], extra)), ("fname", C.cond_maybe(flag["fname"], C.asciiz())), ("fcomment", C.cond_maybe(flag["fcomment"], C.asciiz())),
-        ("fhcrc", C.cond_maybe(flag["fhcrc"], C.u16le)), ("data", N.Inflate()), ("footer", C.record(("crc", C.u32le), ("length", C.u32le))),
+        ("fhcrc", C.cond_maybe(flag["fhcrc"], C.u16le)), ("data", deflate() if blocks else N.Inflate()), ("footer", C.record(("crc", C.u32le), ("length", C.u32le))),
     ]
     if part is not None:
         fields.append(("content", C.decode_bytes(V("data"), part)))
@@ -197,7 +198,7 @@ def jpeg() -> N.Format:
 
 REGISTRY: dict[str, N.Format] = {
     "waldo": waldo(), "peano": peano(), "gif": gif(), "tgz": gzip(tar()), "gzip": gzip(), "jpeg": jpeg(), "mpeg4": mpeg4(), "png": png(), "riff": riff(), "tiff": tiff(), "tar": tar(), "elf": elf(),
-    "opentype": opentype(), "numbers": numbers(), "rle": run_length(), "text": text(), "zlib": zlib_stream(),
+    "opentype": opentype(), "numbers": numbers(), "rle": run_length(), "text": text(), "zlib": zlib_stream(), "deflate": deflate(), "gzip-blocks": gzip(blocks=True),
 }
 #: Formats that are tried in this order when none is named; text comes last, since nearly any ASCII is text.
 SNIFFED = ("waldo", "peano", "gif", "tgz", "gzip", "jpeg", "mpeg4", "png", "riff", "tiff", "tar", "elf", "opentype", "numbers", "rle", "text")

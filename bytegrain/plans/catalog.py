@@ -311,6 +311,31 @@ def gzip_roundtrip(spark, sf_dir):
     return found.select("doc_id", F.size("value").cast("bigint").alias("n_members"), F.octet_length(whole).cast("bigint").alias("n_bytes"), F.sha2(whole, 256).alias("digest"))
 
 
+def _blocked(raw: bytes) -> bytes:
+    """A member of a stored, a fixed and a dynamic block, or as many of these as the text fills."""
+    import struct
+    import zlib
+
+    third = -(-len(raw) // 3)
+    out, parts = b"", [raw[:third][:65535], raw[third : 2 * third], raw[2 * third :]]
+    parts[1] = raw[len(parts[0]) : 2 * third]
+    out += b"\0" + struct.pack("<HH", len(parts[0]), 0xFFFF - len(parts[0])) + parts[0]
+    press = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_FIXED)
+    out += press.compress(parts[1]) + press.flush(zlib.Z_FULL_FLUSH)
+    press = zlib.compressobj(9, zlib.DEFLATED, -15)
+    out += press.compress(parts[2]) + press.flush()
+    return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + out + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
+@query("select doc_id, sha256(coalesce(text, '')) as digest, octet_length(encode(coalesce(text, '')))::bigint as n_bytes, 'stored' as first_block from documents")
+def deflate_blocks(spark, sf_dir):
+    """Deflate's own grammar: blocks of all kinds with their codes, on Bits, Dynamic, Apply and FlatMapList, written out as zlib would."""
+    packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _blocked, "doc_id")
+    found = payloads.decode_column(packed, "gzip-blocks", "array<struct<data:struct<blocks:array<struct<data:struct<tag:string>>>,inflate:binary>>>")
+    data = F.col("value")[0]["data"]
+    return found.select("doc_id", F.sha2(data["inflate"], 256).alias("digest"), F.octet_length(data["inflate"]).cast("bigint").alias("n_bytes"), data["blocks"][0]["data"]["tag"].alias("first_block"))
+
+
 def _tarred(raw: bytes) -> bytes:
     import io
     import tarfile

@@ -145,6 +145,21 @@ def test_prefix_code():
     assert code.table == {(1, 0): 1, (2, 2): 0, (3, 6): 2, (3, 7): 3}
 
 
+@pytest.mark.parametrize("level, strategy", [(0, zlib.Z_DEFAULT_STRATEGY), (1, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_FIXED), (6, zlib.Z_HUFFMAN_ONLY), (6, zlib.Z_RLE)])
+def test_deflate_agrees_with_zlib(level, strategy):
+    import random
+
+    draw = random.Random(level)
+    texts = [b"", b"a", b"abcabcabcabc" * 40, bytes(draw.randrange(256) for _ in range(3000)), b"x" * 70_000, " ".join(draw.choice(["one", "two", "three", "fünf"]) for _ in range(4000)).encode()]
+    for text in texts:
+        press = zlib.compressobj(level, zlib.DEFLATED, -15, 9, strategy)
+        raw = press.compress(text) + press.flush()
+        value, _ = N.decode(formats.REGISTRY["deflate"], raw)
+        assert bytes(value["inflate"]) == text
+        with pytest.raises(DecodeError):
+            N.decode(formats.REGISTRY["deflate"], raw[: len(raw) // 2])
+
+
 def test_records_and_numbers():
     r = C.record(("n", C.u8), ("_skip", C.ANY), ("__gone", C.ANY), ("data", C.repeat_count(V("n"), C.ANY)))
     assert run(r, b"\2xyab!") == ({"n": 2, "data": [97, 98]}, b"!")
