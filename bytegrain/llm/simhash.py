@@ -10,12 +10,12 @@ not compared among each other.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,14 +30,17 @@ SEED = 42
 LANES = U64(0x0101010101010101)
 STRIDE = 0x9E3779B97F4A7C15
 #: Groups of so many rows at most are compared pair by pair, 64 pairs to a word; in larger ones a row meets 64 others at a time.
-SMALL_GROUP = 24
+SMALL_GROUP = 48
 
 #: Of 256 bits: texts of similarity 0.8 (a cosine of 2 s / (1 + s)) differ in 39 bits on average, with a deviation of 6.
 WIDE_RADIUS = 45
-#: Of 256 bits, for candidates that are verified: 3.7 deviations above the mean at 0.8, so that the radius itself loses no pair to speak of.
-CANDIDATE_RADIUS = 60
+#: Of 256 bits, for candidates that are verified: 3.7 deviations above the mean at 0.8 of sets of five hashes (where chance is at its worst: 48
+#: bits), 5.7 above that of large ones (39), so that the radius itself loses no pair to speak of.
+CANDIDATE_RADIUS = 72
+#: Words of the fingerprints by which candidates are ruled out before they are verified, and deviations above the mean that they may reach.
+WIDE_WORDS, DEVIATIONS = 32, 3.7
 #: The share of pairs at a similarity of 0.8 that may agree under none of the masks, and how many strangers a fingerprint may meet under one.
-CANDIDATE_MISS, STRANGERS = 0.003, 4
+CANDIDATE_MISS, STRANGERS = 0.001, 16
 
 
 def strides(w: int) -> np.uint64:
@@ -115,29 +118,64 @@ def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def planes(values: np.ndarray) -> np.ndarray:
-    """Bit planes of rows of words: bit j of word w of plane b is bit b of row 64 w + j."""
-    out = np.empty((64 * values.shape[1], len(values) // 64), U64)
-    step = 1 << 14
+#: Half the side of the squares that a transposition swaps, and the bits of a word that stay.
+_SWAPS = [(j, U64(sum(((1 << j) - 1) << k for k in range(0, 64, 2 * j)))) for j in (32, 16, 8, 4, 2, 1)]
+
+
+def planes(values: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Bit planes of rows of words: bit j of word w of plane b is bit b of row 64 w + j. Squares of 64 rows and bits are transposed by halves."""
+    words = values.shape[1]
+    out = np.empty((64 * words, len(values) // 64), U64)
     for k in range(0, len(values), step):
-        bits = np.unpackbits(np.ascontiguousarray(values[k : k + step]).view(np.uint8), axis=1, bitorder="little")
-        out[:, k // 64 : (k + step) // 64] = np.packbits(bits.T.copy(), axis=1, bitorder="little").view(U64)
+        x = np.ascontiguousarray(values[k : k + step].T).reshape(-1, 64)
+        for j, stay in _SWAPS:
+            y = x.reshape(-1, 32 // j, 2, j)
+            a, b = y[:, :, 0], y[:, :, 1]
+            t = ((a >> U64(j)) ^ b) & stay
+            b ^= t
+            a ^= t << U64(j)
+        n = len(x) // words
+        out[:, k // 64 : k // 64 + n] = x.reshape(words, n, 64).transpose(0, 2, 1).reshape(64 * words, n)
     return out
 
 
+def _saved(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save addition of three bits in each place: the sums and the carries."""
+    one = a ^ b
+    return one ^ c, (a & b) | (one & c)
+
+
+def _counted(counters: list[np.ndarray], over: np.ndarray, p: list[np.ndarray]) -> None:
+    """Adds eight planes to bit-sliced counters, in place; `over` gets what no longer fits."""
+    ones, twos, fours = counters[:3]
+    ones, x = _saved(ones, p[0], p[1])
+    ones, y = _saved(ones, p[2], p[3])
+    twos, u = _saved(twos, x, y)
+    ones, x = _saved(ones, p[4], p[5])
+    ones, y = _saved(ones, p[6], p[7])
+    twos, v = _saved(twos, x, y)
+    fours, carry = _saved(fours, u, v)
+    counters[:3] = ones, twos, fours
+    for c in range(3, len(counters)):
+        counters[c], carry = counters[c] ^ carry, counters[c] & carry
+    over |= carry
+
+
+def _levels(radius: int) -> int:
+    """Counters of so many bits hold any number up to the radius, and tell what is beyond it."""
+    return max(3, int(radius + 1).bit_length())
+
+
 def near(queries: np.ndarray, rows: np.ndarray, cols: np.ndarray, stored_planes: np.ndarray, live: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """All (query, value) within the radius, for the pairs of a query and a word of 64 values in rows and cols. live: the values of
     a word that count. Distances are counted 64 at a time by carry-save addition; a word is left once all its values are too far."""
-    levels, full = max(1, int(radius + 1).bit_length()), ~U64(0)
-    counters = [np.zeros(len(rows), U64) for _ in range(levels)]
+    full, total = ~U64(0), 64 * queries.shape[1]
+    counters = [np.zeros(len(rows), U64) for _ in range(_levels(radius))]
     over = ~live[cols]
-    for b in range(64 * queries.shape[1]):
-        flip = (U64(0) - ((queries[:, b // 64] >> U64(b % 64)) & U64(1)))[rows]
-        carry = stored_planes[b][cols] ^ flip
-        for c in range(levels):
-            counters[c], carry = counters[c] ^ carry, counters[c] & carry
-        over |= carry
-        if b % 8 == 7:
+    for b in range(0, total, 8):
+        bits = queries[:, b // 64] >> U64(b % 64)
+        _counted(counters, over, [stored_planes[b + k][cols] ^ (U64(0) - ((bits >> U64(k)) & U64(1)))[rows] for k in range(8)])
+        if total == 64 or b % 32 == 24:
             keep = (over | _exceeds(counters, radius)) != full
             if not keep.all():
                 rows, cols, over, counters = rows[keep], cols[keep], over[keep], [c[keep] for c in counters]
@@ -166,15 +204,11 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     apart = np.zeros((-(-len(a) // 64) * 64, a.shape[1]), U64)
     apart[: len(a)] = a ^ b
     table = planes(apart)
-    levels, left = max(1, int(radius + 1).bit_length()), np.arange(table.shape[1])
-    counters, over = [np.zeros(len(left), U64) for _ in range(levels)], np.zeros(len(left), U64)
-    out = np.zeros(len(left), U64)
-    for k in range(len(table)):
-        carry = table[k][left] if len(left) < table.shape[1] else table[k]
-        for c in range(levels):
-            counters[c], carry = counters[c] ^ carry, counters[c] & carry
-        over |= carry
-        if k % 32 == 31 and k + 1 < len(table):
+    left, out = np.arange(table.shape[1]), np.zeros(table.shape[1], U64)
+    counters, over = [np.zeros(len(left), U64) for _ in range(_levels(radius))], np.zeros(len(left), U64)
+    for k in range(0, len(table), 8):
+        _counted(counters, over, [p[left] if len(left) < len(p) else p for p in table[k : k + 8]])
+        if k % 64 == 56 and k + 8 < len(table):
             keep = (over | _exceeds(counters, radius)) != ~U64(0)
             if not keep.all():
                 left, over, counters = left[keep], over[keep], [c[keep] for c in counters]
@@ -284,9 +318,13 @@ def growing_tables(rows: int, words: int = 4, similarity: float = 0.8, miss: flo
     """Masks for so many distinct fingerprints: the more there are, the more bits a mask has, so that a fingerprint meets STRANGERS others
     by chance at most, and the more masks, so that a pair of the similarity is missed by all with the same small probability. Comparisons
     therefore grow with rows ** 1.24 at 0.8, not with their square."""
-    bits = max(16, math.ceil(math.log2(max(1, rows) / STRANGERS)))
-    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
-    return tables(words, math.ceil(math.log(miss) / math.log1p(-agree)), bits)
+    bits, size, p = max(12, math.ceil(math.log2(max(1, rows) / STRANGERS))), 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    apart = np.array([math.comb(size, d) * p**d * (1 - p) ** (size - d) for d in range(size + 1)])  # the chance of each distance
+    agree = np.array([math.comb(size - d, bits) / math.comb(size, bits) for d in range(size + 1)])  # and of agreeing under one mask then
+    count = 1
+    while (apart * (1 - agree) ** count).sum() > miss:
+        count += max(1, count // 50)
+    return tables(words, count, bits)
 
 
 def tables(words: int, count: int, bits: int) -> list[np.ndarray]:
@@ -422,99 +460,181 @@ def with_group(prints: DataFrame, groups: DataFrame, many: DataFrame) -> DataFra
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """sig and items: each text's distinct shingle hashes in order."""
+    """sig, items (each text's distinct shingle hashes in order) and wide, their fingerprint of WIDE_WORDS words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 values, begin = distinct(*shingled(*buffer(piece.column("text")), shingle))
                 items = pa.array([values[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([_column(signatures(values, begin)), items], ["sig", "items"])
+                yield pa.RecordBatch.from_arrays([_column(signatures(values, begin)), items, _bytes(voted(values, begin, WIDE_WORDS))], ["sig", "items", "wide"])
 
-    return docs.select("text").transform(mapped, run, "sig binary, items binary")
+    return docs.select("text").transform(mapped, run, "sig binary, items binary, wide binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (root, a, b: sigs) with `same`: whether the sets' exact Jaccard similarity is `similarity` or more."""
+    """The pairs (a, b: sigs) with `same`: whether the sets' exact Jaccard similarity is `similarity` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-                    same.append(False)
-                    continue
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 same.append(shared >= similarity * (len(both) - shared) - 1e-9)  # 0.8 of a number may lie a little above it
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "a", "b")), pa.array(same, pa.bool_())], ["root", "a", "b", "same"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b")), pa.array(same, pa.bool_())], ["a", "b", "same"])
 
     found = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
-    return found.select("root", "a", "b", "x", "y").transform(mapped, run, "root binary, a binary, b binary, same boolean")
+    return found.select("a", "b", "x", "y").transform(mapped, run, "a binary, b binary, same boolean")
 
 
-def untested(prints: np.ndarray, sizes: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray, radius: int, similarity: float, most: int) -> np.ndarray:
-    """Pairs of nodes to verify next: for each fingerprint (of node `node[i]`), the `most` nearest within the radius that are not yet in the
-    node's verified component nor tested with it (a, b, same), and whose set's size allows the similarity. None are left out in the end:
-    the caller asks until nothing is returned."""
-    n = int(node.max()) + 1
-    label = np.arange(n)
+def differing(a: int, b: int, similarity: float) -> float:
+    """The share of bits in which the fingerprints of sets of a and b random hashes differ at most, where their similarity is the least allowed.
 
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return int(i)
+    A bit is the majority of the hashes' bits; up to 64 hashes the chance is summed exactly, beyond by the angle between the sets.
+    """
+    common = min(a, b, math.ceil(similarity / (1 + similarity) * (a + b) - 1e-9))
+    if max(a, b) > 64:
+        return math.acos(min(1.0, common / math.sqrt(a * b))) / math.pi
+    total = 0.0
+    for k in range(common + 1):
+        over = [sum(math.comb(n - common, j) for j in range(n - common + 1) if 2 * (k + j) > n) / 2 ** (n - common) for n in (a, b)]
+        total += math.comb(common, k) / 2**common * (over[0] * (1 - over[1]) + over[1] * (1 - over[0]))
+    return total
+
+
+@functools.lru_cache(1 << 16)
+def wide_radius(a: int, b: int, similarity: float) -> int:
+    """Bits of a wide fingerprint in which sets of a and b hashes may differ; -1 where their sizes alone rule the similarity out."""
+    a, b = min(a, b), max(a, b)
+    if a < similarity * b - 1e-9:
+        return -1
+    bits, p = 64 * WIDE_WORDS, differing(a, b, similarity) if b else 0.0
+    return math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
+def near_all(values: np.ndarray, cut: np.ndarray, radius: int, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of a group within the radius, some at a time; for those who keep few of them."""
+    sizes = np.diff(cut)
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL_GROUP)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        begin = cut[:-1][sizes == n]
+        for k in range(0, len(begin), max(1, step // len(i))):
+            some = begin[k : k + max(1, step // len(i)), None]
+            a, b = (some + i).ravel(), (some + j).ravel()
+            hit = near_pairs(values[a], values[b], radius)
+            yield a[hit], b[hit]
+    for low, n in zip(cut[:-1][sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
+        words = -(-n // 64)
+        padded = np.zeros((64 * words, values.shape[1]), U64)
+        padded[:n] = values[low : low + n]
+        table, live = planes(padded), np.full(words, ~U64(0))
+        if n % 64:
+            live[-1] = U64((1 << n % 64) - 1)
+        for k in range(0, n, max(1, step // words)):
+            rows = np.arange(k, min(n, k + max(1, step // words)))
+            a, b = near(padded, np.repeat(rows, words), np.tile(np.arange(words), len(rows)), table, live, radius)
+            yield low + a[a < b], low + b[a < b]
+
+
+def nearest(label: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` nearest of the label of either of their rows."""
+    keep = np.zeros(len(a), bool)
+    for own in (label[a], label[b]):
+        order = np.lexsort((b, a, apart, own))
+        begin = runs(own[order])
+        rank = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a))))
+        keep[order[rank < most]] = True
+    return keep
+
+
+def candidates(prints: np.ndarray, wide: np.ndarray, size: np.ndarray, label: np.ndarray, cut: np.ndarray, radius: int, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows of a group that may be similar and have different labels: of each label the `most` nearest, and whether more were left out."""
+    left, right, gaps, more = (np.zeros(0, np.int64),) * 3 + (False,)
+    for a, b in near_all(prints, cut, radius):
+        other = label[a] != label[b]
+        a, b = a[other], b[other]
+        if not len(a):
+            continue
+        kinds, which = np.unique(np.stack([size[a], size[b]], 1), axis=0, return_inverse=True)
+        most_apart = np.array([wide_radius(int(x), int(y), similarity) for x, y in kinds])[which.ravel()]
+        apart = np.concatenate([np.bitwise_count(wide[a[k : k + (1 << 14)]] ^ wide[b[k : k + (1 << 14)]]).sum(1, dtype=np.int64) for k in range(0, len(a), 1 << 14)])
+        ok = apart <= most_apart
+        left, right, gaps = (np.concatenate(x) for x in ((left, a[ok]), (right, b[ok]), (gaps, apart[ok])))
+        keep = nearest(label, left, right, gaps, most)
+        more |= not keep.all()
+        left, right, gaps = left[keep], right[keep], gaps[keep]
+    return left, right, more
+
+
+def _proposed(members: DataFrame, masks: list[np.ndarray], radius: int, similarity: float, most: int) -> DataFrame:
+    """Pairs (a, b: sigs) to verify next: under each value of each mask, of each label the `most` nearest pairs with another one. A row of
+    nulls says that pairs were left out."""
+    n, words = width(members.sparkSession), len(masks[0])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, wide = _words(batch.column("fp"), words), _words(batch.column("wide"), WIDE_WORDS)
+            sig, label = (_words(batch.column(c), 2) for c in ("sig", "label"))
+            rows = np.concatenate([fp, wide, sig, label, np.asarray(batch.column("size"), dtype=np.int64).view(U64)[:, None]], axis=1)
+            whole: list[list[np.ndarray]] = [[] for _ in range(n)]
+            for k, mask in enumerate(masks):
+                where = (mixed(_folded(fp & mask) + U64(k)) >> U64(40)) % U64(n)
+                order = np.argsort(where, kind="stable")
+                edges = np.searchsorted(where[order], np.arange(n + 1))
+                for i in range(n):
+                    whole[i].append(order[edges[i] : edges[i + 1]].astype(np.uint32))
+            for i in range(n):  # each row goes to a partition once, with the numbers of those under each mask
+                own = np.unique(np.concatenate(whole[i]))
+                if len(own):
+                    yield packed_rows([i], [packed([rows[own].ravel(), *(np.searchsorted(own, x).astype(np.uint32) for x in whole[i])])])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, under, base = [], [[] for _ in masks], 0
+        for batch in batches:
+            for blob in batch.column("blob"):
+                rows, *mine = unpacked(blob.as_py())
+                parts.append(rows.reshape(-1, words + WIDE_WORDS + 5))
+                for k, x in enumerate(mine):
+                    under[k].append(x.astype(np.int64) + base)
+                base += len(parts[-1])
+        if not parts:
+            return
+        rows = np.concatenate(parts)
+        parts.clear()
+        fp, wide, sig, size = np.ascontiguousarray(rows[:, :words]), rows[:, words : words + WIDE_WORDS], rows[:, words + WIDE_WORDS : words + WIDE_WORDS + 2], rows[:, -1].astype(np.int64)
+        label = np.unique(rows[:, -3:-1], axis=0, return_inverse=True)[1].ravel()
+        found, left_out = [], False
+        for mask, at in zip(masks, under):
+            at = np.concatenate(at)
+            key = _folded(fp[at] & mask)
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+            cut = np.append(runs(key), len(at))
+            many = np.repeat(np.diff(cut) > 1, np.diff(cut))
+            at, key = at[many], key[many]
+            if not len(at):
+                continue
+            a, b, more = candidates(fp[at], wide[at], size[at], label[at], np.append(runs(key), len(at)), radius, similarity, most)
+            left_out |= more
+            found.append(np.stack([np.minimum(at[a], at[b]), np.maximum(at[a], at[b])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        x, y = _bytes(sig[pairs[:, 0]]), _bytes(sig[pairs[:, 1]])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c, pa.nulls(int(left_out), pa.binary())]) for c in (x, y)], ["a", "b"])
 
-    for x, y in zip(a[same].tolist(), b[same].tolist()):
-        x, y = root(x), root(y)
-        label[max(x, y)] = min(x, y)
-    label = np.array([root(i) for i in range(n)])
-    failed = np.unique(np.concatenate([a[~same] * n + b[~same], b[~same] * n + a[~same]]))
-    out = [np.zeros(0, np.int64)]
-    step = max(1, (1 << 21) // len(node))
-    for low in range(0, len(node), step):
-        own = slice(low, low + step)
-        apart = np.zeros((len(node[own]), len(node)), np.int16)
-        for w in range(prints.shape[1]):
-            apart += np.bitwise_count(prints[own, w][:, None] ^ prints[None, :, w])
-        small, large = np.minimum(sizes[own][:, None], sizes[None]), np.maximum(sizes[own][:, None], sizes[None])
-        i, j = np.nonzero((apart <= radius) & (label[node[own]][:, None] != label[node][None]) & (small >= similarity * large - 1e-9))
-        code = node[own][i] * n + node[j]
-        fresh = ~np.isin(code, failed)
-        i, j, code = i[fresh], j[fresh], code[fresh]
-        order = np.lexsort((apart[i, j], i))
-        i, code = i[order], code[order]
-        begin = runs(i)
-        rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
-        code = code[rank < most]
-        out.append(np.minimum(code // n, code % n) * n + np.maximum(code // n, code % n))
-    code = np.unique(np.concatenate(out))
-    return np.stack([code // n, code % n], 1)
-
-
-def _asked(members: DataFrame, tested: DataFrame, words: int, radius: int, similarity: float, most: int) -> DataFrame:
-    """Pairs (root, a, b) to verify next in each candidate component."""
-
-    def run(key: tuple, nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        names, node = np.unique(np.array(nodes["sig"].tolist(), object), return_inverse=True)
-        at = {k: i for i, k in enumerate(names.tolist())}
-        prints = np.frombuffer(b"".join(nodes["fp"]), U64).reshape(-1, words)
-        a, b = (np.array([at[x] for x in pairs[c]], np.int64) for c in ("a", "b"))
-        found = untested(prints, nodes["size"].to_numpy(np.int64), node, a, b, pairs["same"].to_numpy(bool), radius, similarity, most)
-        return pd.DataFrame({"root": [key[0]] * len(found), "a": names[found[:, 0]], "b": names[found[:, 1]]})
-
-    return members.groupBy("root").cogroup(tested.groupBy("root")).applyInPandas(run, "root binary, a binary, b binary")
+    found = dealt(members.select("fp", "wide", "sig", "label", "size").transform(mapped, send, PACKED_SCHEMA), n).transform(mapped, compare, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = CANDIDATE_RADIUS, masks: list[np.ndarray] | None = None) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable by verified links) for every document.
 
-    Fingerprints only make candidates: within the radius, and in agreement under a mask. A link counts if the exact Jaccard similarity of
-    the sets of shingles is `similarity` or more. A candidate component is first tested on a spanning forest; where a link of it fails, more
-    pairs within the radius are tested, round by round, until none is left between two of its verified parts, so a false link that is
-    dropped loses no true one. Texts with equal sets are one node. Null and doubled doc_ids are as in `near_duplicates`.
+    Fingerprints only make candidates: within the radius, in agreement under a mask, and near enough in a wider fingerprint. A link counts if
+    the exact Jaccard similarity of the sets of shingles is `similarity` or more. Texts are verified round by round: each verified group
+    proposes its nearest pairs with others, which are joined with their sets of shingles; groups that a true link joins are one from then on,
+    so that a large group takes few pairs. It ends when no candidate between two groups is left untested, so a false one loses no true one.
+    Texts with equal sets are one node. Null and doubled doc_ids are as in `near_duplicates`.
     """
     words = 4 if masks is None else len(masks[0])
 
@@ -529,31 +649,29 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     prints = stored(keyed.transform(mapped, run, "doc_id bigint, key bigint, fp binary, sig binary, size bigint"))
     nodes = stored(prints.groupBy("sig", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("row"), F.min("size").alias("size")))
-    # the candidate graph is of sigs: a fingerprint's links are those of its first sig, to which its others are linked
-    first = stored(nodes.groupBy("fp").agg(F.min("sig").alias("sig")))
+    first = stored(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
     masks = growing_tables(first.count(), words, similarity) if masks is None else masks
     loose = stored(links(first, radius, masks))
-    pairs = loose.join(first.select(F.col("fp").alias("a"), F.col("sig").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("sig").alias("y")), "b").select("x", "y")
-    pairs = pairs.unionAll(nodes.join(first.withColumnRenamed("sig", "y"), "fp").select(F.col("sig").alias("x"), "y"))
-    pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
-    roots = components(pairs)
-    roots = stored(roots.unionAll(roots.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "sig"))
-    members = stored(nodes.join(roots, "sig").select("root", "sig", "fp", "size", "row"))
-    one = members.groupBy("sig").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
-    sets = stored(_sets(keyed.join(one, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["key"] == F.col("_key")), "left_semi"), shingle).dropDuplicates(["sig"]))
-    tested = stored(_verified(pairs.join(roots, F.col("a") == F.col("sig")).select("root", "a", "b"), sets, similarity))
-    active = stored(tested.filter("not same").select("root").distinct())
-    if active.first() is not None:
-        members = stored(members.join(active, "root", "left_semi"))
-        known, most = stored(tested.join(active, "root", "left_semi")), 4
-        while True:
-            asked = stored(_asked(members, known, words, radius, similarity, most))
-            if asked.first() is None:
-                break
-            found = stored(_verified(asked, sets, similarity))
-            tested, known, most = tested.unionAll(found), known.unionAll(found), most * 4
-    strict = components(tested.filter("same").select("a", "b"))
-    rooted = nodes.join(strict, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    touched = loose.select(F.col("a").alias("fp")).unionAll(loose.select(F.col("b").alias("fp"))).unionAll(first.filter("n > 1").select("fp")).distinct()
+    active = stored(nodes.join(touched, "fp", "left_semi").select("sig", "fp", "size", "row"))
+    one = active.groupBy("sig").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
+    sets = stored(_sets(keyed.join(one, keyed["doc_id"].eqNullSafe(F.col("_id")) & keyed["key"].eqNullSafe(F.col("_key")), "left_semi"), shingle).dropDuplicates(["sig"]))
+    members = stored(active.join(sets.select("sig", "wide"), "sig").select("sig", "fp", "wide", "size", F.col("sig").alias("label")))
+    tested, most = None, 2
+    while True:
+        asked = stored(_proposed(members, masks, radius, similarity, most))
+        fresh = asked.filter("a is not null")
+        fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
+        found = stored(_verified(fresh, sets, similarity))
+        tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
+        if found.first() is None and asked.filter("a is null").first() is None:
+            break
+        labels = members.select("sig", "label").distinct()
+        joined = found.filter("same").join(labels.select(F.col("sig").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("sig").alias("b"), F.col("label").alias("y")), "b")
+        roots = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        members = stored(members.join(roots, F.col("label") == F.col("node"), "left").select("sig", "fp", "wide", "size", F.coalesce("root", "label").alias("label")))
+        most *= 16
+    rooted = nodes.select("sig", "least").join(members.select("sig", "label").distinct(), "sig", "left").select("sig", "least", F.coalesce("label", "sig").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     many = stored(rooted.select("sig", "root").distinct().join(ids, "root").select("sig", "component_id").filter(F.col("component_id").isNotNull()))
     return prints.join(many, "sig", "left").select("doc_id", "component_id")
