@@ -1,16 +1,21 @@
-"""A hierarchical Pitman-Yor language model: a restaurant of words whose parent spells words, and exact unigram counts beside it.
-
-The restaurant of words seats every training token. A word that it does not know, and each new table, comes from the parent, which spells
-the word byte by byte up to a space: restaurants there are contexts of none to three bytes of the word so far, the parent of a context is the
-context without its oldest byte, and the root's parent is uniform over bytes. Among the restaurants of bytes the parent's customers are
-the child's tables; but the top one of them has one customer for each distinct word, fitted before words are seated, not one for each table of a word. Older bytes count by their class, so there are at most 32^3 leaf contexts and 2^23 kinds of customers however large the
-corpus: what the driver holds and sends is bounded. Word counts are not; they stay in partitions by hash.
+"""A hierarchical Pitman-Yor language model: words after words, words alone, and spellings.
+
+The lowest restaurants are contexts, the word before (hashed to CONTEXTS restaurants, whose totals are what the driver holds of them); they share
+one parent, the restaurant of words; its parent spells a word byte by byte up to a space, by restaurants of none to three bytes of the word
+so far, whose root's parent is uniform over bytes. Everywhere the customers of a parent are the tables of its children. A sweep of the
+Gibbs sampler reseats all customers: those of one word in one restaurant are seated one after another given all other restaurants' totals.
+Predictive probabilities are averaged over the sweeps after the first ones.
+
+Words meet by hash: each slice of documents sends every word once with the contexts and documents that it has there, and the task that owns
+the word keeps them in a cell, a row of a written table, over which sweeps and scoring run. Words that hold more than one in 4096 of all
+tokens are spread over the tasks by their context; what is known of them as words passes the driver, as totals do. Seatings are not stored:
+each pass draws them again from the same seeds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import bucket_of, dealt, mapped, packed, stored, unpacked, width
-from .text import LOWER, SPACE, buffer, mixed, owners, slices, span_hashes, spans
+from .text import LOWER, SPACE, buffer, mixed, slices, span_hashes, spans
 
 U64 = np.uint64
 DEPTH = 3
@@ -63,11 +68,30 @@ class Seating:
     parent: np.ndarray  # index of its kind one depth up
 
 
+def seat(customers: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after all its customers sat down one by one: where i sit at t tables, the next opens one with probability
+    a / (a + i - discount * t); a is what the restaurant's other totals give a new table. Beyond 32 customers they come in blocks, each as
+    many as sit already, within which the probability is that of the block's middle."""
+    tables = np.minimum(customers, 1).astype(np.float64)
+    live, i = np.flatnonzero(customers > 1), 1
+    while len(live) and i < 32:
+        w = a[live]
+        tables[live] += rng.random(len(live)) * (w + i - discount * tables[live]) < w
+        i += 1
+        live = live[customers[live] > i]
+    while len(live):
+        more, w = np.minimum(customers[live] - i, i), a[live]
+        p = w / (w + i + more / 2 - discount * tables[live])
+        tables[live] += rng.binomial(more, p)
+        i *= 2
+        live = live[customers[live] > i]
+    return tables
+
+
 class PitmanYor:
-    """Chinese-restaurant seating, approximated: a sweep reseats one customer of each kind at most, so in burn_in + samples sweeps large kinds
-    stay near their start of customers ** discount tables. Predictive probabilities are averaged over samples."""
+    """Spellings: seating of customers (context, byte) in restaurants of bytes. Predictive probabilities are averaged over samples."""
 
-    def __init__(self, kinds: np.ndarray, customers: np.ndarray, seed: int = 17, burn_in: int = 10, samples: int = 10):
+    def __init__(self, kinds: np.ndarray, customers: np.ndarray, seed: int = 17, burn_in: int = 4, samples: int = 4):
         self.rng = np.random.default_rng(seed)
         self.levels: list[Seating] = []
         part = [kinds.astype(np.int64)]
@@ -80,7 +104,7 @@ class PitmanYor:
             restaurant = np.unique(own >> 8, return_inverse=True)[1] if len(own) else np.zeros(0, np.int64)
             up = (own >> 13) << 8 | (own & 255)
             parent = np.searchsorted(part[k + 1], up) if depth else np.zeros(len(own), np.int64)
-            tables = np.clip(np.round(counts ** DISCOUNTS[depth]), 1, counts).astype(np.int64)
+            tables = np.minimum(counts, 1)
             self.levels.append(Seating(own, counts, tables, restaurant, parent))
             counts = np.bincount(parent, tables, len(part[k + 1])).astype(np.int64) if depth else counts
         total = np.zeros(1 << 23, np.float64)
@@ -88,7 +112,7 @@ class PitmanYor:
             self._sweep()
             if sweep >= burn_in:
                 total += self.predictive()
-        self.log10 = np.log10(total / samples).astype(np.float32)
+        self.log10 = np.log10(total / samples).astype(np.float16)
 
     def _known(self) -> list[np.ndarray]:
         """Predictive probability of each kind at its depth, from leaf to root."""
@@ -105,7 +129,7 @@ class PitmanYor:
         return out[::-1]
 
     def _sweep(self) -> None:
-        """Unseats one customer of every kind, and seats it again given all others, depth by depth from the leaves."""
+        """Reseats all customers, depth by depth from the leaves."""
         known = self._known()
         for k in range(DEPTH + 1):
             s, depth = self.levels[k], DEPTH - k
@@ -113,14 +137,8 @@ class PitmanYor:
                 return
             d, theta = DISCOUNTS[depth], STRENGTHS[depth]
             above = known[k + 1][s.parent] if depth else np.full(len(s.kinds), 1 / 256)
-            total = np.bincount(s.restaurant, s.tables)[s.restaurant]
-            # a customer is alone at its table in proportion to how many tables of one there are about
-            alone = (s.tables > 1) & (self.rng.random(len(s.kinds)) * s.customers < d * s.tables)
-            tables = s.tables - alone
-            fresh = (theta + d * (total - alone)) * above
-            stay = np.maximum(s.customers - 1 - d * tables, 0)
-            opens = self.rng.random(len(s.kinds)) * (fresh + stay) < fresh
-            s.tables = np.clip(tables + opens, 1, s.customers)
+            others = np.bincount(s.restaurant, s.tables)[s.restaurant] - s.tables
+            s.tables = seat(s.customers, (theta + d * others) * above, d, self.rng)
             if depth:
                 up = self.levels[k + 1]
                 up.customers = np.bincount(s.parent, s.tables, len(up.kinds)).astype(np.int64)
@@ -149,15 +167,13 @@ def _tokens(piece: pa.RecordBatch) -> tuple:
     return data, starts, ends, first
 
 
-def _unique(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple:
-    """Order by word and document, the sorted places where words begin, and where (word, document) pairs do."""
-    order = np.lexsort((doc, check, key))
-    key, check, doc = key[order], check[order], doc[order]
+def _unique(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by word, and the sorted places where words begin."""
+    order = np.lexsort((check, key))
+    key, check = key[order], check[order]
     word = np.ones(len(key), bool)
     word[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-    pair = word.copy()
-    pair[1:] |= doc[1:] != doc[:-1]
-    return order, np.flatnonzero(word), np.flatnonzero(pair)
+    return order, np.flatnonzero(word)
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,158 +181,308 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return span_hashes(data, starts, ends, 0), (span_hashes(data, starts, ends, 1) >> U64(32)).astype(np.uint32)
 
 
-WORDS = "bucket int, blob binary"
+#: Restaurants that contexts are hashed to. The last is that of a document's first word.
+CONTEXTS = 1 << 16
+#: A word is spread over tasks if it holds more than one in so many tokens; there are no more of them than that.
+HOT_SHARE = 4096
+#: Entries of a cell at most, unless one word has more.
+CELL_ENTRIES = 1 << 20
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Exact counts of all tokens of `text`, in rows of packed arrays: hashes (two), counts, lengths and bytes of words."""
-    n = width(docs.sparkSession)
+def hot_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of the words that hold more than one in HOT_SHARE of the tokens, sorted. Slices leave out what is under half of that there."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 4 << 20):
+                data, starts, ends, _ = _tokens(piece)
+                keys, counts = np.unique(span_hashes(data, starts, ends), return_counts=True)
+                total = len(starts) + piece.num_rows
+                many = counts * 2 * HOT_SHARE > total
+                keys = np.append(keys[many], _hashed(data, np.zeros(1, np.int64), np.zeros(1, np.int64))[0])  # the end token
+                yield pa.RecordBatch.from_arrays([pa.array([*keys.view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), piece.num_rows, total], pa.int64())], ["key", "n"])
+
+    counts = docs.select("text").transform(mapped, run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    total = counts.filter("key is null").first()
+    if total is None:
+        return np.zeros(0, U64)
+    return np.sort(np.array([r[0] for r in counts.filter(f"key is not null and n * {HOT_SHARE} > {total['n']}").collect()], np.int64).view(U64))
+
+
+def _rank(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key among sorted ones, -1 where it is not among them."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+_ASKED = "bucket int, kind tinyint, blob binary"
+
+
+def _flat(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after another."""
+    return data[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+
+
+def asked(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
+    """Of each slice, to the owners of words: kind 0, words and their entries (context, document, times); kind 1, to the documents' homes: what is known of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
                 data, starts, ends, first = _tokens(piece)
-                starts, ends = np.append(starts, 0), np.append(ends, 0)  # the end token
-                key, check = _hashed(data, starts, ends)
-                order, at, _ = _unique(key, check, np.zeros(len(key), np.int64))
-                counts = np.diff(np.append(at, len(key)))
-                some = order[at]
-                counts[some == len(starts) - 1] = piece.num_rows
-                yield _dealt_words(key[some], check[some], counts, data, starts[some], ends[some], n)
+                number = np.asarray(piece.column("row"), dtype=np.int64)
+                learned = ~np.asarray(piece.column("held"), dtype=bool)
+                m = len(number)
+                # each document's end token comes after its words
+                at = np.repeat(np.arange(m), np.diff(first)) + np.arange(len(starts))
+                places, doc = np.zeros(len(starts) + m, np.int64), np.repeat(np.arange(m), np.diff(first) + 1)
+                begin, stop = places.copy(), places.copy()
+                begin[at], stop[at] = starts, ends
+                key, check = _hashed(data, begin, stop)
+                context = np.full(len(key), CONTEXTS - 1, np.int64)
+                context[1:] = (mixed(key[:-1]) >> U64(32)).astype(np.int64) % (CONTEXTS - 1)
+                context[first[:-1] + np.arange(m)] = CONTEXTS - 1
+                order, head = _unique(key, check)
+                word = np.empty(len(key), np.int64)
+                word[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+                entry, times = np.unique((word << 40) | (context << 24) | doc, return_counts=True)
+                word, context, doc = entry >> 40, (entry >> 24) & (CONTEXTS - 1), entry & ((1 << 24) - 1)
+                some = order[head]
+                key, check, begin, sizes = key[some], check[some], begin[some], (stop - begin)[some]
+                spread = _rank(hot, key)[word] >= 0
+                where = bucket_of(np.where(spread, mixed(key[word] + mixed(context.astype(U64))), key[word]), n)
+                order = np.argsort(where, kind="stable")
+                edges = np.searchsorted(where[order], np.arange(n + 1))
+                kinds, buckets, blobs, flags = [], [], [], np.packbits(learned)
+                for i in np.flatnonzero(np.diff(edges)).tolist():
+                    e = order[edges[i] : edges[i + 1]]
+                    w, many = np.unique(word[e], return_counts=True)
+                    kinds.append(0)
+                    buckets.append(i)
+                    blobs.append(packed([key[w], check[w], _narrow(sizes[w]), _flat(data, begin[w], sizes[w]), _narrow(many), context[e].astype(np.uint16), _narrow(doc[e]), _narrow(times[e]), flags, number[:1]]))
+                ids = np.asarray(piece.column("doc_id").fill_null(0), dtype=np.int64)
+                null = np.asarray(piece.column("doc_id").is_null())
+                home = number % n
+                for i in np.unique(home).tolist():
+                    d = np.flatnonzero(home == i)
+                    kinds.append(1)
+                    buckets.append(i)
+                    blobs.append(packed([number[d], ids[d], null[d].astype(np.uint8), learned[d].astype(np.uint8), np.diff(first)[d] + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpacked(blob.as_py()) for batch in batches for blob in batch.column("blob")]
+    return rows.transform(mapped, run, _ASKED)
+
+
+def cells(sent: DataFrame, n: int) -> DataFrame:
+    """The owners' tables: kind 0, cells of words with all that slices sent of them; kind 1 as it came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for kind, bucket, blob in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob")):
+                if kind:
+                    yield _row(bucket, 1, blob.as_py())
+                else:
+                    parts.append(unpacked(blob.as_py()))
+                    own = bucket
         if not parts:
             return
-        key, check, counts, sizes, data = (np.concatenate([x[i] for x in parts]) for i in range(5))
+        parts.sort(key=lambda x: int(x[9][0]))  # whatever the order of arrival
+        key, check, sizes = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        sizes = sizes.astype(np.int64)
+        data, starts = np.concatenate([x[3] for x in parts]), np.cumsum(sizes) - sizes
+        order, head = _unique(key, check)
+        number = np.empty(len(key), np.int64)
+        number[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+        word = np.repeat(number, np.concatenate([x[4] for x in parts]).astype(np.int64))
+        context, doc, times = (np.concatenate([x[i] for x in parts]).astype(np.int64) for i in (5, 6, 7))
+        learned = np.concatenate([np.unpackbits(x[8])[x[6].astype(np.int64)] for x in parts])
+        piece = np.repeat(np.arange(len(parts)), [len(x[6]) for x in parts])
+        bases = np.array([x[9][0] for x in parts])
         parts.clear()
-        ends = np.cumsum(sizes.astype(np.int64))
-        starts = ends - sizes
-        order, at, _ = _unique(key, check, np.zeros(len(key), np.int64))
-        total = np.add.reduceat(counts[order].astype(np.int64), at)
-        for low in range(0, len(at), 100_000):
-            some = order[at[low : low + 100_000]]
-            yield _dealt_words(key[some], check[some], total[low : low + 100_000], data, starts[some], ends[some], 1)
-
-    return dealt(docs.select("text").transform(mapped, count, WORDS), n).transform(mapped, merge, WORDS)
+        order_of = np.lexsort((context, word))
+        word, context, doc, times, learned, piece = (x[order_of] for x in (word, context, doc, times, learned, piece))
+        some = order[head]
+        key, check, sizes, starts = key[some], check[some], sizes[some], starts[some]
+        ends = np.searchsorted(word, np.arange(len(some)), "right")
+        low = 0
+        while low < len(some):
+            base = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, base + CELL_ENTRIES, "right")))
+            e = slice(base, ends[high - 1])
+            w, c = word[e] - low, context[e]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+            at = np.flatnonzero(new)
+            customers = np.add.reduceat(times[e] * learned[e], at)
+            own_sizes = sizes[low:high]
+            yield _row(own, 0, packed([
+                np.array([own, low]), key[low:high], _narrow(own_sizes), _flat(data, starts[low:high], own_sizes), _narrow(np.bincount(w[at], minlength=high - low)), c[at].astype(np.uint16), _narrow(customers), _narrow(np.diff(np.append(at, len(w)))),
+                _narrow(piece[e]), _narrow(doc[e]), _narrow(times[e]), bases,
+            ]))
+            low = high
+
+    return dealt(sent, n).transform(mapped, run, _ASKED)
 
 
-def _dealt_words(key: np.ndarray, check: np.ndarray, counts: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> pa.RecordBatch:
-    where = bucket_of(key, n)
-    order = np.argsort(where, kind="stable")
-    edges = np.searchsorted(where[order], np.arange(n + 1))
-    rows, blobs = np.flatnonzero(np.diff(edges)).tolist(), []
-    for i in rows:
-        w = order[edges[i] : edges[i + 1]]
-        sizes = (ends - starts)[w]
-        flat = data[np.arange(sizes.sum()) + np.repeat(starts[w] - (np.cumsum(sizes) - sizes), sizes)]
-        blobs.append(packed([key[w], check[w], _narrow(counts[w]), _narrow(sizes), flat]))
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
+@dataclass
+class Totals:
+    """What a sweep needs of all others: tables in each context, customers and tables of the restaurant of words, both of each hot word."""
 
-def _spelling(blob: bytes) -> tuple:
-    key, _, counts, sizes, data = unpacked(blob)
-    ends = np.cumsum(sizes.astype(np.int64))
-    return key, counts.astype(np.int64), data, ends - sizes, ends
+    context_tables: np.ndarray
+    customers: float
+    tables: float
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
 
 
 @dataclass
 class Model:
-    """spelling: log10 probabilities of bytes in contexts. The restaurant of words: customers, kinds of words, and tables in each sample."""
+    """Counts, discounts, spellings (log10 of bytes in contexts; the second ones are fitted on the tables of words) and the totals of all sweeps."""
 
-    spelling: np.ndarray
-    discount: float
-    strength: float
+    hot: np.ndarray
+    hot_counts: np.ndarray
     tokens: int
     vocabulary: int
-    tables: np.ndarray
-
-    def spelled(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probability of each word under the parent."""
-        code, begin = codes(data, starts, ends)
-        return np.add.reduceat(self.spelling[code], begin[:-1], dtype=np.float64) if len(starts) else np.zeros(0)
-
-    def seated(self, key: np.ndarray, counts: np.ndarray, spelled: np.ndarray, sample: int) -> np.ndarray:
-        """Tables of each word in a sample, drawn given its customers and its probability under the parent: the first customer opens one,
-        the (i+1)-th another with probability a / (a + i), a = (strength + discount * words) * spelled; their number is near a Poisson
-        variable. The draw depends on the word only, so every task that asks gets the same seating."""
-        a = (self.strength + self.discount * self.vocabulary) * 10.0**spelled
-        mean = a * np.log1p(np.maximum(counts - 1, 0) / (a + 1))
-        u = (mixed(key + mixed(np.array([sample + 1], U64))) >> U64(11)).astype(np.float64) / (1 << 53)
-        more, term = np.zeros(len(key)), np.exp(-np.minimum(mean, 30))
-        total = term.copy()
-        for k in range(1, 80):
-            go = u > total
-            if not go.any():
-                break
-            more += go
-            term = term * mean / k
-            total += term
-        spread = np.sqrt(-2 * np.log(np.maximum(u, 1e-12))) * np.cos(2 * np.pi * ((u * 4096) % 1))
-        more = np.where(mean > 30, np.round(mean + np.sqrt(mean) * spread), more)
-        return np.where(counts > 0, np.clip(1 + more, 1, np.maximum(counts, 1)), 0)
-
-    def log10(self, key: np.ndarray, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 of each word's predictive probability, averaged over the samples."""
-        total = np.zeros(len(key))
-        for k, tables in enumerate(self.tables):
-            own = np.maximum(counts - self.discount * self.seated(key, counts, spelled, k), 0)
-            total += (own + (self.strength + self.discount * tables) * 10.0**spelled) / (self.tokens + self.strength)
-        return np.log10(np.maximum(total / len(self.tables), 1e-300))
-
-
-def train(docs: DataFrame, learn, samples: int = 5, **settings) -> Model:
-    """Learns from all documents where `learn` holds. Word counts stay in the shared folder; only sums and kinds of bytes reach the driver."""
-    words = stored(word_counts(docs.filter(learn)))
-    n = min(16, width(docs.sparkSession))
+    context_customers: np.ndarray
+    discount: float
+    word_discount: float
+    strength: float
+    burn_in: int
+    spellings: list[np.ndarray]
+    sweeps: list[Totals] = field(default_factory=list)
+
+
+class Cell:
+    """Words of one owner: w and k are the word and context of each pair that occurs, c its training customers."""
+
+    def __init__(self, blob: bytes, model: Model | None = None, hot: np.ndarray | None = None):
+        self.name, self.key, sizes, self.data, pairs, self.k, c, self.entries, self.piece, self.doc, self.times, self.bases = unpacked(blob)
+        sizes = sizes.astype(np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.c = c.astype(np.int64)
+        self.w = np.repeat(np.arange(len(self.key)), pairs)
+        self.model = model
+        self.hot = _rank(model.hot if model else hot, self.key)
+        self.cold = self.hot < 0
+        self.count = np.bincount(self.w, self.c, len(self.key)).astype(np.int64)  # of a hot word only those that are here
+
+    def spelled(self, log10: np.ndarray) -> np.ndarray:
+        """Probability of each word under the spellings."""
+        code, begin = codes(self.data, self.starts, self.ends)
+        return 10.0 ** np.add.reduceat(log10[code], begin[:-1], dtype=np.float64)
+
+    def code_counts(self, weight: np.ndarray) -> np.ndarray:
+        """How often each (context, byte) is spelled, words weighing as given."""
+        code, begin = codes(self.data, self.starts, self.ends)
+        return np.bincount(code, np.repeat(weight, np.diff(begin)), 1 << 23)
+
+    def words(self, customers: np.ndarray, tables: np.ndarray, t: Totals, spelled: np.ndarray) -> np.ndarray:
+        """Probability of each word alone."""
+        m, hot = self.model, self.hot[~self.cold]
+        customers, tables = customers.astype(np.float64), tables.astype(np.float64)
+        customers[~self.cold], tables[~self.cold] = t.hot_customers[hot], t.hot_tables[hot]
+        rest = m.strength + m.word_discount * t.tables
+        return (np.maximum(customers - m.word_discount * tables, 0) + rest * spelled) / (m.strength + t.customers)
+
+    def replay(self, known: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each sweep whose totals before it are known (of `known` ones, if given): the tables of each pair; customers, tables and probability before it of words."""
+        m = self.model
+        spelled = [self.spelled(x) for x in m.spellings]
+        seen = np.bincount(self.w, self.c > 0, len(self.key))
+        pair, customers, tables = np.minimum(self.c, 1), seen, np.minimum(seen, 1)
+        for s, t in enumerate(m.sweeps[:known]):
+            own = spelled[min(s >= m.burn_in, len(spelled) - 1)]
+            p = self.words(customers, tables, t, own)
+            rng = np.random.default_rng([int(self.name[0]), int(self.name[1]), s])
+            a = (m.strength + m.discount * np.maximum(t.context_tables[self.k] - pair, 0)) * p[self.w]  # of all but the pair's own customers
+            pair = seat(self.c, a, m.discount, rng)
+            customers = np.bincount(self.w, pair, len(self.key))
+            tables = seat(customers.astype(np.int64), (m.strength + m.word_discount * np.maximum(t.tables - tables, 0)) * own, m.word_discount, rng)
+            yield pair, customers, tables, own
+
+
+def _summed(table: DataFrame, work, n: int) -> list[np.ndarray]:
+    """Sums of the arrays that `work` makes of a cell, over all cells: long ones are cut into n parts that are summed apart."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = np.zeros(1 << 23, np.int64)
-        sums = np.zeros(4, np.int64)
+        total = None
         for batch in batches:
             for blob in batch.column("blob"):
-                _, counts, data, starts, ends = _spelling(blob.as_py())
-                sums += [counts.sum(), len(counts), (counts == 1).sum(), (counts == 2).sum()]
-                code, _ = codes(data, starts, ends)
-                kinds += np.bincount(code, minlength=1 << 23)
-        some = np.flatnonzero(kinds)
-        part = some * n >> 23
-        rows = np.unique(part).tolist()
-        blobs = [packed([some[part == i].astype(np.uint32), kinds[some[part == i]]]) for i in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([*rows, 0], pa.int32()), pa.array([*blobs, packed([sums])], pa.binary())], ["bucket", "blob"])
+                found = work(blob.as_py())
+                total = found if total is None else [x + y for x, y in zip(total, found)]
+        if total is not None:
+            for i in range(n):
+                part = [x[len(x) * i // n : len(x) * (i + 1) // n] for x in total]
+                some = [np.flatnonzero(x) for x in part]
+                yield _row(i, 0, packed([y for x, at in zip(part, some) for y in (at.astype(np.uint32), x[at], np.array([len(x)]))]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, sums = np.zeros(1 << 23, np.int64), np.zeros(4, np.int64)
+        total, bucket = None, 0
         for batch in batches:
-            for blob in batch.column("blob"):
-                x = unpacked(blob.as_py())
-                if len(x) == 1:
-                    sums += x[0]
-                else:
-                    np.add.at(kinds, x[0], x[1])
-        some = np.flatnonzero(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([packed([some.astype(np.uint32), kinds[some], sums])], pa.binary())], ["bucket", "blob"])
-
-    got = [unpacked(r[0]) for r in dealt(words.transform(mapped, count, WORDS), n).transform(mapped, merge, WORDS).select("blob").collect()]
-    kinds, counts = (np.concatenate([x[i] for x in got]) for i in range(2))
-    sums = sum(x[2] for x in got)
-    order = np.argsort(kinds)
-    spelling = PitmanYor(kinds[order], counts[order], **settings).log10
-    once, twice = max(1, int(sums[2])), max(1, int(sums[3]))
-    model = Model(spelling, min(0.95, once / (once + 2 * twice)), 1.0, int(sums[0]), int(sums[1]), np.zeros(samples))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros(samples)
-        for batch in batches:
-            for blob in batch.column("blob"):
-                key, counts, data, starts, ends = _spelling(blob.as_py())
-                spelled = sent.value.spelled(data, starts, ends).astype(np.float32)
-                tables += [sent.value.seated(key, counts, spelled, k).sum() for k in range(samples)]
-        yield pa.RecordBatch.from_arrays([pa.array([tables.tolist()], pa.list_(pa.float64()))], ["tables"])
-
-    sums = words.transform(mapped, seat, "tables array<double>").select(*(F.sum(F.col("tables")[k]) for k in range(samples))).first()
-    model.tables = np.array([x or 0.0 for x in sums])
+            for i, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
+                x, bucket = unpacked(blob.as_py()), i
+                total = [np.zeros(int(size[0]), v.dtype) for v, size in zip(x[1::3], x[2::3])] if total is None else total
+                for k, (at, v) in enumerate(zip(x[::3], x[1::3])):
+                    total[k][at] += v
+        if total is not None:
+            yield _row(bucket, 0, packed(total))
+
+    found = dealt(table.filter("kind = 0").transform(mapped, count, _ASKED), n).transform(mapped, merge, _ASKED)
+    got = [unpacked(r["blob"]) for r in found.select("bucket", "blob").sort("bucket").collect()]
+    return [np.concatenate(x) for x in zip(*got)]
+
+
+def _discount(once: float, twice: float) -> float:
+    return float(np.clip(once / max(1.0, once + 2 * twice), 0.1, 0.95))
+
+
+def fit(table: DataFrame, hot: np.ndarray, burn_in: int = 2, samples: int = 2, strength: float = 1.0, seed: int = 17) -> Model:
+    """Runs the sampler over the cells. The driver holds totals by context, by hot word and by (context, byte) of spellings, however large the corpus."""
+    spark, n = table.sparkSession, min(16, width(table.sparkSession))
+
+    def first(blob: bytes) -> list[np.ndarray]:
+        x = Cell(blob, hot=hot)
+        seen, here = np.bincount(x.w, x.c > 0, len(x.key)), x.count > 0
+        by_hot = [np.bincount(x.hot[~x.cold], v[~x.cold], len(hot)) for v in (x.count, seen)]
+        own = seen[x.cold]
+        sums = np.array([x.count.sum(), (x.cold & here).sum(), (x.c == 1).sum(), (x.c == 2).sum(), (own == 1).sum(), (own == 2).sum(), own.sum()], np.float64)
+        # a hot word is spelled once: by the task that has its first letters anyway, the driver adds nothing
+        return [np.bincount(x.k, x.c, CONTEXTS), np.bincount(x.k, x.c > 0, CONTEXTS).astype(np.float64), *by_hot, sums, x.code_counts((x.cold & here).astype(np.float64))]
+
+    got = _summed(table, first, n)
+    if not got:
+        return Model(hot, np.zeros(len(hot)), 0, 0, np.zeros(CONTEXTS), 0.5, 0.5, strength, burn_in, [np.full(1 << 23, np.log10(1 / 256), np.float16)])
+    context_customers, types, hot_counts, hot_types, sums, kinds = got
+    some = np.flatnonzero(kinds)
+    spelling = PitmanYor(some, kinds[some].astype(np.int64), seed=seed).log10
+    known_hot = int((hot_counts > 0).sum())
+    model = Model(hot, hot_counts, int(sums[0]), int(sums[1]) + known_hot, context_customers, _discount(sums[2], sums[3]), _discount(sums[4], sums[5]), strength, burn_in, [spelling])
+    model.sweeps.append(Totals(types, sums[6] + hot_types.sum(), sums[1] + known_hot, hot_types, np.minimum(hot_types, 1)))
+    rng = np.random.default_rng(seed)
+    for sweep in range(burn_in + samples):
+        sent = spark.sparkContext.broadcast(model)
+        spell = sweep + 1 == burn_in
+
+        def work(blob: bytes, sent=sent, spell=spell) -> list[np.ndarray]:
+            x = Cell(blob, sent.value)
+            *_, (pair, customers, tables, _) = x.replay()
+            sums = np.array([customers[x.cold].sum(), tables[x.cold].sum()])
+            out = [np.bincount(x.k, pair, CONTEXTS), np.bincount(x.hot[~x.cold], customers[~x.cold], len(sent.value.hot)), sums]
+            return [*out, x.code_counts(np.where(x.cold, tables, 0))] if spell else out
+
+        context_tables, hot_customers, sums, *kinds = _summed(table, work, n)
+        last = model.sweeps[-1]
+        # hot words are long known: of their many customers' tables a word's spelling has little share, about that of a word alone
+        hot_tables = seat(hot_customers.astype(np.int64), np.full(len(hot), (strength + model.word_discount * last.tables) * 1e-4), model.word_discount, rng)
+        model.sweeps.append(Totals(context_tables, sums[0] + hot_customers.sum(), sums[1] + hot_tables.sum(), hot_customers, hot_tables))
+        if spell:
+            some = np.flatnonzero(kinds[0])
+            model.spellings.append(PitmanYor(some, kinds[0][some].astype(np.int64), seed=seed + 1).log10)
+        sent.destroy()
     return model
 
 
@@ -325,98 +491,58 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-_ASKED = "bucket int, kind tinyint, blob binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
 
 
+def predictive(x: Cell) -> np.ndarray:
+    """Probability of each pair's word in its context, averaged over the samples."""
+    m, out = x.model, np.zeros(len(x.c))
+    for s, (pair, customers, tables, own) in enumerate(x.replay(len(m.sweeps) - 1)):
+        if s >= m.burn_in:
+            t = m.sweeps[s + 1]
+            rest = m.strength + m.discount * t.context_tables[x.k]
+            out += (np.maximum(x.c - m.discount * pair, 0) + rest * x.words(customers, tables, t, own)[x.w]) / (m.strength + m.context_customers[x.k])
+    return out / max(1, len(m.sweeps) - 1 - m.burn_in)
+
+
 def score(docs: DataFrame, held=None, **settings) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, vocabulary, base_score (add-one unigrams) and score (log10 probability) of every document.
 
     Learns from all rows that are not held out. Null and empty texts are one end token. Repeated rows count and score each; an empty table
-    gives an empty one; other columns than doc_id and text are not read.
+    gives an empty one; other columns than doc_id and text are not read, whatever their names.
     """
     spark = docs.sparkSession
     held = held_out() if held is None else held
     docs = docs.select("doc_id", "text", held.alias("held"))
-    model = train(docs, ~F.col("held"), **settings)
-    sent = spark.sparkContext.broadcast(model)
     n = width(spark)
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: a slice's words with their training count there, their spelling's probability and the documents that hold them. Kind 1: the documents."""
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                data, starts, ends, first = _tokens(piece)
-                number = np.asarray(piece.column("row"), dtype=np.int64)
-                learned = ~np.asarray(piece.column("held"), dtype=bool)
-                null = np.asarray(piece.column("doc_id").is_null())
-                ids = np.asarray(piece.column("doc_id").fill_null(0), dtype=np.int64)
-                doc = np.concatenate([owners(first), np.arange(len(ids))]).astype(np.int64)
-                starts, ends = (np.append(x, np.zeros(len(ids), np.int64)) for x in (starts, ends))  # each document's end token
-                key, check = _hashed(data, starts, ends)
-                order, at_word, at_pair = _unique(key, check, doc)
-                some = order[at_word]
-                counts = np.add.reduceat(learned[doc[order]].astype(np.int64), at_word)
-                times = np.diff(np.append(at_pair, len(key)))
-                pairs = np.diff(np.append(np.searchsorted(at_pair, at_word), len(at_pair)))
-                spelled = sent.value.spelled(data, starts[some], ends[some]).astype(np.float32)
-                key, check, pair_doc = key[some], check[some], doc[order][at_pair]
-                where = bucket_of(key, n)
-                order = np.argsort(where, kind="stable")
-                edges = np.searchsorted(where[order], np.arange(n + 1))
-                pair_where = np.repeat(where, pairs)
-                pair_order = np.argsort(pair_where, kind="stable")
-                pair_edges = np.searchsorted(pair_where[pair_order], np.arange(n + 1))
-                kinds, buckets, blobs, base = [], [], [], number[0]
-                for i in np.flatnonzero(np.diff(edges)):
-                    w, p = order[edges[i] : edges[i + 1]], pair_order[pair_edges[i] : pair_edges[i + 1]]
-                    kinds.append(0)
-                    buckets.append(int(i))
-                    blobs.append(packed([key[w], check[w], _narrow(counts[w]), spelled[w], _narrow(pairs[w]), _narrow(number[pair_doc[p]] - base), _narrow(times[p]), np.array([base])]))
-                home = number % n
-                for i in np.unique(home).tolist():
-                    d = np.flatnonzero(home == i)
-                    kinds.append(1)
-                    buckets.append(i)
-                    blobs.append(packed([number[d], ids[d], null[d].astype(np.uint8), learned[d].astype(np.uint8), np.diff(first)[d] + 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int8()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+    hot = hot_words(docs)
+    table = stored(cells(asked(docs.withColumn("row", F.monotonically_increasing_id()), n, hot), n))
+    model = fit(table, hot, **settings)
+    sent = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Totals of words, then each document's share of the logarithms. Kind 1 passes through, kind 2: number, logarithms and known tokens of documents."""
-        asked = []
+        """Each document's share of the logarithms. Kind 1 passes through, kind 2: number, logarithms and known tokens of documents."""
         for batch in batches:
             for kind, bucket, blob in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob")):
                 if kind:
                     yield _row(bucket, 1, blob.as_py())
-                else:
-                    asked.append(unpacked(blob.as_py()))
-        if not asked:
-            return
-        key, check, counts, spelled = (np.concatenate([x[i] for x in asked]) for i in range(4))
-        order, at, _ = _unique(key, check, np.zeros(len(key), np.int64))
-        total = np.add.reduceat(counts[order].astype(np.int64), at)
-        sizes = np.diff(np.append(at, len(key)))
-        known, base_log, score_log = (np.empty(len(key)) for _ in range(3))
-        known[order] = np.repeat(total > 0, sizes)
-        base_log[order] = np.repeat(np.log10(total + 1.0), sizes)
-        score_log[order] = np.repeat(sent.value.log10(key[order][at], total, spelled[order][at]), sizes)
-        low, found = 0, []
-        for x in asked:
-            own, times = np.repeat(np.arange(low, low + len(x[0])), x[4]), x[6].astype(np.int64)
-            low += len(x[0])
-            apart, doc = np.unique(x[5].astype(np.int64), return_inverse=True)
-            found.append((apart + x[7][0], *(np.bincount(doc, times * y[own], len(apart)) for y in (base_log, score_log, known))))
-        number, *sums = (np.concatenate(x) for x in zip(*found))
-        number, same = np.unique(number, return_inverse=True)
-        sums = [np.bincount(same, x, len(number)) for x in sums]
-        home = number % n
-        order = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[order], np.arange(n + 1))
-        for i in np.flatnonzero(np.diff(edges)):
-            d = order[edges[i] : edges[i + 1]]
-            base = number[d].min()
-            yield _row(int(i), 2, packed([_narrow(number[d] - base), sums[0][d], sums[1][d], _narrow(sums[2][d].astype(np.int64)), np.array([base])]))
+                    continue
+                x, m = Cell(blob.as_py(), sent.value), sent.value
+                total = x.count.astype(np.float64)
+                total[~x.cold] = m.hot_counts[x.hot[~x.cold]]
+                pair = np.repeat(np.arange(len(x.c)), x.entries)
+                times, word = x.times.astype(np.float64), x.w[pair]
+                number = x.bases[x.piece] + x.doc
+                number, doc = np.unique(number, return_inverse=True)
+                logs = np.log10(np.maximum(predictive(x), 1e-300))
+                sums = [np.bincount(doc, times * y, len(number)) for y in (np.log10(total + 1)[word], logs[pair], (total > 0)[word])]
+                home = number % n
+                order = np.argsort(home, kind="stable")
+                edges = np.searchsorted(home[order], np.arange(n + 1))
+                for i in np.flatnonzero(np.diff(edges)):
+                    d = order[edges[i] : edges[i + 1]]
+                    base = number[d].min()
+                    yield _row(int(i), 2, packed([_narrow(number[d] - base), sums[0][d].astype(np.float64), sums[1][d].astype(np.float32), _narrow(sums[2][d].astype(np.int64)), np.array([base])]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_, parts = [], []
@@ -437,7 +563,7 @@ def score(docs: DataFrame, held=None, **settings) -> DataFrame:
         columns = [pa.array(ids[order], mask=null[order].astype(bool)), pa.array(learned[order] == 0), pa.array(n_tokens[order]), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORED.split(", ")])
 
-    found = dealt(dealt(rows.transform(mapped, ask, _ASKED), n).transform(mapped, count, _ASKED), n).transform(mapped, finish, SCORED)
+    found = dealt(table.transform(mapped, count, _ASKED), n).transform(mapped, finish, SCORED)
     base = F.log10(F.lit(float(model.tokens + model.vocabulary + 1)))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.lit(model.vocabulary).cast("bigint").alias("vocabulary"), (F.col("base") - F.col("n_tokens") * base).alias("base_score"), "score")
 

@@ -168,15 +168,17 @@ def test_lm_scoring(spark, folder):
     n, v = sum(counts.values()), len(counts)
     got = rows_of(queries.op10_lm_scoring(spark, folder))
     assert {r["doc_id"] for r in got} == docs.keys() and len(got) == len(docs)
-    base = model = 0.0
+    sums = {}
     for r in got:
         t = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(w in counts for w in t), n)
         assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
         assert r["score"] < 0
-        if r["held_out"]:
-            base, model = base + r["base_score"], model + r["score"]
-    print("held-out log10 probability a token:", base, model)
+        kind = "held out" if r["held_out"] else "trained on"
+        if r["n_known"] == r["n_tokens"]:  # add-one gives every unknown word the share of one, however many there are
+            sums[kind] = [x + r[c] for x, c in zip(sums.get(kind, (0, 0)), ("base_score", "score"))]
+    print("log10 probabilities, add-one and model:", sums)
+    assert len(sums) == 2 and all(model > base for base, model in sums.values())
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
