@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exchange import mapped, stored
@@ -117,7 +117,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, rates: tuple[float, fl
     levels: list[Level] = []
     while n := inside.count():
         level = _level(inside, n, rates[min(1, len(levels))], len(levels), max_bytes)
-        if level is None or len(levels) > 60:
+        if level is None:
             return None
         levels.append(level)
         sent = universe.sparkSession.sparkContext.broadcast(level)
@@ -143,37 +143,81 @@ def _keys(pages: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return pages.select("host", F.substring("path", 1, longest).alias("path")).distinct().transform(mapped, run, "key string").distinct()
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], blocked: Sequence[str] = (), max_bytes: int = 64 << 20) -> DataFrame:
+#: What a key can be listed as: a rule that blocks or allows, or a blocked host.
+LISTS = ("block", "allow", "host")
+
+
+def _listed(spark: SparkSession, rules: Sequence[Rule] | DataFrame, blocked: Sequence[str] | DataFrame) -> DataFrame:
+    """key and list of every listed key."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    if not isinstance(blocked, DataFrame):
+        blocked = spark.createDataFrame([(h,) for h in blocked], "host string")
+    nul = F.lit("\x00")
+    keys = rules.select(F.concat("host", nul, "path").alias("key"), F.col("verdict").alias("list"))
+    return keys.unionAll(blocked.select(F.concat("host", nul), F.lit("host"))).filter("key is not null").distinct()
+
+
+def _judged(keys: list[str], found: dict[str, str], hosts: set[str]) -> tuple[str | None, str]:
+    """Rule and verdict of a url by its keys, longest first; found: which of them are rules, and of what verdict."""
+    rule = next((k for k in keys if k in found), None)
+    if rule is not None:
+        return rule.replace("\x00", ""), found[rule]
+    return None, "block" if any(k in hosts for k in keys) else "allow"
+
+
+RESULT = "page_id bigint, host string, path string, rule string, verdict string"
+
+
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, blocked: Sequence[str] | DataFrame = (), max_bytes: int = 64 << 20) -> DataFrame:
     """page_id, host, path, rule (its text, else null) and verdict for every row.
 
     The longest rule that fits decides (host and path together; of equal ones that with the longer host). Without one, a host that is
-    listed in `blocked`, or lies under one that is, is blocked, any other allowed. rules and blocked are the caller's lists in memory.
-    Null urls and urls without :// have an empty host and path and are allowed; repeated rows give equal rows; an empty table gives an
-    empty one; other columns than page_id and url are not read.
+    listed in `blocked`, or lies under one that is, is blocked, any other allowed. rules (host, path, verdict) and blocked (host) are lists
+    or tables of any size. Three cascades, of blocking rules, allowing rules and hosts, are all that the tasks get of them; where a level of
+    one would take more than max_bytes, keys meet the lists by a join instead, with the same result. A key that is listed as blocking and
+    allowing at once blocks. Null urls and urls without :// have an empty host and path and are allowed; repeated rows give equal rows; an
+    empty table gives an empty one; other columns than page_id and url are not read.
     """
     spark = pages.sparkSession
-    rule_of = {f"{r.host}\x00{r.path}": (r.text, r.verdict) for r in rules}
-    listed_hosts = {f"{h}\x00" for h in blocked}
-    lengths = tuple(sorted({len(r.path) for r in rules} | {0}))
+    listed = stored(_listed(spark, rules, blocked))
+    # rules of equal path lengths share keys; there are no more lengths than the longest path has characters
+    found = listed.filter("list <> 'host'").select(F.length(F.substring_index("key", "\x00", -1)).alias("n")).distinct().collect()
+    lengths = tuple(sorted({r["n"] for r in found} | {0}))
     held = with_parts(pages.select("page_id", "url")).select("page_id", "host", "path")
-    listed = spark.createDataFrame([(k,) for k in sorted({*rule_of, *listed_hosts})], "key string")
-    cascade = build_cascade(stored(_keys(held, lengths)), listed, max_bytes=max_bytes)
-    sent = spark.sparkContext.broadcast((cascade, rule_of, listed_hosts))
+    universe = stored(_keys(held, lengths))
+    cascades = {x: build_cascade(universe, listed.filter(F.col("list") == x), max_bytes=max_bytes) for x in LISTS}
+    if None in cascades.values():
+        return _by_join(held, listed, lengths)
+    sent = spark.sparkContext.broadcast(cascades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member, rule_of, listed_hosts = sent.value
+        member, longest = sent.value, max(lengths)
         for batch in batches:
             pairs = list(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()))
-            longest = max(lengths)
             cut = [(h, p[:longest]) for h, p in pairs]
             asked = {pair: candidates(*pair, lengths) for pair in set(cut)}
             flat = sorted({k for ks in asked.values() for k in ks})
-            found = set(np.array(flat, object)[member.contains(flat)].tolist()) if member else {k for k in flat if k in rule_of or k in listed_hosts}
-            judged = {}
-            for pair, keys in asked.items():
-                hits = [k for k in keys if k in found]
-                rule = next((rule_of[k] for k in hits if k in rule_of), None)
-                judged[pair] = rule or (None, "block" if any(k in listed_hosts for k in hits) else "allow")
+            held_by = {x: {k for k, hit in zip(flat, member[x].contains(flat).tolist()) if hit} for x in LISTS}
+            rules = dict.fromkeys(held_by["allow"], "allow") | dict.fromkeys(held_by["block"], "block")
+            judged = {pair: _judged(keys, rules, held_by["host"]) for pair, keys in asked.items()}
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([judged[c][0] for c in cut], pa.string()), pa.array([judged[c][1] for c in cut], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return held.transform(mapped, run, "page_id bigint, host string, path string, rule string, verdict string")
+    return held.transform(mapped, run, RESULT)
+
+
+def _by_join(held: DataFrame, listed: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """The same without filters: the distinct hosts and beginnings of paths ask the lists for all their keys."""
+    longest = max(lengths)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, c, k, -rank) for h, c in zip(*(batch.column(x).to_pylist() for x in ("host", "cut"))) for rank, k in enumerate(candidates(h, c, lengths))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["host", "cut", "key", "rank"])
+
+    held = held.withColumn("cut", F.substring("path", 1, longest))
+    asked = held.select("host", "cut").distinct().transform(mapped, ask, "host string, cut string, key string, rank bigint").join(listed, "key")
+    rule = F.col("list") != "host"
+    best = asked.groupBy("host", "cut").agg(F.max(F.when(rule, F.struct("rank", "list", "key"))).alias("rule"), F.bool_or(~rule).alias("under"))
+    joined = held.join(best, ["host", "cut"], "left")
+    return joined.select("page_id", "host", "path", F.replace(F.col("rule.key"), F.lit("\x00"), F.lit("")).alias("rule"), F.coalesce("rule.list", F.when(F.col("under"), "block"), F.lit("allow")).alias("verdict"))
