@@ -63,7 +63,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_filter(table(spark, sf_dir, "documents")).drop("rejected_by")
+    return quality.quality_filter(table(spark, sf_dir, "documents"), measures=True)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
