@@ -40,7 +40,7 @@ CANDIDATE_RADIUS = 72
 #: Words of the fingerprints by which candidates are ruled out before they are verified, and deviations above the mean that they may reach.
 WIDE_WORDS, DEVIATIONS = 32, 3.7
 #: The share of pairs at a similarity of 0.8 that may agree under none of the masks, and how many strangers a fingerprint may meet under one.
-CANDIDATE_MISS, STRANGERS = 0.001, 16
+CANDIDATE_MISS, STRANGERS = 0.001, 64
 
 
 def strides(w: int) -> np.uint64:
@@ -376,9 +376,8 @@ def _portions(cut: np.ndarray, most: int = 1 << 12) -> Iterator[np.ndarray]:
         low = high
 
 
-def links(prints: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
-    """Links (a, b: fingerprints) that connect all fingerprints `fp`, each there once, that are within the radius and agree under one of the
-    masks at least, through others where need be."""
+def _sent(prints: DataFrame, masks: list[np.ndarray]) -> DataFrame:
+    """Packed fingerprints to the partitions of their values under each mask."""
     n, words = width(prints.sparkSession), len(masks[0])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,38 +389,104 @@ def links(prints: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
                 order = np.argsort(where, kind="stable")
                 edges = np.searchsorted(where[order], np.arange(n + 1))
                 for i in range(n):
-                    whole[i].append(fp[order[edges[i] : edges[i + 1]]].ravel())
-            some = [i for i in range(n) if any(len(x) for x in whole[i])]
-            if some:
-                yield packed_rows(some, [packed(whole[i]) for i in some])
+                    whole[i].append(order[edges[i] : edges[i + 1]].astype(np.uint32))
+            for i in range(n):  # each goes to a partition once, with the numbers of those under each mask
+                own = np.unique(np.concatenate(whole[i]))
+                if len(own):
+                    yield packed_rows([i], [packed([fp[own].ravel(), *(_narrow(np.searchsorted(own, x)) for x in whole[i])])])
+
+    return dealt(prints.select("fp").transform(mapped, send, PACKED_SCHEMA), n)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
+
+
+def _forests(batches: Iterator[pa.RecordBatch], radius: int, masks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of fingerprints: links of a spanning forest of those that are within the radius, under each value of each mask."""
+    words, parts, under, base = len(masks[0]), [], [[] for _ in masks], 0
+    for batch in batches:
+        for blob in batch.column("blob"):
+            fp, *mine = unpacked(blob.as_py())
+            parts.append(fp.reshape(-1, words))
+            for k, x in enumerate(mine):
+                under[k].append(x.astype(np.int64) + base)
+            base += len(parts[-1])
+    whole = np.concatenate(parts) if parts else np.zeros((0, words), U64)
+    for mask, at in zip(masks, under):
+        if not at:
+            continue
+        at = np.concatenate(at)
+        key = _folded(whole[at] & mask)
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        sizes = np.diff(np.append(runs(key), len(at)))
+        few = np.repeat((sizes > 1) & (sizes <= SMALL_GROUP), sizes)
+        small = whole[at[few]]
+        for x, y in small_forest(small, np.append(runs(key[few]), len(small)), radius):
+            yield small[x], small[y]
+        many = np.repeat(sizes > SMALL_GROUP, sizes)
+        at, key = at[many], key[many]
+        for edges in _portions(np.append(runs(key), len(at))):
+            own = whole[at[edges[0] : edges[-1]]]
+            a, b = forest(own, edges - edges[0], radius)
+            yield own[a], own[b]
+
+
+def links(prints: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
+    """Links (a, b: fingerprints) that connect all fingerprints `fp`, each there once, that are within the radius and agree under one of the
+    masks at least, through others where need be."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[] for _ in masks]
-        for batch in batches:
-            for blob in batch.column("blob"):
-                for k, fp in enumerate(unpacked(blob.as_py())):
-                    parts[k].append(fp.reshape(-1, words))
-        for mask, part in zip(masks, parts):
-            if not part:
-                continue
-            fp = np.concatenate(part)
-            key = _folded(fp & mask)
-            order = np.argsort(key)
-            fp, key = fp[order], key[order]
-            sizes = np.diff(np.append(runs(key), len(fp)))
-            few = np.repeat((sizes > 1) & (sizes <= SMALL_GROUP), sizes)
-            small = fp[few]
-            for x, y in small_forest(small, np.append(runs(key[few]), len(small)), radius):
-                yield pa.RecordBatch.from_arrays([_column(small[x]), _column(small[y])], ["a", "b"])
-            many = np.repeat(sizes > SMALL_GROUP, sizes)
-            fp, key = fp[many], key[many]
-            for edges in _portions(np.append(runs(key), len(fp))):
-                own = fp[edges[0] : edges[-1]]
-                a, b = forest(own, edges - edges[0], radius)
-                yield pa.RecordBatch.from_arrays([_column(own[x]) for x in (a, b)], ["a", "b"])
-
-    kind = _kind(words)
-    return dealt(prints.select("fp").transform(mapped, send, PACKED_SCHEMA), n).transform(mapped, compare, f"a {kind}, b {kind}").distinct()
+        for a, b in _forests(batches, radius, masks):
+            yield pa.RecordBatch.from_arrays([_column(a), _column(b)], ["a", "b"])
+
+    kind = _kind(len(masks[0]))
+    return _sent(prints, masks).transform(mapped, compare, f"a {kind}, b {kind}").distinct()
+
+
+def once(frame: DataFrame, names: list[tuple[str, int]]) -> DataFrame:
+    """Rows of words that come packed from many tasks, each once: columns by their names and numbers of words."""
+    words, n = sum(k for _, k in names), width(frame.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpacked(blob.as_py())[0].reshape(-1, words) for batch in batches for blob in batch.column("blob")]
+        if parts:
+            rows, at, columns = np.unique(np.concatenate(parts), axis=0), 0, []
+            for _, k in names:
+                columns.append(_bytes(rows[:, at : at + k]))
+                at += k
+            yield pa.RecordBatch.from_arrays(columns, [c for c, _ in names])
+
+    return dealt(frame, n).transform(mapped, run, ", ".join(f"{c} binary" for c, _ in names))
+
+
+def _addressed(rows: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows of words, each of them once, to partitions by their hash."""
+    rows = np.unique(rows, axis=0)
+    where = ((_folded(rows) >> U64(40)) % U64(n)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    edges = np.searchsorted(where[order], np.arange(n + 1))
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        yield packed_rows([i], [packed([rows[order[edges[i] : edges[i + 1]]].ravel()])])
+
+
+def touched(prints: DataFrame, radius: int, masks: list[np.ndarray]) -> DataFrame:
+    """The fingerprints `fp`, each there once, that have another one within the radius that agrees under one of the masks."""
+    n, words = width(prints.sparkSession), len(masks[0])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for pair in _forests(batches, radius, masks):
+            found += pair
+            held += len(pair[0])
+            if held > 1 << 18:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+        if found:
+            yield from _addressed(np.concatenate(found), n)
+
+    return once(_sent(prints, masks).transform(mapped, compare, PACKED_SCHEMA), [("fp", words)])
 
 
 def fingerprinted(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
@@ -569,8 +634,8 @@ def candidates(prints: np.ndarray, wide: np.ndarray, size: np.ndarray, label: np
 
 
 def _proposed(members: DataFrame, masks: list[np.ndarray], radius: int, similarity: float, most: int) -> DataFrame:
-    """Pairs (a, b: sigs) to verify next: under each value of each mask, of each label the `most` nearest pairs with another one. A row of
-    nulls says that pairs were left out."""
+    """Pairs (a, b: sigs) to verify next: under each value of each mask, of each label the `most` nearest pairs with another one. A pair of
+    equal ones says that some were left out."""
     n, words = width(members.sparkSession), len(masks[0])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -620,11 +685,13 @@ def _proposed(members: DataFrame, masks: list[np.ndarray], radius: int, similari
             left_out |= more
             found.append(np.stack([np.minimum(at[a], at[b]), np.maximum(at[a], at[b])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        x, y = _bytes(sig[pairs[:, 0]]), _bytes(sig[pairs[:, 1]])
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c, pa.nulls(int(left_out), pa.binary())]) for c in (x, y)], ["a", "b"])
+        x, y = sig[pairs[:, 0]], sig[pairs[:, 1]]
+        ahead = (x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1]))
+        both = np.where(ahead[:, None], np.concatenate([x, y], 1), np.concatenate([y, x], 1))
+        yield from _addressed(np.concatenate([both, np.zeros((int(left_out), 4), U64)]), n)
 
-    found = dealt(members.select("fp", "wide", "sig", "label", "size").transform(mapped, send, PACKED_SCHEMA), n).transform(mapped, compare, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = dealt(members.select("fp", "wide", "sig", "label", "size").transform(mapped, send, PACKED_SCHEMA), n).transform(mapped, compare, PACKED_SCHEMA)
+    return once(found, [("a", 2), ("b", 2)])
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = CANDIDATE_RADIUS, masks: list[np.ndarray] | None = None) -> DataFrame:
@@ -651,20 +718,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     nodes = stored(prints.groupBy("sig", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("row"), F.min("size").alias("size")))
     first = stored(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
     masks = growing_tables(first.count(), words, similarity) if masks is None else masks
-    loose = stored(links(first, radius, masks))
-    touched = loose.select(F.col("a").alias("fp")).unionAll(loose.select(F.col("b").alias("fp"))).unionAll(first.filter("n > 1").select("fp")).distinct()
-    active = stored(nodes.join(touched, "fp", "left_semi").select("sig", "fp", "size", "row"))
+    near_ones = touched(first, radius, masks).unionAll(first.filter("n > 1").select("fp")).distinct()
+    active = stored(nodes.join(near_ones, "fp", "left_semi").select("sig", "fp", "size", "row"))
     one = active.groupBy("sig").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
     sets = stored(_sets(keyed.join(one, keyed["doc_id"].eqNullSafe(F.col("_id")) & keyed["key"].eqNullSafe(F.col("_key")), "left_semi"), shingle).dropDuplicates(["sig"]))
     members = stored(active.join(sets.select("sig", "wide"), "sig").select("sig", "fp", "wide", "size", F.col("sig").alias("label")))
     tested, most = None, 2
     while True:
         asked = stored(_proposed(members, masks, radius, similarity, most))
-        fresh = asked.filter("a is not null")
+        fresh = asked.filter("a <> b")
         fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
         found = stored(_verified(fresh, sets, similarity))
         tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
-        if found.first() is None and asked.filter("a is null").first() is None:
+        if found.first() is None and asked.filter("a = b").first() is None:
             break
         labels = members.select("sig", "label").distinct()
         joined = found.filter("same").join(labels.select(F.col("sig").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("sig").alias("b"), F.col("label").alias("y")), "b")
