@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import bucket_of, dealt, mapped, packed, stored, unpacked, width
+from .exchange import bucket_of, dealt, mapped, packed, runs, stored, unpacked, width
 from .text import LOWER, SPACE, buffer, mixed, slices, span_hashes, spans
 
 U64 = np.uint64
@@ -169,10 +170,12 @@ def _tokens(piece: pa.RecordBatch) -> tuple:
 
 def _unique(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by word, and the sorted places where words begin."""
-    order = np.lexsort((check, key))
-    key, check = key[order], check[order]
+    order = np.argsort(key)
     word = np.ones(len(key), bool)
-    word[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    word[1:] = key[order[1:]] != key[order[:-1]]
+    if (~word[1:] & (check[order[1:]] != check[order[:-1]])).any():  # two words of one key
+        order = np.lexsort((check, key))
+        word[1:] = (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
     return order, np.flatnonzero(word)
 
 
@@ -186,7 +189,7 @@ CONTEXTS = 1 << 16
 #: A word is spread over tasks if it holds more than one in so many tokens; there are no more of them than that.
 HOT_SHARE = 4096
 #: Entries of a cell at most, unless one word has more.
-CELL_ENTRIES = 1 << 20
+CELL_ENTRIES = 1 << 18
 
 
 def hot_words(docs: DataFrame) -> np.ndarray:
@@ -196,8 +199,10 @@ def hot_words(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
                 data, starts, ends, _ = _tokens(piece)
-                keys, counts = np.unique(span_hashes(data, starts, ends), return_counts=True)
-                total = len(starts) + piece.num_rows
+                keys, total = span_hashes(data, starts, ends), len(starts) + piece.num_rows
+                place = (keys >> U64(44)).astype(np.int64)
+                few = np.bincount(place, minlength=1 << 20) * 2 * HOT_SHARE <= total
+                keys, counts = np.unique(keys[~few[place]], return_counts=True)  # of those alone whose place holds that many
                 many = counts * 2 * HOT_SHARE > total
                 keys = np.append(keys[many], _hashed(data, np.zeros(1, np.int64), np.zeros(1, np.int64))[0])  # the end token
                 yield pa.RecordBatch.from_arrays([pa.array([*keys.view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), piece.num_rows, total], pa.int64())], ["key", "n"])
@@ -220,6 +225,14 @@ def _rank(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 _ASKED = "bucket int, kind tinyint, blob binary"
 
 
+def _pressed(arrays: list[np.ndarray]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(packed(arrays))
+
+
+def _unpressed(blob: bytes) -> list[np.ndarray]:
+    return unpacked(zstandard.ZstdDecompressor().decompress(blob))
+
+
 def _flat(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes of spans, one after another."""
     return data[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
@@ -250,18 +263,21 @@ def asked(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
                 entry, times = np.unique((word << 40) | (context << 24) | doc, return_counts=True)
                 word, context, doc = entry >> 40, (entry >> 24) & (CONTEXTS - 1), entry & ((1 << 24) - 1)
                 some = order[head]
-                key, check, begin, sizes = key[some], check[some], begin[some], (stop - begin)[some]
+                key, begin, sizes = key[some], begin[some], (stop - begin)[some]
                 spread = _rank(hot, key)[word] >= 0
                 where = bucket_of(np.where(spread, mixed(key[word] + mixed(context.astype(U64))), key[word]), n)
+                where = where.astype(np.uint16 if n <= 1 << 16 else np.uint32)
                 order = np.argsort(where, kind="stable")
                 edges = np.searchsorted(where[order], np.arange(n + 1))
                 kinds, buckets, blobs, flags = [], [], [], np.packbits(learned)
                 for i in np.flatnonzero(np.diff(edges)).tolist():
                     e = order[edges[i] : edges[i + 1]]
-                    w, many = np.unique(word[e], return_counts=True)
+                    w = word[e]  # in order
+                    cut = runs(w)
+                    w, many = w[cut], np.diff(np.append(cut, len(w)))
                     kinds.append(0)
                     buckets.append(i)
-                    blobs.append(packed([key[w], check[w], _narrow(sizes[w]), _flat(data, begin[w], sizes[w]), _narrow(many), context[e].astype(np.uint16), _narrow(doc[e]), _narrow(times[e]), flags, number[:1]]))
+                    blobs.append(_pressed([key[w], _narrow(sizes[w]), _flat(data, begin[w], sizes[w]), _narrow(many), context[e].astype(np.uint16), _narrow(doc[e]), _narrow(times[e]), flags, number[:1]]))
                 ids = np.asarray(piece.column("doc_id").fill_null(0), dtype=np.int64)
                 null = np.asarray(piece.column("doc_id").is_null())
                 home = number % n
@@ -285,41 +301,45 @@ def cells(sent: DataFrame, n: int) -> DataFrame:
                 if kind:
                     yield _row(bucket, 1, blob.as_py())
                 else:
-                    parts.append(unpacked(blob.as_py()))
+                    parts.append(_unpressed(blob.as_py()))
                     own = bucket
         if not parts:
             return
-        parts.sort(key=lambda x: int(x[9][0]))  # whatever the order of arrival
-        key, check, sizes = (np.concatenate([x[i] for x in parts]) for i in range(3))
-        sizes = sizes.astype(np.int64)
-        data, starts = np.concatenate([x[3] for x in parts]), np.cumsum(sizes) - sizes
-        order, head = _unique(key, check)
+        parts.sort(key=lambda x: int(x[8][0]))  # whatever the order of arrival
+        key, sizes = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]).astype(np.int64)
+        data, ends = np.concatenate([x[2] for x in parts]), np.cumsum(sizes)
+        starts = ends - sizes
+        order, head = _unique(key, span_hashes(data, starts, ends, 1))
         number = np.empty(len(key), np.int64)
         number[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
-        word = np.repeat(number, np.concatenate([x[4] for x in parts]).astype(np.int64))
-        context, doc, times = (np.concatenate([x[i] for x in parts]).astype(np.int64) for i in (5, 6, 7))
-        learned = np.concatenate([np.unpackbits(x[8])[x[6].astype(np.int64)] for x in parts])
-        piece = np.repeat(np.arange(len(parts)), [len(x[6]) for x in parts])
-        bases = np.array([x[9][0] for x in parts])
+        word = np.repeat(number.astype(np.uint32), np.concatenate([x[3] for x in parts]).astype(np.int64))
+        # word, context, and the place of arrival, in one number that sorts them
+        place = (word.astype(U64) << U64(16)) | np.concatenate([x[4] for x in parts]).astype(U64)
+        order_of = np.argsort(place, kind="stable")
+        word, context = (place[order_of] >> U64(16)).astype(np.uint32), (place[order_of] & U64(0xFFFF)).astype(np.uint16)
+        del place
+        piece = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(x[5]) for x in parts])[order_of]
+        learned = np.concatenate([np.unpackbits(x[7])[x[5]] for x in parts])[order_of]
+        doc, times = (_narrow(np.concatenate([x[i].astype(np.uint32) for x in parts]))[order_of] for i in (5, 6))
+        bases = np.array([x[8][0] for x in parts])
         parts.clear()
-        order_of = np.lexsort((context, word))
-        word, context, doc, times, learned, piece = (x[order_of] for x in (word, context, doc, times, learned, piece))
+        del order_of
         some = order[head]
-        key, check, sizes, starts = key[some], check[some], sizes[some], starts[some]
+        key, sizes, starts = key[some], sizes[some], starts[some]
         ends = np.searchsorted(word, np.arange(len(some)), "right")
         low = 0
         while low < len(some):
             base = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, base + CELL_ENTRIES, "right")))
             e = slice(base, ends[high - 1])
-            w, c = word[e] - low, context[e]
+            w, c = word[e].astype(np.int64) - low, context[e]
             new = np.ones(len(w), bool)
             new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
             at = np.flatnonzero(new)
-            customers = np.add.reduceat(times[e] * learned[e], at)
+            customers = np.add.reduceat(times[e].astype(np.int64) * learned[e], at)
             own_sizes = sizes[low:high]
-            yield _row(own, 0, packed([
-                np.array([own, low]), key[low:high], _narrow(own_sizes), _flat(data, starts[low:high], own_sizes), _narrow(np.bincount(w[at], minlength=high - low)), c[at].astype(np.uint16), _narrow(customers), _narrow(np.diff(np.append(at, len(w)))),
+            yield _row(own, 0, _pressed([
+                np.array([own, low]), key[low:high], _narrow(own_sizes), _flat(data, starts[low:high], own_sizes), _narrow(np.bincount(w[at], minlength=high - low)), c[at], _narrow(customers), _narrow(np.diff(np.append(at, len(w)))),
                 _narrow(piece[e]), _narrow(doc[e]), _narrow(times[e]), bases,
             ]))
             low = high
@@ -359,7 +379,7 @@ class Cell:
     """Words of one owner: w and k are the word and context of each pair that occurs, c its training customers."""
 
     def __init__(self, blob: bytes, model: Model | None = None, hot: np.ndarray | None = None):
-        self.name, self.key, sizes, self.data, pairs, self.k, c, self.entries, self.piece, self.doc, self.times, self.bases = unpacked(blob)
+        self.name, self.key, sizes, self.data, pairs, self.k, c, self.entries, self.piece, self.doc, self.times, self.bases = _unpressed(blob)
         sizes = sizes.astype(np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
@@ -375,10 +395,12 @@ class Cell:
         code, begin = codes(self.data, self.starts, self.ends)
         return 10.0 ** np.add.reduceat(log10[code], begin[:-1], dtype=np.float64)
 
-    def code_counts(self, weight: np.ndarray) -> np.ndarray:
-        """How often each (context, byte) is spelled, words weighing as given."""
+    def code_counts(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each (context, byte) is spelled, words weighing as given: the numbers of those that are, and how often."""
         code, begin = codes(self.data, self.starts, self.ends)
-        return np.bincount(code, np.repeat(weight, np.diff(begin)), 1 << 23)
+        total = np.bincount(code, np.repeat(weight, np.diff(begin)))
+        some = np.flatnonzero(total)
+        return some, total[some].astype(np.float32)
 
     def words(self, customers: np.ndarray, tables: np.ndarray, t: Totals, spelled: np.ndarray) -> np.ndarray:
         """Probability of each word alone."""
@@ -406,14 +428,21 @@ class Cell:
 
 
 def _summed(table: DataFrame, work, n: int) -> list[np.ndarray]:
-    """Sums of the arrays that `work` makes of a cell, over all cells: long ones are cut into n parts that are summed apart."""
+    """Sums of the arrays that `work` makes of a cell, over all cells: long ones are cut into n parts that are summed apart. A pair of places
+    and values stands for an array of 2^23."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for blob in batch.column("blob"):
                 found = work(blob.as_py())
-                total = found if total is None else [x + y for x, y in zip(total, found)]
+                if total is None:
+                    total = [np.zeros(1 << 23, np.float32) if isinstance(x, tuple) else np.zeros(len(x)) for x in found]
+                for x, y in zip(total, found):
+                    if isinstance(y, tuple):
+                        x[y[0]] += y[1]
+                    else:
+                        x += y
         if total is not None:
             for i in range(n):
                 part = [x[len(x) * i // n : len(x) * (i + 1) // n] for x in total]
@@ -505,6 +534,25 @@ def predictive(x: Cell) -> np.ndarray:
     return out / max(1, len(m.sweeps) - 1 - m.burn_in)
 
 
+def _by_document(found: list[tuple]) -> tuple:
+    """Sums of the same document's parts."""
+    number, *sums = (np.concatenate(x) for x in zip(*found))
+    number, same = np.unique(number, return_inverse=True)
+    return number, *(np.bincount(same, x, len(number)) for x in sums)
+
+
+def _answers(found: tuple, n: int) -> Iterator[pa.RecordBatch]:
+    """Parts of documents to their homes."""
+    number, base_log, score_log, known = found
+    home = number % n
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(n + 1))
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        d = order[edges[i] : edges[i + 1]]
+        base = number[d].min()
+        yield _row(i, 2, packed([_narrow(number[d] - base), base_log[d], score_log[d].astype(np.float32), _narrow(known[d].astype(np.int64)), np.array([base])]))
+
+
 def score(docs: DataFrame, held=None, **settings) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, vocabulary, base_score (add-one unigrams) and score (log10 probability) of every document.
 
@@ -522,27 +570,29 @@ def score(docs: DataFrame, held=None, **settings) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's share of the logarithms. Kind 1 passes through, kind 2: number, logarithms and known tokens of documents."""
+        m, found, held = sent.value, [], 0
         for batch in batches:
             for kind, bucket, blob in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob")):
                 if kind:
                     yield _row(bucket, 1, blob.as_py())
                     continue
-                x, m = Cell(blob.as_py(), sent.value), sent.value
+                x = Cell(blob.as_py(), m)
                 total = x.count.astype(np.float64)
                 total[~x.cold] = m.hot_counts[x.hot[~x.cold]]
                 pair = np.repeat(np.arange(len(x.c)), x.entries)
                 times, word = x.times.astype(np.float64), x.w[pair]
-                number = x.bases[x.piece] + x.doc
-                number, doc = np.unique(number, return_inverse=True)
+                number, doc = np.unique(x.bases[x.piece] + x.doc, return_inverse=True)
                 logs = np.log10(np.maximum(predictive(x), 1e-300))
-                sums = [np.bincount(doc, times * y, len(number)) for y in (np.log10(total + 1)[word], logs[pair], (total > 0)[word])]
-                home = number % n
-                order = np.argsort(home, kind="stable")
-                edges = np.searchsorted(home[order], np.arange(n + 1))
-                for i in np.flatnonzero(np.diff(edges)):
-                    d = order[edges[i] : edges[i + 1]]
-                    base = number[d].min()
-                    yield _row(int(i), 2, packed([_narrow(number[d] - base), sums[0][d].astype(np.float64), sums[1][d].astype(np.float32), _narrow(sums[2][d].astype(np.int64)), np.array([base])]))
+                found.append((number, *(np.bincount(doc, times * y, len(number)) for y in (np.log10(total + 1)[word], logs[pair], (total > 0)[word]))))
+                held += len(number)
+                if held > 1 << 21:
+                    found = [_by_document(found)]
+                    if len(found[0][0]) > 1 << 20:
+                        yield from _answers(found[0], n)
+                        found = []
+                    held = len(found[0][0]) if found else 0
+        if found:
+            yield from _answers(_by_document(found), n)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_, parts = [], []
