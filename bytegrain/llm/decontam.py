@@ -1,8 +1,11 @@
-"""Benchmark decontamination by one Aho-Corasick automaton over the normalised windows of all items."""
+"""Benchmark decontamination by one Aho-Corasick automaton over the normalised windows of all items.
+
+Texts are read once. A benchmark that is too large for one automaton is cut into blocks of items, which lie in the shared folder; a task then
+holds some of its texts and scans them by one block's automaton after another, so neither the driver nor a task ever holds all items.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -10,10 +13,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import mapped
+from .exchange import dealt, mapped, shared_folder
 from .text import LOWER, buffer, byte_set, covered, slices, spans
 
 #: Bytes outside words; words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased.
@@ -75,73 +80,81 @@ class Scanner:
         return np.searchsorted(at, begin), n, k, starts, first
 
 
-_SCANNERS: dict[str, Scanner] = {}
-
-
-def scanner(sent, name: str, size: int) -> Scanner:
-    """This worker's automaton for a broadcast list of items, built once."""
-    if name not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[name] = Scanner(sent.value, size)
-    return _SCANNERS[name]
+#: Bytes of items in an automaton, whose nodes take some hundred times as much, and of texts that a task holds while it changes automata.
+BLOCK_BYTES, HELD_BYTES = 1 << 20, 64 << 20
+
+
+class Blocks:
+    """The items in blocks, written to the shared folder: for tasks, which read them one at a time. One block alone stays as it is built."""
+
+    _kept: dict[str, Scanner] = {}
+
+    def __init__(self, benchmark: DataFrame, size: int, block_bytes: int):
+        known = benchmark.select("item_id", "text").filter("text is not null")
+        total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.number, self.size, self.path = max(1, -(-total // block_bytes)), size, shared_folder(benchmark.sparkSession)
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.number)).cast("int")
+        by_block = known.select(block.alias("bucket"), F.col("item_id").cast("string").alias("item_id"), "text")
+        dealt(by_block, self.number).write.partitionBy("bucket").parquet(self.path)
+
+    def scanner(self, k: int) -> Scanner:
+        name = f"{self.path}/{k}"
+        if name not in self._kept:
+            store, root = pafs.FileSystem.from_uri(self.path)
+            found = store.get_file_info(pafs.FileSelector(f"{root}/bucket={k}", allow_not_found=True))
+            rows = [r for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith(".parquet") for r in pq.read_table(store.open_input_file(f.path), columns=["item_id", "text"]).to_pylist()]
+            self._kept.clear()
+            self._kept[name] = Scanner([(r["item_id"], r["text"]) for r in rows], self.size)
+        return self._kept[name]
+
+    def scanned(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        """Each piece of texts with what every block's automaton finds in it (that, and the automaton)."""
+        held: list[pa.RecordBatch] = []
+        for piece in (p for batch in batches for p in slices(batch, "text", 1 << 20)):
+            held.append(piece)
+            if self.number == 1 or sum(p.nbytes for p in held) >= HELD_BYTES:
+                yield from self._through(held)
+                held = []
+        yield from self._through(held)
+
+    def _through(self, held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        found: list[list[tuple]] = [[] for _ in held]
+        for k in range(self.number if held else 0):
+            scanner = self.scanner(k)
+            for piece, own in zip(held, found):
+                begin, n, which, starts, first = scanner.scan(*buffer(piece.column("text")))
+                owner = np.searchsorted(first, begin, "right") - 1
+                items = {(d, i) for d, w in set(zip(owner.tolist(), which.tolist())) for i in scanner.items[scanner.windows[w]]}
+                own.append((begin, n, items, len(starts), first))
+        yield from zip(held, found)
 
 
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (code points of the original text that windows cover, merged).
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (code points of the original text: the runs of words that windows cover).
 
-    block_bytes: benchmark text of one automaton; a larger benchmark is scanned in blocks of items and the findings are merged by document.
-    Null texts have no words; an empty benchmark finds nothing; items with equal windows are all named; repeated documents give repeated rows.
-    Other columns of either table are not read.
+    block_bytes: benchmark text of one automaton; the result does not depend on it. Null texts have no words; an empty benchmark finds
+    nothing; items with equal windows are all named; items without words are never found; repeated documents give repeated rows, an empty
+    table an empty one. Other columns of either table are not read.
     """
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        return _scanned(docs.select("doc_id", "text"), blocks[0], size)
-    rowed = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    parts = [_scanned(rowed, block, size, row=True) for block in blocks]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    merged = whole.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("words")).alias("words"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return merged.select("doc_id", "n_words", F.size(F.array_distinct("words")).cast("bigint").alias("n_hit"), "items", F.array_sort("spans").alias("spans"))
-
-
-def _sent(items: DataFrame, size: int) -> tuple:
-    """A block of items for the tasks, and a name for the automaton that is built of it."""
-    rows = [(r[0], r[1]) for r in items.collect()]
-    return items.sparkSession.sparkContext.broadcast(rows), f"{size}/{hashlib.sha1(repr(rows).encode()).hexdigest()}"
-
-
-def _scanned(docs: DataFrame, items: DataFrame, size: int, row: bool = False) -> DataFrame:
-    sent, name = _sent(items, size)
+    blocks = Blocks(benchmark, size, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = scanner(sent, name, size)
-        for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
-                data, offsets = buffer(piece.column("text"))
-                begin, n, k, starts, first = found.scan(data, offsets)
-                n_words = np.diff(first)
-                hit = covered(len(starts), begin, n)
-                n_hit = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = n_hit[first[1:]] - n_hit[first[:-1]]
-                owner = np.searchsorted(first, begin, "right") - 1
-                items_of: dict[int, set] = defaultdict(set)
-                for d, w in set(zip(owner.tolist(), k.tolist())):
-                    items_of[d] |= found.items[found.windows[w]]
-                items, places, words = [], [], []
-                for d in range(piece.num_rows):
-                    items.append(sorted(str(x) for x in items_of.get(d, ())))
-                    own = hit[first[d] : first[d + 1]] if n_hit[d] else []
-                    places.append(_places(piece.column("text")[d].as_py(), own) if n_hit[d] else [])
-                    words.append(np.flatnonzero(own).tolist() if row and n_hit[d] else [])
-                columns = [piece.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                more = [pa.array(words, pa.list_(pa.int64())), piece.column("_row")] if row else []
-                yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "n_words", "n_hit", "items", "spans", *(["words", "_row"] if row else [])])
-
-    return docs.transform(mapped, run, RESULT + (", words array<bigint>, _row bigint" if row else ""))
+        for piece, found in blocks.scanned(batches):
+            n, first = found[0][3:]
+            hit = covered(n, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+            n_hit = np.concatenate([[0], np.cumsum(hit)])
+            n_hit = n_hit[first[1:]] - n_hit[first[:-1]]
+            items: list[list[str]] = [[] for _ in range(piece.num_rows)]
+            for d, i in sorted(set().union(*(f[2] for f in found))):
+                items[d].append(i)
+            spans = [_places(piece.column("text")[d].as_py(), hit[first[d] : first[d + 1]]) if n_hit[d] else [] for d in range(piece.num_rows)]
+            columns = [piece.column("doc_id"), pa.array(np.diff(first)), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    return docs.select("doc_id", "text").transform(mapped, run, RESULT)
 
 
 def _places(text: str, hit: np.ndarray) -> list[dict]:
@@ -157,30 +170,18 @@ def _places(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    known = benchmark.select("item_id", "text").filter("text is not null")
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    return [known if n == 1 else known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
-
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with all their columns, whatever their names; no shuffle.
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with all their columns; no shuffle."""
-    for block in _blocks(benchmark, block_bytes):
-        docs = _clean(docs, block, size)
-    return docs
-
-
-def _clean(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    sent, name = _sent(items, size)
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark keeps all, an empty table is empty.
+    """
+    blocks = Blocks(benchmark, size, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = scanner(sent, name, size)
-        for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
-                begin, _, _, _, first = found.scan(*buffer(piece.column("text")))
-                clean = np.ones(piece.num_rows, bool)
+        for piece, found in blocks.scanned(batches):
+            clean = np.ones(piece.num_rows, bool)
+            for begin, _, _, _, first in found:
                 clean[np.searchsorted(first, begin, "right") - 1] = False
-                yield piece.filter(pa.array(clean))
+            yield piece.filter(pa.array(clean))
 
     return docs.transform(mapped, run, docs.schema)

@@ -28,7 +28,7 @@ BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """frame.mapInArrow with batches of bounded bytes (unless the session has a limit of its own); a worker gives memory back after each task,
     so that idle workers of one stage do not take the room of the next."""
     spark = frame.sparkSession
