@@ -56,7 +56,20 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{root.rstrip('/')}/bytegrain-{uuid.uuid4().hex}"
+    MADE.append(f"{root.rstrip('/')}/bytegrain-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+#: Folders that this process has made, oldest first.
+MADE: list[str] = []
+
+
+def forget(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the folders made after the first `since` ones, but those to keep: for a caller whose result has been written elsewhere."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for folder in [f for f in MADE[since:] if f not in keep]:
+        path(folder).getFileSystem(conf).delete(path(folder), True)
+        MADE.remove(folder)
 
 
 def stored(frame: DataFrame) -> DataFrame:

@@ -103,20 +103,19 @@ def machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 300)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, learn, max_rows: int = 3000) -> Model:
-    """Learns from the rows of `docs` where the column `learn` holds and lang and text are not null.
+def fit(docs: DataFrame, learn, max_rows: int = 3000, max_langs: int = 150) -> Model:
+    """Learns from the rows of `docs` where the column `learn` holds and lang and text are not null; other columns than doc_id, text and lang
+    are not read. An empty table, or one without a language, gives a model that knows none.
 
     max_rows: at most so many rows (about; half as many again by the chance of hashes) reach the driver, equal numbers of each language,
-    chosen by a hash of doc_id; this bounds what the driver holds to 8 kB a row.
+    chosen by a hash of doc_id; this bounds what the driver holds to 8 kB a row. max_langs: the languages of most rows that are learned.
     """
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_of = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    n_of = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not n_of:
         return Model([], [], np.zeros((DIMENSIONS, 0)), np.zeros(0))
     each = max(20, max_rows // len(n_of))
-    share = F.lit(0.0)
-    for lang, n in n_of.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in n_of], "lang string, share double")
     chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +128,7 @@ def fit(docs: DataFrame, learn, max_rows: int = 3000) -> Model:
                     rows.append(x.astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("doc_id"), pa.array(rows, pa.binary())], ["lang", "doc_id", "x"])
 
-    got = known.filter(chance < share).select("lang", "doc_id", "text").transform(mapped, run, "lang string, doc_id bigint, x binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    got = known.join(F.broadcast(shares), "lang").filter(chance < F.col("share")).select("lang", "doc_id", "text").transform(mapped, run, "lang string, doc_id bigint, x binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     lang = np.array(got.column("lang").to_pylist())
     scale = 1 / (x.std(0) + 1e-4)
