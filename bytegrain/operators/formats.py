@@ -166,7 +166,7 @@ def tiff() -> N.Format:
 
 
 def elf() -> N.Format:
-    """Identification and header of either class and byte order, then the program and section headers at their offsets."""
+    """Identification and header of either class and byte order, then the program and section headers at their offsets, and each section's contents."""
 
     def body(order: str, wide: bool) -> N.Format:
         half, word, addr = C.number("u16", order), C.number("u32", order), C.number("u64" if wide else "u32", order)
@@ -174,11 +174,15 @@ def elf() -> N.Format:
         header = [("ident", ident), ("type", half), ("machine", half), ("version", word), ("entry", addr), ("phoff", addr), ("shoff", addr), ("flags", word), *((k, half) for k in ("ehsize", "phentsize", "phnum", "shentsize", "shnum", "shstrndx"))]
         ph = [("type", word), ("flags", word), *((k, addr) for k in ("offset", "vaddr", "paddr", "filesz", "memsz", "align"))] if wide else [("type", word), *((k, addr) for k in ("offset", "vaddr", "paddr", "filesz", "memsz")), ("flags", word), ("align", addr)]
         sh = [("name", word), ("type", word), ("flags", addr), ("addr", addr), ("offset", addr), ("size", addr), ("link", word), ("info", word), ("addralign", addr), ("entsize", addr)]
-        h = V("header")
+        h, s = V("header"), V("_h")
+        held = N.LiftedOption(C.with_relative_offset(0, s["offset"], C.slice_of(s["size"], C.opaque_bytes())))
+        # sections without contents in the file: those of type 0 and 8
+        contents = N.Match(X.either(s["type"].eq(0), s["type"].eq(8)), ((P.boolean(True), N.LiftedOption(None)), (P.boolean(False), held)))
         return C.record(
             ("header", C.record(*header)),
             ("program-headers", C.cond_maybe(h["phoff"].ne(0), C.with_relative_offset(0, h["phoff"], C.repeat_count(h["phnum"], C.record(*ph))))),
             ("section-headers", C.cond_maybe(h["shoff"].ne(0), C.with_relative_offset(0, h["shoff"], C.repeat_count(h["shnum"], C.record(*sh))))),
+            ("sections", N.Match(V("section-headers"), ((P.absent(), C.compute(X.seq_of())), (P.present(P.binding("_headers")), C.for_each(V("_headers"), "_h", contents))))),
             ("__rest", N.SkipRemainder()),
         )
 
