@@ -87,6 +87,58 @@ def unused(frame: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of a sieve at most: 16 MB. With more keys than it has room for it lets more pass, and what follows has more to do.
+SIEVE_BITS = 1 << 27
+
+
+class Sieve:
+    """A Bloom filter over 64-bit hashes: lets all of its keys pass, and few others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(hashes: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([(hashes >> np.uint64(s)) & np.uint64(size - 1) for s in (0, 16, 32, 37)], 1).astype(np.int64)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.places(hashes, 64 * len(self.bits))
+        return ((self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
+
+
+def sieve(keys: DataFrame) -> Sieve:
+    """A sieve over the only column of keys, 64-bit hashes. Tasks send words of bits; the driver gets SIEVE_BITS at most."""
+    name, size = keys.columns[0], 1 << 12
+    n = keys.count()
+    while size < 16 * n and size < SIEVE_BITS:
+        size <<= 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(Sieve.places(np.asarray(batch.column(0), dtype=np.int64).view(np.uint64), size))
+            cut = runs(at >> 6)
+            masks = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), cut) if len(cut) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(at[cut] >> 6), pa.array(masks.view(np.int64))], ["word", "mask"])
+
+    got = keys.filter(F.col(name).isNotNull()).transform(mapped, run, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[np.asarray(got.column("word"), dtype=np.int64)] = np.asarray(got.column("mask"), dtype=np.int64)
+    return Sieve(bits.view(np.uint64))
+
+
+def sifted(frame: DataFrame, key, by: Sieve, inside: bool = True) -> DataFrame:
+    """The rows whose key (a column of 64-bit hashes) passes the sieve, or those whose key does not; no shuffle."""
+    sent, name = frame.sparkSession.sparkContext.broadcast(by), unused(frame, "_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column(batch.num_columns - 1), dtype=np.int64).view(np.uint64)
+            kept = sent.value.passes(keys) == inside
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(kept))
+
+    return frame.withColumn(name, key).transform(mapped, run, frame.schema)
+
+
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Partition of each hash, by its high bits."""
     return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import PACKED_SCHEMA, dealt, mapped, packed, packed_rows, runs, stored, unpacked, unused, width
+from .exchange import PACKED_SCHEMA, dealt, mapped, packed, packed_rows, runs, sieve, sifted, stored, unpacked, unused, width
 from .text import LOWER, SPACE, buffer, mixed, slices, spans
 
 U64 = np.uint64
@@ -38,7 +38,7 @@ WIDE_RADIUS = 45
 #: bits), 5.7 above that of large ones (39), so that the radius itself loses no pair to speak of.
 CANDIDATE_RADIUS = 72
 #: Words of the fingerprints by which candidates are ruled out before they are verified, and deviations above the mean that they may reach.
-WIDE_WORDS, DEVIATIONS = 32, 3.7
+WIDE_WORDS, DEVIATIONS = 16, 3.7
 #: The share of pairs at a similarity of 0.8 that may agree under none of the masks, and how many strangers a fingerprint may meet under one.
 CANDIDATE_MISS, STRANGERS = 0.001, 64
 
@@ -614,9 +614,9 @@ def nearest(label: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray,
     return keep
 
 
-def candidates(prints: np.ndarray, wide: np.ndarray, size: np.ndarray, label: np.ndarray, cut: np.ndarray, radius: int, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows of a group that may be similar and have different labels: of each label the `most` nearest, and whether more were left out."""
-    left, right, gaps, more = (np.zeros(0, np.int64),) * 3 + (False,)
+def candidates(prints: np.ndarray, wide: np.ndarray, size: np.ndarray, label: np.ndarray, cut: np.ndarray, radius: int, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a group that may be similar and have different labels: of each label the `most` nearest, and which rows are in a pair that was left out."""
+    left, right, gaps, more = (np.zeros(0, np.int64),) * 3 + (np.zeros(len(prints), bool),)
     for a, b in near_all(prints, cut, radius):
         other = label[a] != label[b]
         a, b = a[other], b[other]
@@ -628,21 +628,21 @@ def candidates(prints: np.ndarray, wide: np.ndarray, size: np.ndarray, label: np
         ok = apart <= most_apart
         left, right, gaps = (np.concatenate(x) for x in ((left, a[ok]), (right, b[ok]), (gaps, apart[ok])))
         keep = nearest(label, left, right, gaps, most)
-        more |= not keep.all()
+        more[left[~keep]] = more[right[~keep]] = True
         left, right, gaps = left[keep], right[keep], gaps[keep]
     return left, right, more
 
 
 def _proposed(members: DataFrame, masks: list[np.ndarray], radius: int, similarity: float, most: int) -> DataFrame:
     """Pairs (a, b: sigs) to verify next: under each value of each mask, of each label the `most` nearest pairs with another one. A pair of
-    equal ones says that some were left out."""
+    equal ones says that some with it were left out."""
     n, words = width(members.sparkSession), len(masks[0])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, wide = _words(batch.column("fp"), words), _words(batch.column("wide"), WIDE_WORDS)
             sig, label = (_words(batch.column(c), 2) for c in ("sig", "label"))
-            rows = np.concatenate([fp, wide, sig, label, np.asarray(batch.column("size"), dtype=np.int64).view(U64)[:, None]], axis=1)
+            rows = np.concatenate([fp, wide, sig, _folded(label)[:, None], np.asarray(batch.column("size"), dtype=np.int64).view(U64)[:, None]], axis=1)
             whole: list[list[np.ndarray]] = [[] for _ in range(n)]
             for k, mask in enumerate(masks):
                 where = (mixed(_folded(fp & mask) + U64(k)) >> U64(40)) % U64(n)
@@ -653,14 +653,14 @@ def _proposed(members: DataFrame, masks: list[np.ndarray], radius: int, similari
             for i in range(n):  # each row goes to a partition once, with the numbers of those under each mask
                 own = np.unique(np.concatenate(whole[i]))
                 if len(own):
-                    yield packed_rows([i], [packed([rows[own].ravel(), *(np.searchsorted(own, x).astype(np.uint32) for x in whole[i])])])
+                    yield packed_rows([i], [packed([rows[own].ravel(), *(_narrow(np.searchsorted(own, x)) for x in whole[i])])])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, under, base = [], [[] for _ in masks], 0
         for batch in batches:
             for blob in batch.column("blob"):
                 rows, *mine = unpacked(blob.as_py())
-                parts.append(rows.reshape(-1, words + WIDE_WORDS + 5))
+                parts.append(rows.reshape(-1, words + WIDE_WORDS + 4))
                 for k, x in enumerate(mine):
                     under[k].append(x.astype(np.int64) + base)
                 base += len(parts[-1])
@@ -669,8 +669,8 @@ def _proposed(members: DataFrame, masks: list[np.ndarray], radius: int, similari
         rows = np.concatenate(parts)
         parts.clear()
         fp, wide, sig, size = np.ascontiguousarray(rows[:, :words]), rows[:, words : words + WIDE_WORDS], rows[:, words + WIDE_WORDS : words + WIDE_WORDS + 2], rows[:, -1].astype(np.int64)
-        label = np.unique(rows[:, -3:-1], axis=0, return_inverse=True)[1].ravel()
-        found, left_out = [], False
+        label = np.unique(rows[:, -2], return_inverse=True)[1]
+        found, left_out = [], np.zeros(len(rows), bool)
         for mask, at in zip(masks, under):
             at = np.concatenate(at)
             key = _folded(fp[at] & mask)
@@ -682,13 +682,13 @@ def _proposed(members: DataFrame, masks: list[np.ndarray], radius: int, similari
             if not len(at):
                 continue
             a, b, more = candidates(fp[at], wide[at], size[at], label[at], np.append(runs(key), len(at)), radius, similarity, most)
-            left_out |= more
+            left_out[at[more]] = True
             found.append(np.stack([np.minimum(at[a], at[b]), np.maximum(at[a], at[b])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         x, y = sig[pairs[:, 0]], sig[pairs[:, 1]]
         ahead = (x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1]))
         both = np.where(ahead[:, None], np.concatenate([x, y], 1), np.concatenate([y, x], 1))
-        yield from _addressed(np.concatenate([both, np.zeros((int(left_out), 4), U64)]), n)
+        yield from _addressed(np.concatenate([both, np.tile(sig[left_out], (1, 2))]), n)
 
     found = dealt(members.select("fp", "wide", "sig", "label", "size").transform(mapped, send, PACKED_SCHEMA), n).transform(mapped, compare, PACKED_SCHEMA)
     return once(found, [("a", 2), ("b", 2)])
@@ -720,9 +720,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     masks = growing_tables(first.count(), words, similarity) if masks is None else masks
     near_ones = touched(first, radius, masks).unionAll(first.filter("n > 1").select("fp")).distinct()
     active = stored(nodes.join(near_ones, "fp", "left_semi").select("sig", "fp", "size", "row"))
-    one = active.groupBy("sig").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
-    sets = stored(_sets(keyed.join(one, keyed["doc_id"].eqNullSafe(F.col("_id")) & keyed["key"].eqNullSafe(F.col("_key")), "left_semi"), shingle).dropDuplicates(["sig"]))
+    # one row of each active set is read again; a sieve lets them and few others pass, so that texts are not shuffled
+    one = active.groupBy("sig").agg(F.min("row").alias("row")).select(F.xxhash64("row.doc_id", "row.key").alias("h"))
+    sets = stored(_sets(sifted(keyed, F.xxhash64("doc_id", "key"), sieve(one)), shingle).dropDuplicates(["sig"]))
     members = stored(active.join(sets.select("sig", "wide"), "sig").select("sig", "fp", "wide", "size", F.col("sig").alias("label")))
+    labels = stored(members.select("sig", "label").distinct())
     tested, most = None, 2
     while True:
         asked = stored(_proposed(members, masks, radius, similarity, most))
@@ -730,14 +732,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
         fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
         found = stored(_verified(fresh, sets, similarity))
         tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
-        if found.first() is None and asked.filter("a = b").first() is None:
-            break
-        labels = members.select("sig", "label").distinct()
+        open_ = asked.filter("a = b").select(F.col("a").alias("sig"))
         joined = found.filter("same").join(labels.select(F.col("sig").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("sig").alias("b"), F.col("label").alias("y")), "b")
         roots = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        members = stored(members.join(roots, F.col("label") == F.col("node"), "left").select("sig", "fp", "wide", "size", F.coalesce("root", "label").alias("label")))
+        labels = stored(labels.join(roots, F.col("label") == F.col("node"), "left").select("sig", F.coalesce("root", "label").alias("label")))
+        if open_.first() is None:
+            break
+        # only those with a pair that was left out go on
+        members = stored(members.drop("label").join(open_, "sig", "left_semi").join(labels, "sig").select("sig", "fp", "wide", "size", "label"))
         most *= 16
-    rooted = nodes.select("sig", "least").join(members.select("sig", "label").distinct(), "sig", "left").select("sig", "least", F.coalesce("label", "sig").alias("root"))
+    rooted = nodes.select("sig", "least").join(labels, "sig", "left").select("sig", "least", F.coalesce("label", "sig").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     many = stored(rooted.select("sig", "root").distinct().join(ids, "root").select("sig", "component_id").filter(F.col("component_id").isNotNull()))
     return prints.join(many, "sig", "left").select("doc_id", "component_id")
@@ -747,6 +751,11 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     """The documents whose doc_id is their component's; all columns stay, whatever their names. Rows that repeat such a doc_id stay with it,
     rows without a doc_id stay; null and empty texts are one group; an empty table gives an empty one."""
     found = similar_groups(docs, shingle, similarity, radius, masks)
-    name = unused(docs, "_kept")
-    kept = found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
+    dropped = stored(found.filter("doc_id <> component_id").select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct())
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    dropped = stored(dropped.join(kept, "doc_id", "left_anti"))  # of rows that share an id one may be kept: then they all are
+    by, name = sieve(dropped.select("h")), unused(docs, "_gone")
+    # most rows pass as they are; those that the sieve holds back meet the list
+    key, gone = F.xxhash64("doc_id"), dropped.select(F.col("doc_id").alias(name))
+    held = sifted(docs, key, by)
+    return sifted(docs, key, by, inside=False).unionAll(held.join(gone, held["doc_id"] == F.col(name), "left_anti"))

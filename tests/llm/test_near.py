@@ -45,11 +45,11 @@ def test_more_pairs_are_proposed_until_none_is_left():
     prints, wide, size, cut = np.zeros((6, 4), np.uint64), np.zeros((6, simhash.WIDE_WORDS), np.uint64), np.full(6, 100), np.array([0, 6])
     wide[:, 0] = (1 << np.arange(6)).astype(np.uint64) - np.uint64(1)  # row k differs from row j in |k - j| bits
     a, b, more = simhash.candidates(prints, wide, size, np.arange(6), cut, 72, 0.8, 6)
-    assert not more and set(zip(a.tolist(), b.tolist())) == {(x, y) for x in range(6) for y in range(x + 1, 6)}
+    assert not more.any() and set(zip(a.tolist(), b.tolist())) == {(x, y) for x in range(6) for y in range(x + 1, 6)}
     a, b, more = simhash.candidates(prints, wide, size, np.arange(6), cut, 72, 0.8, 1)
-    assert more and {x for p in zip(a.tolist(), b.tolist()) for x in p} == set(range(6)) and (b - a == 1).all()
+    assert more.all() and {x for p in zip(a.tolist(), b.tolist()) for x in p} == set(range(6)) and (b - a == 1).all()
     a, b, more = simhash.candidates(prints, wide, size, np.array([0, 0, 0, 1, 1, 1]), cut, 72, 0.8, 1)
-    assert list(zip(a.tolist(), b.tolist())) == [(2, 3)] and more
+    assert list(zip(a.tolist(), b.tolist())) == [(2, 3)] and more.all()
     assert len(simhash.candidates(prints, wide, np.array([100, 70, 50, 30, 20, 10]), np.arange(6), cut, 72, 0.8, 9)[0]) == 0
 
 
