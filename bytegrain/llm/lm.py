@@ -108,12 +108,14 @@ class PitmanYor:
             tables = np.minimum(counts, 1)
             self.levels.append(Seating(own, counts, tables, restaurant, parent))
             counts = np.bincount(parent, tables, len(part[k + 1])).astype(np.int64) if depth else counts
-        total = np.zeros(1 << 23, np.float64)
+        total = np.zeros(1 << 23, np.float32)
         for sweep in range(burn_in + samples):
             self._sweep()
             if sweep >= burn_in:
-                total += self.predictive()
-        self.log10 = np.log10(total / samples).astype(np.float16)
+                self.predictive(total)
+        self.log10 = np.empty(1 << 23, np.float16)
+        for low in range(0, 1 << 23, 1 << 19):
+            self.log10[low : low + (1 << 19)] = np.log10(total[low : low + (1 << 19)] / samples)
 
     def _known(self) -> list[np.ndarray]:
         """Predictive probability of each kind at its depth, from leaf to root."""
@@ -145,20 +147,28 @@ class PitmanYor:
                 up.customers = np.bincount(s.parent, s.tables, len(up.kinds)).astype(np.int64)
                 up.tables = np.minimum(up.tables, up.customers)
 
-    def predictive(self) -> np.ndarray:
-        """Probability of every byte in every leaf context."""
+    def predictive(self, total: np.ndarray) -> None:
+        """Adds the probability of every byte in every leaf context, some contexts at a time."""
         up = np.full((1, 256), 1 / 256)
         for k in range(DEPTH, -1, -1):
             s, depth = self.levels[k], DEPTH - k
             d, theta = DISCOUNTS[depth], STRENGTHS[depth]
             contexts = 32**depth
-            table = np.zeros(contexts * 256)
-            table[s.kinds] = s.customers - d * s.tables
             n = np.bincount(s.kinds >> 8, s.customers, contexts)
             t = np.bincount(s.kinds >> 8, s.tables, contexts)
-            base = np.repeat(up, 32, axis=0) if depth else up
-            up = (table.reshape(contexts, 256) + (theta + d * t)[:, None] * base) / (theta + n)[:, None]
-        return up.ravel()
+            step, out = min(contexts, 2048), None if depth == DEPTH else np.empty((contexts, 256))
+            for low in range(0, contexts, step):
+                a, b = np.searchsorted(s.kinds, [low << 8, (low + step) << 8])
+                table = np.zeros(step * 256)
+                table[s.kinds[a:b] - (low << 8)] = s.customers[a:b] - d * s.tables[a:b]
+                rows = slice(low, low + step)
+                base = up[np.arange(low, low + step) // 32] if depth else up
+                p = (table.reshape(step, 256) + (theta + d * t[rows])[:, None] * base) / (theta + n[rows])[:, None]
+                if out is None:
+                    total[low << 8 : (low + step) << 8] += p.ravel()
+                else:
+                    out[rows] = p
+            up = out
 
 
 def _tokens(piece: pa.RecordBatch) -> tuple:
@@ -427,9 +437,13 @@ class Cell:
             yield pair, customers, tables, own
 
 
-def _summed(table: DataFrame, work, n: int) -> list[np.ndarray]:
-    """Sums of the arrays that `work` makes of a cell, over all cells: long ones are cut into n parts that are summed apart. A pair of places
-    and values stands for an array of 2^23."""
+def _summed(table: DataFrame, work, n: int) -> list:
+    """Sums of the arrays that `work` makes of a cell, over all cells: each is cut into n parts that are summed apart. A pair of places
+    and values stands for an array of 2^23, also in the result."""
+
+    def cut(i: int, part: list[np.ndarray]) -> pa.RecordBatch:
+        some = [np.flatnonzero(x) for x in part]
+        return _row(i, 0, packed([y for x, at in zip(part, some) for y in (at.astype(np.uint32), x[at], np.array([len(x)]))]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -445,9 +459,7 @@ def _summed(table: DataFrame, work, n: int) -> list[np.ndarray]:
                         x += y
         if total is not None:
             for i in range(n):
-                part = [x[len(x) * i // n : len(x) * (i + 1) // n] for x in total]
-                some = [np.flatnonzero(x) for x in part]
-                yield _row(i, 0, packed([y for x, at in zip(part, some) for y in (at.astype(np.uint32), x[at], np.array([len(x)]))]))
+                yield cut(i, [x[len(x) * i // n : len(x) * (i + 1) // n] for x in total])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, bucket = None, 0
@@ -458,11 +470,21 @@ def _summed(table: DataFrame, work, n: int) -> list[np.ndarray]:
                 for k, (at, v) in enumerate(zip(x[::3], x[1::3])):
                     total[k][at] += v
         if total is not None:
-            yield _row(bucket, 0, packed(total))
+            yield cut(bucket, total)
 
     found = dealt(table.filter("kind = 0").transform(mapped, count, _ASKED), n).transform(mapped, merge, _ASKED)
     got = [unpacked(r["blob"]) for r in found.select("bucket", "blob").sort("bucket").collect()]
-    return [np.concatenate(x) for x in zip(*got)]
+    out: list = []
+    for k in range(0, len(got[0]) if got else 0, 3):
+        sizes = [int(x[k + 2][0]) for x in got]
+        places = np.concatenate([x[k].astype(np.int64) + base for x, base in zip(got, np.cumsum([0, *sizes]))])
+        values = np.concatenate([x[k + 1] for x in got])
+        if sum(sizes) == 1 << 23:
+            out.append((places, values))
+        else:
+            out.append(np.zeros(sum(sizes), np.float64))
+            out[-1][places] = values
+    return out
 
 
 def _discount(once: float, twice: float) -> float:
@@ -485,9 +507,8 @@ def fit(table: DataFrame, hot: np.ndarray, burn_in: int = 2, samples: int = 2, s
     got = _summed(table, first, n)
     if not got:
         return Model(hot, np.zeros(len(hot)), 0, 0, np.zeros(CONTEXTS), 0.5, 0.5, strength, burn_in, [np.full(1 << 23, np.log10(1 / 256), np.float16)])
-    context_customers, types, hot_counts, hot_types, sums, kinds = got
-    some = np.flatnonzero(kinds)
-    spelling = PitmanYor(some, kinds[some].astype(np.int64), seed=seed).log10
+    context_customers, types, hot_counts, hot_types, sums, (kinds, spelt) = got
+    spelling = PitmanYor(kinds, spelt.astype(np.int64), seed=seed).log10
     known_hot = int((hot_counts > 0).sum())
     model = Model(hot, hot_counts, int(sums[0]), int(sums[1]) + known_hot, context_customers, _discount(sums[2], sums[3]), _discount(sums[4], sums[5]), strength, burn_in, [spelling])
     model.sweeps.append(Totals(types, sums[6] + hot_types.sum(), sums[1] + known_hot, hot_types, np.minimum(hot_types, 1)))
@@ -509,8 +530,7 @@ def fit(table: DataFrame, hot: np.ndarray, burn_in: int = 2, samples: int = 2, s
         hot_tables = seat(hot_customers.astype(np.int64), np.full(len(hot), (strength + model.word_discount * last.tables) * 1e-4), model.word_discount, rng)
         model.sweeps.append(Totals(context_tables, sums[0] + hot_customers.sum(), sums[1] + hot_tables.sum(), hot_customers, hot_tables))
         if spell:
-            some = np.flatnonzero(kinds[0])
-            model.spellings.append(PitmanYor(some, kinds[0][some].astype(np.int64), seed=seed + 1).log10)
+            model.spellings.append(PitmanYor(kinds[0][0], kinds[0][1].astype(np.int64), seed=seed + 1).log10)
         sent.destroy()
     return model
 
