@@ -1063,11 +1063,17 @@ class ParseFromView(Format):
 
     def __post_init__(self): self.parts = (self.part,)
     def build(self, scope, bits):
-        view, whole, single = _view(self.view, self.offset, scope), self.part.build(scope, False), self.part.build(scope, True)
+        # a view of bytes or of bits is not known before; each way is built when it is first needed, at places of its own
+        view, made = _view(self.view, self.offset, scope), {}
 
         def run(s, pos, fr):
             v = view(fr, pos)
-            part = single if isinstance(v.data, Bits) else whole
+            single = v.data.__class__ is Bits
+            part = made.get(single)
+            if part is None:
+                part = made[single] = self.part.build(scope, single)
+            if len(fr) <= scope.counter[0]:
+                fr.extend([MISSING] * (scope.counter[0] + 1 - len(fr)))
             return part(State(v.data, v.limit, s.warnings, s.spans if v.data is s.data else None, s.path), v.offset, fr)[0], pos
 
         return run

@@ -1,7 +1,7 @@
 """OpenType fonts and collections, as the public specification lays their tables out.
 
 The tables listed in this module are found by their tags in the directory and read in a slice at their offsets; a font without a table has
-none in its place. Not read: BASE, GDEF, MVAR, HVAR, STAT and gvar, and the sub-tables of GSUB and GPOS lookups, of which only offsets are kept.
+none in its place. `font-extra` names the tables that are not read. Layout and variation tables are in opentype_layout.py.
 Offsets inside tables count from the table (or sub-table) that holds them; zero means that nothing is there.
 """
 
@@ -11,6 +11,7 @@ from ..functions import expr as X
 from ..functions import pattern as P
 from . import combinators as C
 from . import format as N
+from . import opentype_layout as L
 
 V = X.var
 u8, u16, u32, i8, i16 = C.u8, C.u16be, C.u32be, C.i8, C.i16be
@@ -24,6 +25,10 @@ def counted(f: N.Format, count: str = "count", name: str = "items") -> N.Format:
     return C.record((count, u16), (name, C.repeat_count(V(count), f)))
 
 
+def counted_u32(f: N.Format) -> N.Format:
+    return C.record(("count", u32), ("items", C.repeat_count(V("count"), f)))
+
+
 def when_present(option: str, name: str, f: N.Format) -> N.Format:
     """f with the option's value under a name; nothing where the option is empty. f gives an option itself."""
     return N.Match(V(option), ((P.absent(), N.LiftedOption(None)), (P.present(P.binding(name)), f)))
@@ -117,9 +122,19 @@ def cmap() -> N.Format:
         12: [*wide, ("count", u32), ("groups", C.repeat_count(V("count"), group))],
         13: [*wide, ("count", u32), ("groups", C.repeat_count(V("count"), group))],
     }
+    u24 = C.map_format(C.repeat_count(3, u8), lambda b: (X.cast("u32", b.at(0)) << 16) | (X.cast("u32", b.at(1)) << 8) | X.cast("u32", b.at(2)))
+    header = C.record(*fields(u16, "first", "count"), ("delta", i16), ("range-offset", u16))
+    plain = C.record(("ranges", counted_u32(C.record(("first", u24), ("more", u8)))))
+    mapped = C.record(("mappings", counted_u32(C.record(("char", u24), ("glyph", u16)))))
+    selector = C.record(("selector", u24), ("default", linked(u32, "sub", plain)), ("mapped", linked(u32, "sub", mapped)))
+    kinds |= {
+        2: [("length", u16), ("language", u16), ("keys", C.repeat_count(256, u16)), ("headers", C.repeat_count(X.left_fold(lambda most, k: X.if_else(k.gt(most), k, most), X.u16(0), V("keys")) // 8 + 1, header)), ("glyphs", C.slice_of(V("length") - 518 - X.cast("u16", X.seq_length(V("headers"))) * 8, N.Repeat(u16)))],
+        8: [*wide, ("is-32", C.repeat_count(8192, u8)), ("count", u32), ("groups", C.repeat_count(V("count"), group))],
+        14: [("length", u32), ("selectors", counted_u32(selector))],
+    }
     cases = [(P.integer(n), N.Variant(f"format-{n}", C.record(*f))) for n, f in kinds.items()]
     subtable = C.chain(u16, "_kind", N.Match(V("_kind"), (*cases, (P.wildcard(), N.Variant("other", C.compute(V("_kind")))))))
-    entry = C.record(("platform", u16), ("encoding", u16), ("subtable", linked(u32, "table", subtable)))
+    entry = C.record(("platform", u16), ("encoding", u16), ("subtable", linked(u32, "table", C.let_view("sub", subtable))))
     return C.record(("version", u16), ("records", counted(entry)))
 
 
@@ -179,14 +194,13 @@ def kern() -> N.Format:
     return C.record(("version", u16), ("subtables", counted(C.record(("version", u16), ("length", u16), ("coverage", u16), ("data", body)))))
 
 
-def layout() -> N.Format:
-    """GSUB and GPOS: scripts, features and lookups; sub-tables by their offsets."""
+def layout(kinds: dict[int, N.Format], extension: int) -> N.Format:
+    """GSUB and GPOS: scripts, features and lookups with their sub-tables."""
     system = C.record(("lookup-order", u16), ("required-feature", u16), ("features", counted(u16)))
     script = C.let_view("script", C.record(("default", linked(u16, "script", system)), ("systems", counted(C.record(("tag", C.fixed_ascii(4)), ("system", linked(u16, "script", system)))))))
     scripts = C.let_view("list", counted(C.record(("tag", C.fixed_ascii(4)), ("script", linked(u16, "list", script)))))
     features = C.let_view("list", counted(C.record(("tag", C.fixed_ascii(4)), ("feature", linked(u16, "list", C.record(("parameters", u16), ("lookups", counted(u16))))))))
-    lookup = C.record(("type", u16), ("flag", u16), ("subtables", counted(u16)), ("mark-set", C.cond_maybe((V("flag") & 0x10).ne(0), u16)))
-    lookups = C.let_view("list", counted(linked(u16, "list", lookup)))
+    lookups = C.let_view("list", counted(linked(u16, "list", L.lookup(kinds, extension))))
     return C.record(("major", u16), ("minor", u16), ("scripts", linked(u16, "table", scripts)), ("features", linked(u16, "table", features)), ("lookups", linked(u16, "table", lookups)), ("variations", C.cond_maybe(V("minor").gt(0), u32)))
 
 
@@ -214,6 +228,10 @@ def vdmx() -> N.Format:
     return C.record(*fields(u16, "version", "num-recs", "num-ratios"), ("ratios", C.repeat_count(V("num-ratios"), ratio)), ("groups", C.repeat_count(V("num-ratios"), linked(u16, "table", heights))))
 
 
+#: Fixed: tags of the tables that are read.
+KNOWN = [t.encode() for t in ("BASE", "DSIG", "GDEF", "GPOS", "GSUB", "HVAR", "MVAR", "OS/2", "STAT", "SVG ", "VDMX", "VVAR", "avar", "cmap", "cvt ", "fpgm", "fvar", "gasp", "glyf", "gvar", "hdmx", "head", "hhea", "hmtx", "kern", "loca", "maxp", "name", "post", "prep", "vhea", "vmtx")]
+
+
 def font() -> N.Format:
     entry = C.record(("table-id", C.fixed_ascii(4)), ("checksum", u32), ("offset", u32), ("length", u32))
     magic = N.Union((C.is_bytes(b"\0\1\0\0"), C.is_bytes(b"OTTO"), C.is_bytes(b"true")))
@@ -229,8 +247,10 @@ def font() -> N.Format:
         ("hmtx", with_glyphs(when_present("hhea", "_metrics", table(b"hmtx", metrics("_metrics"))))), ("vmtx", with_glyphs(when_present("vhea", "_metrics", table(b"vmtx", metrics("_metrics"))))),
         ("cmap", table(b"cmap", cmap())), ("name", table(b"name", name_table())), ("os2", table(b"OS/2", os2())), ("post", table(b"post", post())), ("cvt", table(b"cvt ", N.Repeat(i16))), ("fpgm", table(b"fpgm", C.opaque_bytes())), ("prep", table(b"prep", C.opaque_bytes())),
         ("loca", with_glyphs(when_present("head", "_head", table(b"loca", loca())))), ("glyf", with_glyphs(when_present("loca", "_loca", table(b"glyf", glyf())))), ("gasp", table(b"gasp", C.record(("version", u16), ("ranges", counted(C.record(("max-ppem", u16), ("behavior", u16))))))),
-        ("kern", table(b"kern", kern())), ("gsub", table(b"GSUB", layout())), ("gpos", table(b"GPOS", layout())), ("fvar", table(b"fvar", fvar())), ("avar", table(b"avar", avar)), ("hdmx", with_glyphs(table(b"hdmx", hdmx))), ("vdmx", table(b"VDMX", vdmx())), ("svg", table(b"SVG ", svg())),
-        ("dsig", C.permit(table(b"DSIG", dsig()), X.none())),
+        ("kern", table(b"kern", kern())), ("gsub", table(b"GSUB", layout(L.substitutions(), 7))), ("gpos", table(b"GPOS", layout(L.positions(), 9))), ("fvar", table(b"fvar", fvar())), ("avar", table(b"avar", avar)), ("hdmx", with_glyphs(table(b"hdmx", hdmx))), ("vdmx", table(b"VDMX", vdmx())), ("svg", table(b"SVG ", svg())),
+        ("dsig", C.permit(table(b"DSIG", dsig()), X.none())), ("gdef", table(b"GDEF", L.gdef())), ("base", table(b"BASE", L.base())), ("gvar", table(b"gvar", L.gvar())), ("hvar", table(b"HVAR", L.metrics_variations("advances", "lsb", "rsb"))),
+        ("vvar", table(b"VVAR", L.metrics_variations("advances", "tsb", "bsb", "v-origin"))), ("mvar", table(b"MVAR", L.mvar())), ("stat", table(b"STAT", L.stat())),
+        ("font-extra", C.compute(X.flat_map(lambda t: X.match(X.find_by_key(lambda k: k, t["table-id"], X.lift(KNOWN)), (P.absent(), X.seq_of(t["table-id"])), (P.wildcard(), X.seq_of())), V("tables")))),
     )
 
 
