@@ -24,7 +24,7 @@ def dealt(frame: DataFrame, n: int) -> DataFrame:
 
 
 #: Bytes of rows that Spark hands to Python at once; its own limit is a number of rows, however long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import PACKED_SCHEMA, dealt, mapped, packed, packed_rows, runs, sieve, sifted, stored, unpacked, unused, width
+from .exchange import PACKED_SCHEMA, Sieve, dealt, mapped, packed, packed_rows, runs, sieve, sifted, stored, unpacked, unused, width
 from .text import LOWER, SPACE, buffer, mixed, slices, spans
 
 U64 = np.uint64
@@ -524,17 +524,20 @@ def with_group(prints: DataFrame, groups: DataFrame, many: DataFrame) -> DataFra
     return prints.join(many, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """sig, items (each text's distinct shingle hashes in order) and wide, their fingerprint of WIDE_WORDS words."""
+def _sets(docs: DataFrame, shingle: int, by: Sieve) -> DataFrame:
+    """sig, items (each text's distinct shingle hashes in order) and wide, their fingerprint of WIDE_WORDS words, of the rows (text, h) whose h
+    passes the sieve."""
+    sent = docs.sparkSession.sparkContext.broadcast(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            some = batch.filter(pa.array(sent.value.passes(np.asarray(batch.column("h"), dtype=np.int64).view(U64))))
+            for piece in slices(some, "text", 1 << 20):
                 values, begin = distinct(*shingled(*buffer(piece.column("text")), shingle))
                 items = pa.array([values[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([_column(signatures(values, begin)), items, _bytes(voted(values, begin, WIDE_WORDS))], ["sig", "items", "wide"])
 
-    return docs.select("text").transform(mapped, run, "sig binary, items binary, wide binary")
+    return docs.select("text", "h").transform(mapped, run, "sig binary, items binary, wide binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -722,7 +725,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     active = stored(nodes.join(near_ones, "fp", "left_semi").select("sig", "fp", "size", "row"))
     # one row of each active set is read again; a sieve lets them and few others pass, so that texts are not shuffled
     one = active.groupBy("sig").agg(F.min("row").alias("row")).select(F.xxhash64("row.doc_id", "row.key").alias("h"))
-    sets = stored(_sets(sifted(keyed, F.xxhash64("doc_id", "key"), sieve(one)), shingle).dropDuplicates(["sig"]))
+    sets = stored(_sets(keyed.withColumn("h", F.xxhash64("doc_id", "key")), shingle, sieve(one)).dropDuplicates(["sig"]))
     members = stored(active.join(sets.select("sig", "wide"), "sig").select("sig", "fp", "wide", "size", F.col("sig").alias("label")))
     labels = stored(members.select("sig", "label").distinct())
     tested, most = None, 2
