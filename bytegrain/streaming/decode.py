@@ -19,6 +19,15 @@ def decode_stream(stream: DataFrame, fmt: str, schema: str, **more) -> DataFrame
     return decode_column(stream, fmt, schema, **more)
 
 
-def counts_by_time(decoded: DataFrame, time: str, window: str = "1 minute", late: str = "5 minutes") -> DataFrame:
-    """Decoded and failed payloads by window; what comes later than `late` is dropped."""
-    return decoded.withWatermark(time, late).groupBy(F.window(time, window).alias("w")).agg(F.count(F.when(F.col("error").isNull(), 1)).alias("n_good"), F.count("error").alias("n_bad")).select("w.start", "w.end", "n_good", "n_bad")
+def _counts() -> list:
+    return [F.count(F.when(F.col("error").isNull(), 1)).alias("n_good"), F.count("error").alias("n_bad")]
+
+
+def counts_by_time(decoded: DataFrame, time: str, window: str = "1 minute", late: str = "5 minutes", slide: str | None = None) -> DataFrame:
+    """Decoded and failed payloads by window, a sliding one where slide is given; what comes later than `late` is dropped."""
+    return decoded.withWatermark(time, late).groupBy(F.window(time, window, slide).alias("w")).agg(*_counts()).select("w.start", "w.end", "n_good", "n_bad")
+
+
+def counts_by_session(decoded: DataFrame, time: str, key: str, gap: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
+    """Decoded and failed payloads of each key's sessions, which end after a gap without any."""
+    return decoded.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(*_counts()).select(key, "w.start", "w.end", "n_good", "n_bad")
