@@ -1169,6 +1169,75 @@ class Call(Format):
     def ahead(self, n): return self.part.ahead(n)
 
 
+class Module:
+    """Formats by name, with parameters and views that they are called with. A format may call others of the module, itself included."""
+
+    def __init__(self):
+        self.items: dict[str, tuple[tuple[str, ...], tuple[str, ...], Format]] = {}
+        self.steps: dict[tuple[str, bool], tuple[Step, list[int], list[int]]] = {}
+        self.asked: set[str] = set()
+
+    def __getstate__(self) -> dict:
+        return {"items": self.items, "steps": {}, "asked": set()}
+
+    def define(self, name: str, part: Format, params: tuple[str, ...] = (), views: tuple[str, ...] = ()) -> None:
+        if name in self.items:
+            raise ValueError(f"{name} is defined already")
+        self.items[name] = tuple(params), tuple(views), part
+
+    def call(self, name: str, *args: Any, views: tuple[str, ...] = ()) -> Format:
+        return ItemVar(self, name, tuple(map(X.lift, args)), tuple(views))
+
+    def built(self, name: str, bits: bool) -> tuple[Step, list[int], list[int]]:
+        """The step, the places of its arguments and views, and the counter of its frame's places."""
+        if (name, bits) not in self.steps:
+            params, views, part = self.items[name]
+            scope, at = Scope().inner(*params, *views)
+            self.steps[name, bits] = part.build(scope, bits), at, scope.counter
+        return self.steps[name, bits]
+
+
+@dataclass
+class ItemVar(Format):
+    """A format of a module, called. Each call has a frame of its own, which holds its arguments and views only."""
+
+    module: Module
+    name: str
+    args: tuple = ()
+    views: tuple = ()
+
+    def build(self, scope, bits):
+        args, views = [build(e, scope) for e in self.args], [scope.places[v] for v in self.views]
+        module, name = self.module, self.name
+
+        def run(s, pos, fr):
+            if name not in module.items:
+                raise DecodeError("eval", pos, f"no format {name}")
+            if len(args) != len(module.items[name][0]) or len(views) != len(module.items[name][1]):
+                raise DecodeError("eval", pos, f"{name} takes {len(module.items[name][0])} arguments and {len(module.items[name][1])} views")
+            step, at, counter = module.built(name, bits)
+            own = [MISSING] * (counter[0] + 1)
+            for place, v in zip(at, [*(e(fr) for e in args), *(fr[p] for p in views)]):
+                own[place] = v
+            return step(s, pos, own)
+
+        return run
+
+    def _of_part(self, ask: Callable[[Format], Any], unknown: Any) -> Any:
+        """What is known of the called format; of one that calls itself, or is not there yet, nothing."""
+        if self.name in self.module.asked or self.name not in self.module.items:
+            return unknown
+        self.module.asked.add(self.name)
+        try:
+            return ask(self.module.items[self.name][2])
+        finally:
+            self.module.asked.discard(self.name)
+
+    def size(self): return self._of_part(lambda f: f.size(), Bounds())
+    def ahead(self, n): return self._of_part(lambda f: f.ahead(n), ANYTHING_MORE)
+    def census(self): return {"ItemVar"} | self._of_part(lambda f: f.census(), set())
+
+
 @dataclass
 class Inflate(Format):
     """A deflate stream, by the platform's own inflater: the bytes, `most` of them at most, and the cursor after the stream."""

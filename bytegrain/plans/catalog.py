@@ -729,6 +729,20 @@ def call_and_views(spark, sf_dir):
     return found.filter("value.nothing is null").select("o_orderkey", "value.high", "value.low", "value.place")
 
 
+@query("select o_orderkey, o_orderkey % 6 as depth, (o_orderkey % 9)::bigint as leaf, o_orderkey % 6 + 1 as width from orders")
+def item_var(spark, sf_dir):
+    """ItemVar: a module's format that calls itself with an argument; brackets around a digit, as many as there are."""
+    key = F.col("o_orderkey")
+    nested = F.concat(F.repeat(F.lit("("), (key % 6).cast("int")), (key % 9).cast("string"), F.repeat(F.lit(")"), (key % 6).cast("int")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.encode(nested, "utf-8").alias("payload"))
+    module = N.Module()
+    leaf = C.map_format(C.byte_in(range(48, 58)), lambda b: X.record_of(depth=V("n"), leaf=b - 48))
+    inner = C.chain(C.is_byte(40), "_open", C.chain(module.call("node", V("n") + 1), "_in", C.monad_seq(C.is_byte(41), C.compute(V("_in")))))
+    module.define("node", C.union(leaf, inner), params=("n",))
+    found = payloads.decode_column(rows, C.record(("node", module.call("node", 0)), ("__end", N.EndOfInput())), "struct<node:struct<depth:bigint,leaf:bigint>>")
+    return found.select("o_orderkey", "value.node.depth", "value.node.leaf", (F.col("value.node.depth") + 1).alias("width"))
+
+
 @query("select o_orderkey, case when o_orderkey % 2 = 1 then 'Fail' end as error, case when o_orderkey % 2 = 0 then o_orderkey end as value from orders")
 def fail_branch(spark, sf_dir):
     """Fail, chosen by Match."""

@@ -82,6 +82,27 @@ def test_choices_look_as_far_as_needed():
         C.alts(a=C.is_bytes(b"x" * 90 + b"a"), b=C.is_bytes(b"x" * 90 + b"b"))
 
 
+def test_modules():
+    """Calls have scopes of their own, may call themselves, and know what they can know before."""
+    import pickle
+
+    m = N.Module()
+    m.define("pair", C.record(("a", C.u8), ("rest", C.repeat_count(V("n"), C.u8))), params=("n",))
+    assert run(C.record(("n", C.u8), ("p", m.call("pair", V("n") + 1))), b"\1abcd") == ({"n": 1, "p": {"a": 97, "rest": [98, 99]}}, b"d")
+    tail = C.record(("x", C.u8), ("more", C.cond_maybe(V("x").gt(0), m.call("list"))), ("after", C.compute(V("x"))))
+    m.define("list", tail)
+    value = pickle.loads(pickle.dumps(m.call("list")))
+    assert run(value, b"\3\2\0!")[0] == {"x": 3, "more": {"x": 2, "more": {"x": 0, "more": None, "after": 0}, "after": 2}, "after": 3}
+    refused(m.call("pair"), b"ab", "eval")
+    refused(m.call("nothing"), b"ab", "eval")
+    with pytest.raises(ValueError):
+        m.define("pair", C.u8)
+    m.define("two", C.u16be)
+    assert m.call("two").size() == Bounds(2, 2) and m.call("list").size().high is None
+    m.define("seen", C.capture_bytes("w", 2), views=("w",))
+    assert run(C.let_view("v", C.monad_seq(C.u8, m.call("seen", views=("v",)))), b"ab") == ([97, 98], b"b")
+
+
 def test_names_do_not_leak():
     """An inner record's field hides an outer one of the same name inside it only, also where the inner one fails and is gone back on."""
     inner = C.record(("n", C.u8), ("m", C.where(C.u8, lambda x: x.eq(9))))
