@@ -493,7 +493,7 @@ def _discount(once: float, twice: float) -> float:
 
 def fit(table: DataFrame, hot: np.ndarray, burn_in: int = 2, samples: int = 2, strength: float = 1.0, seed: int = 17) -> Model:
     """Runs the sampler over the cells. The driver holds totals by context, by hot word and by (context, byte) of spellings, however large the corpus."""
-    spark, n = table.sparkSession, min(16, width(table.sparkSession))
+    spark, n = table.sparkSession, min(256, width(table.sparkSession))
 
     def first(blob: bytes) -> list[np.ndarray]:
         x = Cell(blob, hot=hot)
