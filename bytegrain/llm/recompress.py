@@ -4,7 +4,8 @@ Rounds name runs of equal tokens and pairs of neighbours. A name is a hash of wh
 names without a common dictionary, and whether two neighbours are joined depends on their own names only. A name therefore recurs
 wherever the words recur that it depends on (`reach`). A window of words that repeats must repeat every name whose reach lies inside it:
 one exchange finds the names that more than one document has, and windows that hold an unshared name are ruled out. The other windows
-are verified in a second exchange by 96 bits of hash over all their words. A third pass removes the words.
+are verified in a second exchange by what they are made of after the rounds: the names whose reach lies in the window, and the words around
+them; 32 bits of hash over the words alone go with it. A third pass removes the words.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import PACKED_SCHEMA, bucket_of, dealt, mapped, packed, unpacked, width
-from .text import SPACE, buffer, covered, mixed, owners, slices, span_hashes, spans, window_hashes
+from .text import SPACE, _powers, buffer, covered, mixed, owners, slices, span_hashes, spans, window_hashes
 
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
@@ -72,6 +73,24 @@ def useful(found: tuple, first: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero((to - since <= size) & (high - low >= MIN_WORDS) & (since >= first[doc]) & (to <= first[doc + 1]))
 
 
+def window_symbols(words: np.ndarray, size: int, found: tuple, at: np.ndarray) -> np.ndarray:
+    """A hash of every `size` consecutive words as they are after the rounds: names of `found` (those at `at`) whose reach lies in the window
+    stand for their words. Equal windows have equal names there, wherever they lie, since a name follows from its reach alone."""
+    n = len(words)
+    up, down = _powers(0, n)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(mixed(words) * up[:n], out=sums[1:])
+    name, low, high, since, to = (x[at] for x in found)
+    # in the windows that hold its reach, a name replaces the sum of its words
+    swap = mixed(name ^ GOLD) * up[low] - (sums[high] - sums[low])
+    edge = np.zeros(n + 2, U64)
+    begin, end = np.maximum(to - size, 0), since + 1
+    np.add.at(edge, begin, swap)
+    np.subtract.at(edge, np.maximum(end, begin), swap)
+    inside = np.cumsum(edge, dtype=U64)[: n - size + 1]
+    return mixed((sums[size:] - sums[:-size] + inside) * down[: n - size + 1])
+
+
 def sealed(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """One number for a key in a document."""
     return mixed(keys + mixed(doc.view(U64) * GOLD))
@@ -275,7 +294,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, rounds: int = ROUNDS, keep_t
         doc = owners(first)
         start = np.flatnonzero((doc[: len(words) - size + 1] == doc[size - 1 :]) & ~ruled_out[: len(words) - size + 1])
         start = start[ids[doc[start]] != NULL_ID]
-        one = window_hashes(words, size, 0)[start]
+        one = window_symbols(words, size, found, at)[start]
         two = (window_hashes(span_hashes(data, starts, ends, 1), size, 1)[start] >> U64(32)).astype(np.uint32)
         out = Outbox(n)
         post(out, one, two, ids[doc[start]], earliest=True)
@@ -290,7 +309,8 @@ def remove_repeats(docs: DataFrame, size: int = 13, rounds: int = ROUNDS, keep_t
         if len(known) and len(words) >= size:
             doc = owners(first)
             start = np.flatnonzero(doc[: len(words) - size + 1] == doc[size - 1 :])
-            start = start[contains(known, sealed(window_hashes(words, size, 0)[start], ids[doc[start]]))]
+            found = names(words, first, rounds)
+            start = start[contains(known, sealed(window_symbols(words, size, found, useful(found, first, size))[start], ids[doc[start]]))]
             gone = covered(len(words), start, size)
         kept = _joined(data, starts, ends, first, ~gone)
         removed = np.concatenate([[0], np.cumsum(gone)])
