@@ -11,7 +11,7 @@ from ..functions import expr as X
 from ..functions import helpers as H
 from ..operators import combinators as C
 from ..sources import payloads
-from .catalog import _elf_of, _font_of, _made, _png, be, keys_as_text, query, table
+from .catalog import _elf_of, _font_of, _made, _png, be, decoded, keys_as_text, query, table
 
 V = X.var
 
@@ -46,7 +46,7 @@ def rle_statistics(spark, sf_dir):
 def png_pivot(spark, sf_dir):
     """PNG files by the chunks that they hold: never, once, more."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _png, "doc_id")
-    chunks = payloads.decode_column(packed, "png", "struct<chunks:array<struct<tag:string>>>").select("doc_id", F.explode("value.chunks.tag").alias("tag"))
+    chunks = decoded(packed, "png", "struct<chunks:array<struct<tag:string>>>").select("doc_id", F.explode("value.chunks.tag").alias("tag"))
     return pivoted(chunks, "doc_id", "tag", ["tEXt", "zTXt", "gAMA"])
 
 
@@ -54,7 +54,7 @@ def png_pivot(spark, sf_dir):
 def png_compressed(spark, sf_dir):
     """Compressed texts of PNG files: all, some or none of them."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _png_texts, "doc_id", keyed=True)
-    found = payloads.decode_column(packed, "png", "struct<chunks:array<struct<tag:string,content:struct<iTXt:struct<`compression-flag`:bigint>>>>>")
+    found = decoded(packed, "png", "struct<chunks:array<struct<tag:string,content:struct<iTXt:struct<`compression-flag`:bigint>>>>>")
     chunks = found.select("doc_id", F.explode("value.chunks").alias("c")).select("doc_id", "c.tag", (F.col("c.content.iTXt.compression-flag") == 1).alias("compressed"))
     return pivoted(chunks, "doc_id", "tag", ["iTXt"], "compressed")
 
@@ -74,7 +74,7 @@ def _png_texts(raw: bytes, key: int) -> bytes:
 def elf_dump(spark, sf_dir):
     """ELF headers as rows, and a section's contents by its offset."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _elf_of, "doc_id", keyed=True)
-    found = payloads.decode_column(packed, "elf", "struct<header:struct<machine:bigint,entry:bigint>,`section-headers`:array<struct<type:bigint,size:bigint>>,sections:array<binary>>")
+    found = decoded(packed, "elf", "struct<header:struct<machine:bigint,entry:bigint>,`section-headers`:array<struct<type:bigint,size:bigint>>,sections:array<binary>>")
     v = F.col("value")
     return found.select("doc_id", v["header"]["machine"].alias("machine"), v["header"]["entry"].alias("entry"), v["section-headers"][1]["size"].alias("size"), F.sha2(v["sections"][1], 256).alias("digest"), F.size(v["section-headers"]).cast("bigint").alias("n_sections"))
 
@@ -103,7 +103,7 @@ def font_first_with(spark, sf_dir):
 
 def _fonts(spark, sf_dir: str, schema: str) -> DataFrame:
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("text")), _font_of, "doc_id", keyed=True)
-    return payloads.decode_column(packed, "opentype", f"struct<font:struct<{schema}>>").select("doc_id", "value.font.*", "error")
+    return decoded(packed, "opentype", f"struct<font:struct<{schema}>>").select("doc_id", "value.font.*", "error")
 
 
 def _directory(spark, sf_dir: str) -> DataFrame:

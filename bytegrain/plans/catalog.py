@@ -293,7 +293,12 @@ def _made(frame: DataFrame, make: Callable[..., bytes], key: str, keyed: bool =
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make((t or "").encode(), *([k] if keyed else [])) for k, t in rows], pa.binary())], [key, "payload"])
 
-    return frame.mapInArrow(run, f"{key} bigint, payload binary")
+    return payloads.spread(frame).mapInArrow(run, f"{key} bigint, payload binary")
+
+
+def decoded(packed: DataFrame, fmt: N.Format | str, schema: str) -> DataFrame:
+    """Of payloads that `_made` has spread already."""
+    return payloads.decode_column(packed, fmt, schema, even=False)
 
 
 def _gzipped(raw: bytes) -> bytes:
@@ -306,7 +311,7 @@ def _gzipped(raw: bytes) -> bytes:
 def gzip_roundtrip(spark, sf_dir):
     """gzip members, inflated."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _gzipped, "doc_id")
-    found = payloads.decode_column(packed, "gzip", "array<struct<data:binary>>")
+    found = decoded(packed, "gzip", "array<struct<data:binary>>")
     whole = F.concat(F.col("value")[0]["data"], F.col("value")[1]["data"])
     return found.select("doc_id", F.size("value").cast("bigint").alias("n_members"), F.octet_length(whole).cast("bigint").alias("n_bytes"), F.sha2(whole, 256).alias("digest"))
 
@@ -331,7 +336,7 @@ def _blocked(raw: bytes) -> bytes:
 def deflate_blocks(spark, sf_dir):
     """Deflate's own grammar: blocks of all kinds with their codes, on Bits, Dynamic, Apply and FlatMapList, written out as zlib would."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _blocked, "doc_id")
-    found = payloads.decode_column(packed, "gzip-blocks", "array<struct<data:struct<blocks:array<struct<data:struct<tag:string>>>,inflate:binary>>>")
+    found = decoded(packed, "gzip-blocks", "array<struct<data:struct<blocks:array<struct<data:struct<tag:string>>>,inflate:binary>>>")
     data = F.col("value")[0]["data"]
     return found.select("doc_id", F.sha2(data["inflate"], 256).alias("digest"), F.octet_length(data["inflate"]).cast("bigint").alias("n_bytes"), data["blocks"][0]["data"]["tag"].alias("first_block"))
 
@@ -353,7 +358,7 @@ def _tarred(raw: bytes) -> bytes:
 def tar_listing(spark, sf_dir):
     """Members of tar archives as rows."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _tarred, "doc_id")
-    found = payloads.decode_column(packed, "tar", "struct<contents:array<struct<header:struct<name:string,size:bigint>>>>")
+    found = decoded(packed, "tar", "struct<contents:array<struct<header:struct<name:string,size:bigint>>>>")
     rows = found.select("doc_id", F.posexplode("value.contents").alias("k", "e"))
     return rows.select("doc_id", F.col("k").cast("bigint").alias("k"), F.regexp_replace("e.header.name", "\x00+$", "").alias("name"), F.col("e.header.size").alias("size"))
 
@@ -367,7 +372,7 @@ def _riffed(raw: bytes) -> bytes:
 def riff_chunks(spark, sf_dir):
     """Chunks of RIFF files as rows."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _riffed, "doc_id")
-    found = payloads.decode_column(packed, "riff", "struct<data:struct<chunks:array<struct<tag:string,length:bigint>>>>")
+    found = decoded(packed, "riff", "struct<data:struct<chunks:array<struct<tag:string,length:bigint>>>>")
     return found.select("doc_id", F.explode("value.data.chunks").alias("c")).select("doc_id", "c.tag", F.col("c.length").alias("n"))
 
 
@@ -386,7 +391,7 @@ def _png(raw: bytes) -> bytes:
 def png_chunks(spark, sf_dir):
     """PNG: header, chunk counts by tag, inflated pixels."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _png, "doc_id")
-    found = payloads.decode_column(packed, "png", "struct<ihdr:struct<data:struct<width:bigint>>,chunks:array<struct<tag:string>>,idat:struct<data:binary>>")
+    found = decoded(packed, "png", "struct<ihdr:struct<data:struct<width:bigint>>,chunks:array<struct<tag:string>>,idat:struct<data:binary>>")
     return found.select("doc_id", F.col("value.ihdr.data.width").alias("width"), F.size(F.filter("value.chunks.tag", lambda t: t == "tEXt")).cast("bigint").alias("n_text"), F.octet_length("value.idat.data").cast("bigint").alias("n_pixels"))
 
 
@@ -406,7 +411,7 @@ def _font(raw: bytes) -> bytes:
 def opentype_tables(spark, sf_dir):
     """OpenType: a document captured at an offset from its table, and a kerning pair, found by tags in the directory."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _font, "doc_id")
-    found = payloads.decode_column(packed, "opentype", "struct<font:struct<svg:struct<documents:struct<items:array<struct<document:binary>>>>,kern:struct<subtables:struct<items:array<struct<data:struct<pairs:struct<pairs:array<struct<value:bigint>>>>>>>>>>")
+    found = decoded(packed, "opentype", "struct<font:struct<svg:struct<documents:struct<items:array<struct<document:binary>>>>,kern:struct<subtables:struct<items:array<struct<data:struct<pairs:struct<pairs:array<struct<value:bigint>>>>>>>>>>")
     font = F.col("value.font")
     return found.select("doc_id", F.sha2(font["svg"]["documents"]["items"][0]["document"], 256).alias("document"), font["kern"]["subtables"]["items"][0]["data"]["pairs"]["pairs"][0]["value"].alias("kerning"))
 
@@ -456,7 +461,7 @@ def mpeg4_atoms(spark, sf_dir):
     deep = "table:struct<entries:array<struct<`sample-count`:bigint>>>"
     for tag in ("stts", "stbl", "minf", "mdia", "trak", "moov"):
         deep = f"atoms:array<struct<{'size:bigint,' if tag == 'moov' else ''}data:struct<{tag}:struct<{deep}>>>>"
-    found = payloads.decode_column(packed, "mpeg4", f"struct<{deep}>")
+    found = decoded(packed, "mpeg4", f"struct<{deep}>")
     at = F.col("value.atoms")[1]["data"]["moov"]
     for tag in ("trak", "mdia", "minf", "stbl", "stts"):
         at = at["atoms"][0]["data"][tag]
@@ -766,7 +771,7 @@ _KINDS = ("text", "gzip", "tgz", "png", "riff", "numbers", "rle", "peano", "tar"
 def sniff_union_nondet(spark, sf_dir):
     """UnionNondet: every registered format, tried in order on files of fifteen kinds."""
     packed = _made(table(spark, sf_dir, "documents").select("doc_id", "text"), _of_any_kind, "doc_id", keyed=True)
-    return payloads.decode_column(packed, "sniff", "struct<data:struct<tag:string>>").select("doc_id", F.col("value.data.tag").alias("kind"))
+    return decoded(packed, "sniff", "struct<data:struct<tag:string>>").select("doc_id", F.col("value.data.tag").alias("kind"))
 
 
 def _of_any_kind(raw: bytes, key: int) -> bytes:

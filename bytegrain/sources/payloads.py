@@ -93,11 +93,23 @@ def _row_by_row(values: list, errors: list, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def decode_column(frame: DataFrame, fmt: N.Format | str, schema: str, payload: str = "payload", keep: list[str] | None = None, sniff: Any = None) -> DataFrame:
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows over all cores, where Spark's estimate says that they come in fewer partitions than there are cores: decoding costs far more than
+    a shuffle of so little. Larger inputs stay where they lie."""
+    if frame.isStreaming or not hasattr(frame, "_jdf"):
+        return frame
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return frame.repartition(cores) if size < cores * part else frame
+
+
+def decode_column(frame: DataFrame, fmt: N.Format | str, schema: str, payload: str = "payload", keep: list[str] | None = None, sniff: Any = None, even: bool = True) -> DataFrame:
     """Decodes each payload: the kept columns, then `value` (of the given Spark type), `error` (null where it went well) and `warnings`.
 
     schema: the type wanted, which may leave fields out; it is known before any data are read. sniff: a column; rows where it does not hold
-    are dropped before decoding, natively, so that it can reach the scan. A null payload gives a null value without an error; rows are
+    are dropped before decoding, natively, so that it can reach the scan. even: small inputs are spread over all cores. A null payload gives a null value without an error; rows are
     independent, so payloads spread over partitions as they lie. Whatever goes wrong with a row, a value that its column's type cannot hold
     included, is that row's error.
     """
@@ -138,7 +150,8 @@ def decode_column(frame: DataFrame, fmt: N.Format | str, schema: str, payload: s
             columns = [*(batch.column(c) for c in keep), column, pa.array(errors, error_kind), pa.array(warnings, pa.list_(error_kind))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "value", "error", "warnings"])
 
-    return frame.select(*keep, payload).mapInArrow(run, out_schema)
+    frame = frame.select(*keep, payload)
+    return (spread(frame) if even else frame).mapInArrow(run, out_schema)
 
 
 #: Kinds of renderings and the types of their columns.
@@ -183,7 +196,7 @@ def render_column(frame: DataFrame, fmt: N.Format | str, *how: str, payload: str
             columns = [*(batch.column(c) for c in keep), *(pa.array(out[h], arrow[h]) for h in how), pa.array(errors, pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("message", pa.string())]))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *how, "error"])
 
-    return frame.select(*keep, payload).mapInArrow(run, schema)
+    return spread(frame.select(*keep, payload)).mapInArrow(run, schema)
 
 
 def _leaf(x: Any) -> str | None:
@@ -234,4 +247,4 @@ def census(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, sorted(f.census())) for k, f in sorted(M.REGISTRY.items())], "format string, operators array<string>")
 
 
-__all__ = ["census", "decode_column", "flat", "named", "read_files", "render_column", "shaper", "to_json", "to_tree"]
+__all__ = ["census", "decode_column", "flat", "named", "read_files", "render_column", "shaper", "spread", "to_json", "to_tree"]
